@@ -1,0 +1,57 @@
+"""Joins that stay balanced when one key holds a large part of the rows."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+HOT_SHARE = 0.005
+SALTS = 64
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
+    """Keys that hold more than ``share`` of all rows: at most 1 / share of them, whatever the size."""
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return (
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .filter(F.col("_rows") > total * share)
+        .select(*keys)
+    )
+
+
+def skew_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    how: str = "inner",
+    share: float = HOT_SHARE,
+    salts: int = SALTS,
+) -> DataFrame:
+    """Equi-join of any left side with a right side that has one row per key.
+
+    Rows of the hot keys of the left side are spread over ``salts`` sub-keys, and the few right
+    rows of those keys are repeated once per sub-key, so no task gets a whole hot key. Which sub-key
+    a row gets does not change the result. Rows with a NULL key match nothing and are spread too.
+    """
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"skew_join cannot do {how}")
+    keys = list(keys)
+    # at most 1 / share rows, so this broadcast does not grow with the data
+    hot = F.broadcast(hot_keys(left, keys, share).filter(_all_set(keys)).withColumn("_hot", F.lit(True)))
+    spread = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
+    salted_left = left.join(hot, keys, "left").withColumn(
+        "_salt", F.when(F.col("_hot") | ~_all_set(keys), spread).otherwise(F.lit(0))
+    )
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    salted_right = right.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt", "_hot")
+
+
+def _all_set(keys: Sequence[str]):
+    condition = F.col(keys[0]).isNotNull()
+    for key in keys[1:]:
+        condition = condition & F.col(key).isNotNull()
+    return condition
