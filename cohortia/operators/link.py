@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, StringType, StructField, StructType
 
 from cohortia.functions.classes import arrival_class, deviation_class, year_distance_class
-from cohortia.functions.dates import parse_period, semester_gap
+from cohortia.functions.dates import FIRST_YEAR, LAST_YEAR, parse_period, semester_gap
 from cohortia.functions.numbers import as_column, percent
 from cohortia.operators.skew import skew_join
 
@@ -166,11 +166,17 @@ def with_standard(
     ).drop("_years")
 
 
-def parsed_arrivals(arrivals: DataFrame, cohort: str = "cohort", period: str = "period") -> DataFrame:
-    """Arrivals with a readable period: arrival year, semester and semesters since the cohort year."""
+YEARS = (FIRST_YEAR, LAST_YEAR)
+
+
+def parsed_arrivals(
+    arrivals: DataFrame, cohort: str = "cohort", period: str = "period", years: tuple[int, int] = YEARS
+) -> DataFrame:
+    """Arrivals with a readable period inside the accepted years: arrival year, semester and semesters
+    since the cohort year."""
     code = F.col("_code")
     return (
-        arrivals.withColumn("_code", parse_period(period))
+        arrivals.withColumn("_code", parse_period(period, *years))
         .filter(code.isNotNull())
         .withColumns(
             {
@@ -190,13 +196,14 @@ def arrival_timing(
     cohort: str = "cohort",
     period: str = "period",
     n: str = "n",
+    years: tuple[int, int] = YEARS,
 ) -> DataFrame:
     """Early, on-time and late arrivals: counts, percentages and mean deviations in semesters.
 
     ``standard`` is a number of semesters or a column of them.
     """
     std = F.lit(standard) if isinstance(standard, int) else as_column(standard)
-    rows = parsed_arrivals(arrivals, cohort, period).select(
+    rows = parsed_arrivals(arrivals, cohort, period, years).select(
         *by,
         F.col(n).alias("_n"),
         (F.col("gap") - std).alias("_dev"),
@@ -238,11 +245,16 @@ def arrival_timing(
 
 
 def arrival_by_year(
-    arrivals: DataFrame, standard_years: float | None = None, cohort: str = "cohort", period: str = "period", n: str = "n"
+    arrivals: DataFrame,
+    standard_years: float | None = None,
+    cohort: str = "cohort",
+    period: str = "period",
+    n: str = "n",
+    years: tuple[int, int] = YEARS,
 ) -> DataFrame:
     """Arrivals by calendar year. With a standard, by cohort too, with the class of the distance to
     the expected year (cohort + standard)."""
-    rows = parsed_arrivals(arrivals, cohort, period)
+    rows = parsed_arrivals(arrivals, cohort, period, years)
     if standard_years is None:
         return rows.groupBy("arrival_year").agg(F.sum(n).alias("n"))
     distance = F.col("arrival_year") - (F.col(cohort) + F.lit(float(standard_years)))
@@ -254,12 +266,17 @@ def arrival_by_year(
 
 
 def arrival_by_deviation(
-    arrivals: DataFrame, standard: int | str = 10, cohort: str = "cohort", period: str = "period", n: str = "n"
+    arrivals: DataFrame,
+    standard: int | str = 10,
+    cohort: str = "cohort",
+    period: str = "period",
+    n: str = "n",
+    years: tuple[int, int] = YEARS,
 ) -> DataFrame:
     """Arrivals by deviation from the standard in semesters, with the class of the deviation."""
     std = F.lit(standard) if isinstance(standard, int) else F.col(standard)
     return (
-        parsed_arrivals(arrivals, cohort, period)
+        parsed_arrivals(arrivals, cohort, period, years)
         .groupBy((F.col("gap") - std).alias("deviation"))
         .agg(F.sum(n).alias("n"))
         .withColumn("deviation_class", deviation_class("deviation"))
