@@ -8,36 +8,44 @@ ranges give exact numbers, and no task sees more than one range.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# only how evenly the work is cut depends on these
 SKETCH_ACCURACY = 10
+SAMPLE_SHARE = 0.01
+SAMPLE_SEED = 7
 
 
-def _range_edges(df: DataFrame, value: str, by: Sequence[str], ranges: int) -> list[tuple[tuple, list[float]]]:
-    """Approximate quantiles of each group as plain numbers: (groups x ranges) of them.
+Edges = list[tuple[tuple, list[float]]]
 
-    A range holds about rows / ranges rows, so at most that many distinct values. Where exactly the
-    edges fall has no effect on results; being literals they are the same in every task and retry.
+
+def range_edges(df: DataFrame, value: str, by: Sequence[str] = (), ranges: int | None = None) -> Edges:
+    """Edges that cut the values of each group into ranges of about equal row counts.
+
+    They are approximate quantiles of a sample, from one sketching pass without a shuffle of rows, and
+    come to the driver as (groups x ranges) plain numbers. A range holds about rows / ranges rows, so
+    at most that many distinct values. Where exactly the edges fall, or that there are none, has no
+    effect on results; being literals they are the same in every task and retry.
     """
+    if ranges is None:
+        ranges = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     probes = [i / ranges for i in range(1, ranges)]
-    sketch = F.percentile_approx(value, probes, SKETCH_ACCURACY * ranges).alias("_edges")
-    rows = df.groupBy(*by).agg(sketch).collect()
-    return [
-        (tuple(row[c] for c in by), sorted(set(row["_edges"] or []))) for row in rows
-    ]
+    sketch = F.percentile_approx(F.col(value).cast("double"), probes, SKETCH_ACCURACY * ranges)
+    known = df.sample(SAMPLE_SHARE, SAMPLE_SEED).filter(F.col(value).isNotNull() & ~F.isnan(value))
+    rows = known.groupBy(*by).agg(sketch.alias("_edges")).collect()
+    return [(tuple(row[c] for c in by), sorted(set(row["_edges"] or []))) for row in rows]
 
 
 def _range_number(value: Column, edges: list[float]) -> Column:
     """How many edges lie below the value, by binary search over an array literal."""
     if not edges:
         return F.lit(0)
-    table = F.array(*[F.lit(e) for e in edges])
-    steps, step = [], 1
-    while step <= len(edges):
-        steps.insert(0, step)
-        step *= 2
+    table = F.split(F.lit(",".join(map(repr, edges))), ",").cast("array<double>")
+    steps = [2**i for i in reversed(range(len(edges).bit_length()))]
 
     def probe(found: Column, width: Column) -> Column:
         ahead = found + width
@@ -47,32 +55,35 @@ def _range_number(value: Column, edges: list[float]) -> Column:
 
 
 def cumulative_counts(
-    df: DataFrame, value: str, by: Sequence[str] = (), ranges: int | None = None
+    df: DataFrame,
+    value: str,
+    by: Sequence[str] = (),
+    weight: str | None = None,
+    edges: Edges | None = None,
 ) -> DataFrame:
     """(by..., value, n, before, total): distinct values with their count, the number of rows with a
     smaller value, and the rows of the group. NULL and NaN are left out.
 
-    ``by`` is meant for a handful of groups such as score modules.
+    ``by`` is meant for a handful of groups such as score modules. ``weight`` is how many rows a row
+    stands for. ``edges`` from range_edges spares a pass where they are known.
     """
-    if ranges is None:
-        ranges = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     by = list(by)
-    rows = df.select(*by, F.col(value).cast("double").alias(value)).filter(
+    rows = df.select(*by, F.col(value).cast("double").alias(value), *([weight] if weight else [])).filter(
         F.col(value).isNotNull() & ~F.isnan(value)
     )
-    groups = _range_edges(rows, value, by, ranges)
-    number = F
-    for key, edges in groups:
-        condition = F.lit(True)
-        for c, v in zip(by, key, strict=True):
-            condition = condition & F.col(c).eqNullSafe(F.lit(v))
-        number = number.when(condition, _range_number(F.col(value), edges))
-    number = number.otherwise(F.lit(0)) if groups else F.lit(0)
-
-    counts = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")).withColumn("_range", number)
+    if edges is None:
+        edges = range_edges(rows, value, by)
+    number = F.lit(0)
+    for key, cuts in edges:
+        same = [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(by, key, strict=True)]
+        number = F.when(reduce(and_, same, F.lit(True)), _range_number(F.col(value), cuts)).otherwise(number)
+
+    size = F.sum(weight) if weight else F.count(F.lit(1))
+    # never NULL, so that joining on it adds no filter on the search expression further down
+    number = F.coalesce(number, F.lit(0))
+    counts = rows.groupBy(*by, value).agg(size.alias("n")).withColumn("_range", number)
     lower = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
-    # groups x ranges rows, both known above, so the window and the broadcast stay small
+    # groups x ranges rows, both known above, so the windows and the broadcast stay small
     totals = (
         counts.groupBy(*by, "_range")
         .agg(F.sum("n").alias("_n"))
@@ -80,7 +91,7 @@ def cumulative_counts(
             *by,
             "_range",
             F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_lower"),
-            F.sum("_n").over(whole).alias("total"),
+            F.sum("_n").over(Window.partitionBy(*by)).alias("total"),
         )
     )
     inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
@@ -90,21 +101,29 @@ def cumulative_counts(
     )
 
 
-def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
+def average_rank(
+    df: DataFrame,
+    value: str,
+    by: Sequence[str] = (),
+    weight: str | None = None,
+    edges: Edges | None = None,
+) -> DataFrame:
     """(by..., value, n, rank, total): 1-based rank of each distinct value, ties sharing the mean."""
-    return cumulative_counts(df, value, by, ranges).select(
+    return cumulative_counts(df, value, by, weight, edges).select(
         *by, value, "n", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"), "total"
     )
 
 
-def quantiles(df: DataFrame, value: str, n: int, by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
+def quantiles(
+    df: DataFrame, value: str, n: int, by: Sequence[str] = (), edges: Edges | None = None
+) -> DataFrame:
     """(by..., q, edge, total): the n + 1 exact n-quantile edges, with linear interpolation.
 
     Edge i sits at position i (total - 1) / n of the sorted rows; whole-number arithmetic keeps
     positions that fall on a row exact.
     """
     by = list(by)
-    counts = cumulative_counts(df, value, by, ranges)
+    counts = cumulative_counts(df, value, by, edges=edges)
     positions = counts.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n)))).withColumns(
         {
             "_low": F.floor(F.col("q") * (F.col("total") - 1) / n),

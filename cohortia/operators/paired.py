@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortia.functions.classes import strength_class
 from cohortia.operators.crosstab import dense, row_percent
 from cohortia.operators.histogram import histogram
-from cohortia.operators.ordering import average_rank, quantiles
+from cohortia.operators.ordering import average_rank, quantiles, range_edges
 
 Pairs = Mapping[str, tuple[str, str]]
 
@@ -31,7 +31,8 @@ def melt_pairs(
         entries.append(
             F.struct(F.lit(label).alias("label"), F.col(y).cast("double").alias("y"), earlier.alias("x"))
         )
-    return df.select(*keep, F.inline(F.array(*entries))).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    both = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
+    return df.select(*keep, F.inline(F.array(*entries))).filter(both)
 
 
 def paired_trend(df: DataFrame, year: str, x: str, y: str) -> DataFrame:
@@ -117,35 +118,42 @@ def pearson(df: DataFrame, pairs: Pairs) -> DataFrame:
     return df.agg(*aggregates).select(F.inline(F.array(*entries)))
 
 
-def spearman(df: DataFrame, pairs: Pairs, ranges: int | None = None) -> DataFrame:
+def _sides(pairs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(keep..., side, value): both scores of every pair in one column."""
+    entries = [F.struct(F.lit(s).alias("side"), F.col(s).alias("value")) for s in ("x", "y")]
+    return pairs.select(*keep, F.inline(F.array(*entries)))
+
+
+def spearman(df: DataFrame, pairs: Pairs) -> DataFrame:
     """(label, spearman): Pearson of average ranks over complete pairs.
 
-    Pairs are reduced to counts of equal pairs, ranks are computed on distinct values only, and both
-    meet again in equi-joins on (label, value). The mean of average ranks is (n + 1) / 2, so the
-    sums are taken around it.
+    Equal pairs are reduced to counts; ranks are computed on the distinct values of these counts, and
+    both meet in equi-joins on (label, value). The mean of average ranks is (n + 1) / 2, so the sums
+    are taken around it.
     """
-    joint = melt_pairs(df, pairs).groupBy("label", "x", "y").agg(F.count(F.lit(1)).alias("_n"))
     long = melt_pairs(df, pairs)
-    rank_x = average_rank(long, "x", ["label"], ranges).select("label", "x", F.col("rank").alias("_rx"), "total")
-    rank_y = average_rank(long, "y", ["label"], ranges).select("label", "y", F.col("rank").alias("_ry"))
-    centre = (F.col("total") + 1) / 2
-    ranked = (
-        joint.join(rank_x, ["label", "x"])
-        .join(rank_y, ["label", "y"])
-        .select("label", "_n", (F.col("_rx") - centre).alias("_a"), (F.col("_ry") - centre).alias("_b"))
-    )
-    sums = ranked.groupBy("label").agg(
-        F.sum(F.col("_n") * F.col("_a") * F.col("_b")).alias("_ab"),
-        F.sum(F.col("_n") * F.col("_a") * F.col("_a")).alias("_aa"),
-        F.sum(F.col("_n") * F.col("_b") * F.col("_b")).alias("_bb"),
+    edges = range_edges(_sides(long, ["label"]), "value", ["label", "side"])
+    joint = long.groupBy("label", "x", "y").agg(F.count(F.lit(1)).alias("_n"))
+
+    def ranks_of(side: str) -> DataFrame:
+        cuts = [((label,), values) for (label, s), values in edges if s == side]
+        centred = F.col("rank") - (F.col("total") + 1) / 2
+        return average_rank(joint, side, ["label"], "_n", cuts).select("label", side, centred.alias(f"_{side}"))
+
+    a, b, n = F.col("_x"), F.col("_y"), F.col("_n")
+    sums = (
+        joint.join(ranks_of("x"), ["label", "x"])
+        .join(ranks_of("y"), ["label", "y"])
+        .groupBy("label")
+        .agg(F.sum(n * a * b).alias("_ab"), F.sum(n * a * a).alias("_aa"), F.sum(n * b * b).alias("_bb"))
     )
-    spread = F.sqrt(F.col("_aa")) * F.sqrt(F.col("_bb"))
+    spread = F.sqrt("_aa") * F.sqrt("_bb")
     return sums.select("label", F.when(spread > 0, F.col("_ab") / spread).alias("spearman"))
 
 
-def correlations(df: DataFrame, pairs: Pairs, digits: int | None = None, ranges: int | None = None) -> DataFrame:
+def correlations(df: DataFrame, pairs: Pairs, digits: int | None = None) -> DataFrame:
     """(label, n, pearson, spearman, strength); the two are NULL with fewer than two pairs."""
-    both = pearson(df, pairs).join(spearman(df, pairs, ranges), "label", "left")
+    both = pearson(df, pairs).join(spearman(df, pairs), "label", "left")
     rho = F.when(F.col("n") >= 2, F.col("spearman"))
     r = F.col("pearson")
     if digits is not None:
@@ -166,56 +174,26 @@ def delta_histogram(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
     return histogram(delta(df, x, y), "delta", bins)
 
 
-def _quantile_bin(value: Column, edges: Column, n: int) -> Column:
-    """Right-closed bins 1..n; the lowest edge belongs to the first."""
-    above = F.lit(1)
-    for i in range(1, n):
-        above = above + (value > edges[i]).cast("int")
-    return above
+def _quantile_bin(value: Column, edges: Sequence[float]) -> Column:
+    """Right-closed bins from 1; the lowest edge belongs to the first."""
+    return sum(((value > e).cast("int") for e in edges[1:-1]), F.lit(1))
 
 
-def quantile_transition(
-    df: DataFrame, x: str, y: str, n: int = 5, digits: int | None = None, ranges: int | None = None
-) -> DataFrame:
+def quantile_transition(df: DataFrame, x: str, y: str, n: int = 5, digits: int | None = None) -> DataFrame:
     """(from_bin, to_bin, n, pct): n x n table of quantile bins of x against quantile bins of y.
 
-    Empty when there are fewer than n complete pairs or when edges of either side repeat.
+    Empty when there are fewer than n complete pairs or when edges of either side repeat. The edges
+    are exact; they are 2 (n + 1) numbers that are fetched first, so the counting pass compares each
+    row with constants.
     """
-    sides = {"x": (y, x)}
-    pairs = melt_pairs(df, sides).select("x", "y")
-    long = pairs.select(
-        F.inline(
-            F.array(
-                F.struct(F.lit("x").alias("side"), F.col("x").alias("value")),
-                F.struct(F.lit("y").alias("side"), F.col("y").alias("value")),
-            )
-        )
-    )
-    edges = quantiles(long, "value", n, ["side"], ranges)
-    # 2 (n + 1) edges in one row
-    row = edges.agg(
-        *[
-            F.array(
-                *[F.max(F.when((F.col("side") == side) & (F.col("q") == i), F.col("edge"))) for i in range(n + 1)]
-            ).alias(side)
-            for side in ("x", "y")
-        ],
-        F.max("total").alias("total"),
-    )
-    found = row.select(F.struct("x", "y", "total")).scalar()
-    enough = (
-        (found["total"] >= n)
-        & (F.size(F.array_distinct(found["x"])) == n + 1)
-        & (F.size(F.array_distinct(found["y"])) == n + 1)
-    )
-    counted = (
-        pairs.filter(enough)
-        .groupBy(
-            _quantile_bin(F.col("x"), found["x"], n).alias("from_bin"),
-            _quantile_bin(F.col("y"), found["y"], n).alias("to_bin"),
-        )
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    pairs = melt_pairs(df, {"": (y, x)}).select("x", "y")
+    found = quantiles(_sides(pairs), "value", n, ["side"]).collect()
+    edges = {s: [r["edge"] for r in sorted(found, key=lambda r: r["q"]) if r["side"] == s] for s in ("x", "y")}
+    enough = bool(found) and found[0]["total"] >= n and all(len(set(e)) == n + 1 for e in edges.values())
+    if not enough:
+        return df.sparkSession.createDataFrame([], "from_bin int, to_bin int, n bigint, pct double")
+    counted = pairs.groupBy(
+        _quantile_bin(F.col("x"), edges["x"]).alias("from_bin"), _quantile_bin(F.col("y"), edges["y"]).alias("to_bin")
+    ).agg(F.count(F.lit(1)).alias("n"))
     bins = list(range(1, n + 1))
-    cells = dense(row_percent(counted, ["from_bin"], digits), {"from_bin": bins, "to_bin": bins}, {"n": 0, "pct": 0.0})
-    return cells.filter(enough)
+    return dense(row_percent(counted, ["from_bin"], digits), {"from_bin": bins, "to_bin": bins}, {"n": 0, "pct": 0.0})
