@@ -159,7 +159,8 @@ def with_standard(
     rows = df.sparkSession.createDataFrame(
         [(key, label, Decimal(str(years))) for key, label, years in standards], schema
     )
-    joined = df.join(rows, df[group] == rows["_key"], "left").drop("_key")
+    # the standards are a list in memory, a few rows
+    joined = df.join(F.broadcast(rows), df[group] == rows["_key"], "left").drop("_key")
     years = F.coalesce(F.col("_years").cast("double"), F.lit(float(general_years)))
     return joined.withColumns(
         {"standard_years": years, "standard_semesters": F.round(years * 2).cast("int")}

@@ -3,23 +3,40 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_SHARE = 0.005
+SAMPLE_SHARE = 0.01
+SAMPLE_SEED = 11
+SAMPLED_ROWS = 1000
+MOST_KEYS = 200
 SALTS = 64
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
-    """Keys that hold more than ``share`` of all rows: at most 1 / share of them, whatever the size."""
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return (
-        df.groupBy(*keys)
+def hot_keys(
+    df: DataFrame,
+    keys: Sequence[str],
+    sample_share: float = SAMPLE_SHARE,
+    sampled_rows: int = SAMPLED_ROWS,
+) -> list[tuple]:
+    """The most frequent keys with at least ``sampled_rows`` rows in a sample; MOST_KEYS at most. The
+    NULL key may be one of them.
+
+    One pass over a sample of the key columns. Which keys are found never changes a join's result,
+    only how its work is spread.
+    """
+    counted = (
+        df.select(*keys)
+        .sample(sample_share, SAMPLE_SEED)
+        .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > total * share)
-        .select(*keys)
+        .filter(F.col("_rows") >= sampled_rows)
     )
+    found = counted.orderBy(F.desc("_rows"), *keys).limit(MOST_KEYS).collect()
+    return [tuple(row[k] for k in keys) for row in found]
 
 
 def skew_join(
@@ -27,31 +44,41 @@ def skew_join(
     right: DataFrame,
     keys: Sequence[str],
     how: str = "inner",
-    share: float = HOT_SHARE,
     salts: int = SALTS,
+    hot: list[tuple] | None = None,
 ) -> DataFrame:
-    """Equi-join of any left side with a right side that has one row per key.
+    """Equi-join whose left side may have keys with very many rows.
 
-    Rows of the hot keys of the left side are spread over ``salts`` sub-keys, and the few right
-    rows of those keys are repeated once per sub-key, so no task gets a whole hot key. Which sub-key
-    a row gets does not change the result. Rows with a NULL key match nothing and are spread too.
+    Rows of hot left keys are spread over ``salts`` sub-keys and the right rows of those keys are
+    repeated once per sub-key, so no task gets a whole hot key; which sub-key a row gets does not
+    change the result. Rows with a NULL key match nothing and are spread like a hot key. Without hot
+    keys it is the plain join.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_join cannot do {how}")
     keys = list(keys)
-    # at most 1 / share rows, so this broadcast does not grow with the data
-    hot = F.broadcast(hot_keys(left, keys, share).filter(_all_set(keys)).withColumn("_hot", F.lit(True)))
+    if hot is None:
+        hot = hot_keys(left, keys)
+    if how in ("inner", "left_semi"):
+        hot = [values for values in hot if None not in values]
+    if not hot:
+        return left.join(right, keys, how)
     spread = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
-    salted_left = left.join(hot, keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | ~_all_set(keys), spread).otherwise(F.lit(0))
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_right = right.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt", "_hot")
+    is_hot = _is_one_of(keys, [values for values in hot if None not in values])
+    salt = F.when(is_hot | ~_all_set(keys), spread).otherwise(F.lit(0))
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    salted_right = right.withColumn("_salt", F.explode(copies))
+    return left.withColumn("_salt", salt).join(salted_right, [*keys, "_salt"], how).drop("_salt")
+
+
+def _all_set(keys: Sequence[str]) -> Column:
+    return reduce(and_, [F.col(k).isNotNull() for k in keys])
 
 
-def _all_set(keys: Sequence[str]):
-    condition = F.col(keys[0]).isNotNull()
-    for key in keys[1:]:
-        condition = condition & F.col(key).isNotNull()
-    return condition
+def _is_one_of(keys: Sequence[str], hot: list[tuple]) -> Column:
+    if not hot:
+        return F.lit(False)
+    if len(keys) == 1:
+        return F.coalesce(F.col(keys[0]).isin(*[values[0] for values in hot]), F.lit(False))
+    matches = [reduce(and_, [F.col(k).eqNullSafe(F.lit(v)) for k, v in zip(keys, values, strict=True)]) for values in hot]
+    return reduce(or_, matches)
