@@ -100,19 +100,24 @@ def contribution_kpis(long: DataFrame, year: str, aggregates: Iterable[str], mai
 
 
 def pearson(df: DataFrame, pairs: Pairs) -> DataFrame:
-    """(label, n, pearson) of every pair from one pass."""
+    """(label, n, pearson) of every pair from one pass; NULL below two pairs or where a side does not
+    vary (the built-in correlation divides by zero there)."""
     aggregates, entries = [], []
     for i, (label, (y, x)) in enumerate(pairs.items()):
-        both = F.col(x).isNotNull() & F.col(y).isNotNull()
+        x, y = F.col(x).cast("double"), F.col(y).cast("double")
+        both = x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y)
+        x, y = F.when(both, x), F.when(both, y)
         aggregates += [
             F.count_if(both).alias(f"_n{i}"),
-            F.corr(F.col(x).cast("double"), F.col(y).cast("double")).alias(f"_r{i}"),
+            F.covar_pop(x, y).alias(f"_c{i}"),
+            (F.stddev_pop(x) * F.stddev_pop(y)).alias(f"_s{i}"),
         ]
+        enough = (F.col(f"_n{i}") >= 2) & (F.col(f"_s{i}") > 0)
         entries.append(
             F.struct(
                 F.lit(label).alias("label"),
                 F.col(f"_n{i}").alias("n"),
-                F.when(F.col(f"_n{i}") >= 2, F.col(f"_r{i}")).alias("pearson"),
+                F.when(enough, F.col(f"_c{i}") / F.col(f"_s{i}")).alias("pearson"),
             )
         )
     return df.agg(*aggregates).select(F.inline(F.array(*entries)))

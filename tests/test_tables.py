@@ -206,6 +206,11 @@ def test_trend_of_one_point_and_of_a_constant(spark):
     assert (fit["slope"], fit["r2"]) == (0.0, 1.0)
 
 
+def test_trend_of_a_constant_x(spark):
+    same = spark.createDataFrame([(2010, 1.0), (2010, 2.0)], "x int, y double")
+    assert records(trend.linear_fit(same, "x", "y"))[0]["slope"] is None
+
+
 def test_shares_sum_to_100(spark):
     frame = spark.createDataFrame([(2010, 30, 70), (2011, 0, 0)], "x int, a int, b int")
     found = rows(trend.stacked_share(frame, "x", ["a", "b"]))
