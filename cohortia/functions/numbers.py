@@ -14,15 +14,14 @@ def as_column(c: str | Column) -> Column:
 
 def nan_to_null(c: str | Column) -> Column:
     """NaN means missing here; averages in Spark would carry it on."""
-    c = as_column(c)
-    return F.when(~F.isnan(c), c)
+    return F.nanvl(as_column(c).cast("double"), F.lit(None).cast("double"))
 
 
 def to_number(c: str | Column) -> Column:
     """Text or number to double; bad text and NaN become NULL instead of an error."""
     text = F.trim(as_column(c).cast("string"))
     # a trailing d or f is a number suffix to the cast, but not a number in exam files
-    return nan_to_null(F.when(~text.rlike("[dDfF]$"), text.try_cast("double")))
+    return nan_to_null(F.regexp_replace(text, "[dDfF]$", "?").try_cast("double"))
 
 
 def to_flag(c: str | Column, truth: Iterable[str]) -> Column:

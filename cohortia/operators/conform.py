@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, NumericType, StructType
 
-from cohortia.functions.numbers import to_number
+from cohortia.functions.numbers import nan_to_null, to_number
 
 
 def conform(df: DataFrame, schema: StructType, aliases: Mapping[str, str] | None = None) -> DataFrame:
@@ -17,15 +17,18 @@ def conform(df: DataFrame, schema: StructType, aliases: Mapping[str, str] | None
     ``aliases`` maps an old column name to the contract's name; where both are present the contract's
     own column wins and the old one fills its gaps.
     """
-    present = set(df.columns)
+    types = {f.name: f.dataType for f in df.schema.fields}
     columns = []
     for field in schema.fields:
         names = [field.name] + [old for old, new in (aliases or {}).items() if new == field.name]
-        found = [n for n in names if n in present]
-        numeric = isinstance(field.dataType, NumericType)
-        cast = [
-            (to_number(n) if numeric else F.col(n)).cast(field.dataType) for n in found
-        ]
+        found = [n for n in names if n in types]
+        if isinstance(field.dataType, NumericType):
+            cast = [
+                (nan_to_null(n) if isinstance(types[n], NumericType) else to_number(n)).cast(field.dataType)
+                for n in found
+            ]
+        else:
+            cast = [F.col(n).cast(field.dataType) for n in found]
         value = F.coalesce(*cast) if cast else F.lit(None).cast(field.dataType)
         columns.append(value.alias(field.name))
     return df.select(*columns)

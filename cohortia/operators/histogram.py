@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortia.functions.classes import band
+from cohortia.functions.numbers import nan_to_null
 
 
 def _limits(df: DataFrame, columns: Sequence[str], clip: tuple[float, float] | None = None) -> Column:
@@ -27,19 +28,19 @@ def _limits(df: DataFrame, columns: Sequence[str], clip: tuple[float, float] | N
     return df.agg(*ends).select(F.struct(*widened)).scalar()
 
 
-def _bin(value: Column, low: Column, high: Column, bins: int) -> Column:
+def _with_bin(df: DataFrame, name: str, value: str, low: str, high: str, bins: str | int) -> DataFrame:
     """0-based bin of a value inside [low, high]; the edges low + i * width decide, so a value that
     rounding put on the wrong side of its edge is moved."""
-    width = (high - low) / bins
-    guess = F.least(F.floor((value - low) / (high - low) * bins), F.lit(bins - 1))
+    value, low, high = F.col(value), F.col(low), F.col(high)
+    bins = F.lit(bins) if isinstance(bins, int) else F.col(bins)
+    guess, width = F.col("_guess"), (high - low) / bins
     too_high = (value < low + guess * width).cast("int")
     too_low = ((value >= low + (guess + 1) * width) & (guess < bins - 1)).cast("int")
-    return (guess - too_high + too_low).cast("int")
-
-
-def _number(c: str) -> Column:
-    value = F.col(c).cast("double")
-    return F.when(~F.isnan(value), value)
+    return (
+        df.withColumn("_guess", F.least(F.floor((value - low) / (high - low) * bins), bins - 1))
+        .withColumn(name, (guess - too_high + too_low).cast("int"))
+        .drop("_guess")
+    )
 
 
 def histogram(df: DataFrame, c: str, bins: int, clip: tuple[float, float] | None = None) -> DataFrame:
@@ -51,41 +52,42 @@ def histograms(df: DataFrame, columns: Mapping[str, int], clip: tuple[float, flo
     """(field, bin, low, high, n): histograms of several columns from one pass for the limits and
     one for the counts. ``columns`` maps column to number of bins."""
     names = list(columns)
-    values = df.select(*[_number(c).alias(c) for c in names])
+    values = df.select(*[nan_to_null(c).alias(c) for c in names])
     ends = _limits(values, names, clip)
-    binned = F.array(
-        *[
-            F.struct(F.lit(c).alias("field"), _bin(F.col(c), ends[f"low{i}"], ends[f"high{i}"], columns[c]).alias("bin"))
-            for i, c in enumerate(names)
-        ]
-    )
+
+    def frames(*extra) -> Column:
+        return F.array(
+            *[
+                F.struct(
+                    F.lit(c).alias("field"),
+                    F.lit(columns[c]).alias("_bins"),
+                    F.col(f"_ends.low{i}").alias("_low"),
+                    F.col(f"_ends.high{i}").alias("_high"),
+                    *[e(c) for e in extra],
+                )
+                for i, c in enumerate(names)
+            ]
+        )
+
+    long = values.withColumn("_ends", ends).select(F.inline(frames(lambda c: F.col(c).alias("_v"))))
+    inside = long.filter(F.col("_v").between(F.col("_low"), F.col("_high")))
     counted = (
-        values.select(F.inline(binned))
-        .filter(F.col("bin") >= 0)
+        _with_bin(inside, "bin", "_v", "_low", "_high", "_bins")
         .groupBy("field", "bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    frames = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("field"),
-                F.lit(columns[c]).alias("_bins"),
-                ends[f"low{i}"].alias("_low"),
-                ((ends[f"high{i}"] - ends[f"low{i}"]) / columns[c]).alias("_width"),
-            )
-            for i, c in enumerate(names)
-        ]
-    )
+    width = (F.col("_high") - F.col("_low")) / F.col("_bins")
     grid = (
         df.sparkSession.range(1)
-        .select(F.inline(frames))
+        .select(ends.alias("_ends"))
+        .select(F.inline(frames()))
         .filter(F.col("_low").isNotNull())
         .withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("_bins") - 1)))
         .select(
             "field",
             "bin",
-            (F.col("_low") + F.col("bin") * F.col("_width")).alias("low"),
-            (F.col("_low") + (F.col("bin") + 1) * F.col("_width")).alias("high"),
+            (F.col("_low") + F.col("bin") * width).alias("low"),
+            (F.col("_low") + (F.col("bin") + 1) * width).alias("high"),
         )
     )
     return grid.join(counted, ["field", "bin"], "left").select(
@@ -102,35 +104,45 @@ def banded_histogram(
     clip: tuple[float, float] | None = None,
 ) -> DataFrame:
     """(band, bin, low, n): counts on bins shared by all bands, non-empty cells only."""
-    values = df.select(_number(c).alias("_v")).filter(F.col("_v").isNotNull())
-    ends = _limits(values, ["_v"], clip)
-    low, high = ends["low0"], ends["high0"]
-    return (
-        values.filter(F.col("_v").between(low, high))
+    values = df.select(nan_to_null(c).alias("_v")).filter(F.col("_v").isNotNull())
+    limits = _limits(values, ["_v"], clip)
+    inside = (
+        values.withColumn("_ends", limits)
+        .select("_v", F.col("_ends.low0").alias("_low"), F.col("_ends.high0").alias("_high"))
+        .filter(F.col("_v").between(F.col("_low"), F.col("_high")))
         .withColumn("band", band("_v", edges, labels))
         .filter(F.col("band").isNotNull())
-        .groupBy("band", _bin(F.col("_v"), low, high, bins).alias("bin"))
+    )
+    # the limits are the same in every row
+    return (
+        _with_bin(inside, "bin", "_v", "_low", "_high", bins)
+        .groupBy("band", "bin", "_low", "_high")
         .agg(F.count(F.lit(1)).alias("n"))
-        .select("band", "bin", (low + F.col("bin") * ((high - low) / bins)).alias("low"), "n")
+        .select(
+            "band", "bin", (F.col("_low") + F.col("bin") * ((F.col("_high") - F.col("_low")) / bins)).alias("low"), "n"
+        )
     )
 
 
 def density2d(df: DataFrame, x: str, y: str, bins: int = 45) -> DataFrame:
     """(x_bin, y_bin, x_mid, y_mid, n): non-empty cells of the 2-D histogram of complete pairs."""
-    values = df.select(_number(x).alias("_x"), _number(y).alias("_y")).dropna()
-    ends = _limits(values, ["_x", "_y"])
+    values = df.select(nan_to_null(x).alias("_x"), nan_to_null(y).alias("_y")).dropna()
+    ends = ["_x_low", "_x_high", "_y_low", "_y_high"]
+    names = ["low0", "high0", "low1", "high1"]
+    ranged = values.withColumn("_ends", _limits(values, ["_x", "_y"])).select(
+        "_x", "_y", *[F.col(f"_ends.{n}").alias(e) for n, e in zip(names, ends, strict=True)]
+    )
+    binned = _with_bin(_with_bin(ranged, "x_bin", "_x", "_x_low", "_x_high", bins), "y_bin", "_y", "_y_low", "_y_high", bins)
 
-    def mid(bin_name: str, i: int) -> Column:
-        low, high = ends[f"low{i}"], ends[f"high{i}"]
-        return low + (F.col(bin_name) + 0.5) * ((high - low) / bins)
+    def mid(axis: str) -> Column:
+        low, high = F.col(f"_{axis}_low"), F.col(f"_{axis}_high")
+        return (low + (F.col(f"{axis}_bin") + 0.5) * ((high - low) / bins)).alias(f"{axis}_mid")
 
+    # the limits are the same in every row
     return (
-        values.groupBy(
-            _bin(F.col("_x"), ends["low0"], ends["high0"], bins).alias("x_bin"),
-            _bin(F.col("_y"), ends["low1"], ends["high1"], bins).alias("y_bin"),
-        )
+        binned.groupBy("x_bin", "y_bin", *ends)
         .agg(F.count(F.lit(1)).alias("n"))
-        .select("x_bin", "y_bin", mid("x_bin", 0).alias("x_mid"), mid("y_bin", 1).alias("y_mid"), "n")
+        .select("x_bin", "y_bin", mid("x"), mid("y"), "n")
     )
 
 

@@ -101,24 +101,30 @@ def _moments(df: DataFrame, real: str, pred: str) -> Column:
     return row.select(F.struct("*")).scalar()
 
 
-def _is_sigma_outlier(error: Column, m: Column) -> Column:
-    return F.coalesce(F.abs(error - m["mu"]) > 3 * m["sigma"], F.lit(False))
+def _is_sigma_outlier(real: str, pred: str) -> Column:
+    error = F.col(real) - F.col(pred)
+    return F.coalesce(F.abs(error - F.col("_m.mu")) > 3 * F.col("_m.sigma"), F.lit(False))
 
 
 def sigma_stats(df: DataFrame, real: str, pred: str) -> DataFrame:
     """One row: n, mean and sample deviation of the error, the +-1, 2, 3 sigma bands, and the number
     and percentage of rows more than 3 sigma from the mean."""
     pairs = df.dropna(subset=[real, pred])
-    m = _moments(pairs, real, pred)
-    error = F.col(real) - F.col(pred)
-    counted = pairs.agg(F.count(F.lit(1)).alias("n"), F.count_if(_is_sigma_outlier(error, m)).alias("outliers"))
+    flagged = pairs.withColumn("_m", _moments(pairs, real, pred))
+    # the moments are the same in every row
+    counted = flagged.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.first("_m").alias("_m"),
+        F.count_if(_is_sigma_outlier(real, pred)).alias("outliers"),
+    )
+    mu, sigma = F.col("_m.mu"), F.col("_m.sigma")
     bands = []
     for k in (1, 2, 3):
-        bands += [(m["mu"] - k * m["sigma"]).alias(f"low_{k}"), (m["mu"] + k * m["sigma"]).alias(f"high_{k}")]
+        bands += [(mu - k * sigma).alias(f"low_{k}"), (mu + k * sigma).alias(f"high_{k}")]
     return counted.filter(F.col("n") > 0).select(
         "n",
-        m["mu"].alias("mu"),
-        m["sigma"].alias("sigma"),
+        mu.alias("mu"),
+        sigma.alias("sigma"),
         *bands,
         "outliers",
         (F.col("outliers") / F.col("n") * 100).alias("outlier_pct"),
@@ -134,14 +140,10 @@ def ellipse_axes(df: DataFrame, x: str, y: str, level: float = 0.95) -> DataFram
     """One row: centre, covariance, semi-axes and the angle of the major axis of the probability
     ellipse. No row with fewer than four complete pairs."""
     pairs = df.dropna(subset=[x, y])
-    m = _moments(pairs, x, y)
-    row = df.sparkSession.range(1).select(
-        m["n"].alias("n"),
-        m["x"].alias("cx"),
-        m["y"].alias("cy"),
-        m["xx"].alias("xx"),
-        m["xy"].alias("xy"),
-        m["yy"].alias("yy"),
+    row = (
+        df.sparkSession.range(1)
+        .select(_moments(pairs, x, y).alias("_m"))
+        .select("_m.n", F.col("_m.x").alias("cx"), F.col("_m.y").alias("cy"), "_m.xx", "_m.xy", "_m.yy")
     )
     half = (F.col("xx") + F.col("yy")) / 2
     root = F.sqrt(F.pow((F.col("xx") - F.col("yy")) / 2, F.lit(2)) + F.col("xy") * F.col("xy"))
@@ -172,24 +174,25 @@ def ellipse(df: DataFrame, x: str, y: str, level: float = 0.95, points: int = 36
     )
 
 
-def _is_outside(x: Column, y: Column, m: Column, level: float) -> Column:
+def _is_outside(real: str, pred: str, level: float) -> Column:
     """Squared Mahalanobis distance beyond the chi-square quantile; false when it cannot be computed."""
-    dx, dy = x - m["x"], y - m["y"]
-    det = m["xx"] * m["yy"] - m["xy"] * m["xy"]
-    distance = (m["yy"] * dx * dx - 2 * m["xy"] * dx * dy + m["xx"] * dy * dy) / det
-    return F.coalesce(F.when((m["n"] >= 4) & (det > 0), distance > chi2_quantile(level)), F.lit(False))
+    dx, dy = F.col(real) - F.col("_m.x"), F.col(pred) - F.col("_m.y")
+    xx, xy, yy = F.col("_m.xx"), F.col("_m.xy"), F.col("_m.yy")
+    det = xx * yy - xy * xy
+    distance = (yy * dx * dx - 2 * xy * dx * dy + xx * dy * dy) / det
+    return F.coalesce(F.when((F.col("_m.n") >= 4) & (det > 0), distance > chi2_quantile(level)), F.lit(False))
 
 
 def classify_points(df: DataFrame, real: str, pred: str, level: float = 0.95) -> DataFrame:
     """The complete rows with sigma_outlier, ellipse_outlier and point_class: normal, ellipse_only,
     sigma_only or both. Moments come from all rows, in a pass of their own."""
     pairs = df.dropna(subset=[real, pred])
-    m = _moments(pairs, real, pred)
-    flagged = pairs.withColumns(
-        {
-            "sigma_outlier": _is_sigma_outlier(F.col(real) - F.col(pred), m),
-            "ellipse_outlier": _is_outside(F.col(real), F.col(pred), m, level),
-        }
+    flagged = (
+        pairs.withColumn("_m", _moments(pairs, real, pred))
+        .withColumns(
+            {"sigma_outlier": _is_sigma_outlier(real, pred), "ellipse_outlier": _is_outside(real, pred, level)}
+        )
+        .drop("_m")
     )
     sigma, outside = F.col("sigma_outlier"), F.col("ellipse_outlier")
     return flagged.withColumn(

@@ -28,12 +28,13 @@ def linear_fit(df: DataFrame, x: str, y: str) -> DataFrame:
 def linear_trend(df: DataFrame, x: str, y: str) -> DataFrame:
     """(x, y, fitted, slope, r2): the series with its trend line."""
     fit = linear_fit(df, x, y).select(F.struct("slope", "intercept", "r2")).scalar()
-    return df.select(
-        x,
-        y,
-        (fit["intercept"] + fit["slope"] * F.col(x)).alias("fitted"),
-        fit["slope"].alias("slope"),
-        fit["r2"].alias("r2"),
+    slope, intercept = F.col("_fit.slope"), F.col("_fit.intercept")
+    return (
+        df.select(x, y)
+        .withColumn("_fit", fit)
+        .select(
+            x, y, (intercept + slope * F.col(x)).alias("fitted"), slope.alias("slope"), F.col("_fit.r2").alias("r2")
+        )
     )
 
 
@@ -56,14 +57,15 @@ def trend_kpi(df: DataFrame, x: str, y: str) -> DataFrame:
     fit = linear_fit(df, x, y).select(F.struct("points", "slope")).scalar()
     return (
         first_last(df, x, y)
+        .withColumn("_fit", fit)
+        .filter(F.col("_fit.points") >= 2)
         .select(
-            fit["slope"].alias("slope"),
-            trend_class(fit["slope"]).alias("trend"),
-            F.col("first_x"),
-            F.col("last_x"),
+            F.col("_fit.slope").alias("slope"),
+            trend_class("_fit.slope").alias("trend"),
+            "first_x",
+            "last_x",
             F.col("change").alias("total_change"),
         )
-        .filter(fit["points"] >= 2)
     )
 
 

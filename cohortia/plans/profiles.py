@@ -1,13 +1,14 @@
 """Ready-made result sets: each function takes prepared tables and returns named DataFrames.
 
-Nothing runs until a returned table is used. Counts of many columns share one scan and one
-aggregation, so a profile is a handful of jobs, not one per chart. ``table_of`` picks one column out
-of such a shared table.
+A profile's table is put together when it is asked for and runs when it is used. Counts of many columns
+share one scan and one aggregation, so a profile is a handful of jobs, not one per chart. ``table_of``
+picks one column out of such a shared table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import cache, partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,21 @@ from cohortia.operators import (
 from cohortia.plans import constants as fixed
 from cohortia.plans import schemas
 
-Tables = dict[str, DataFrame]
+
+class Profile(Mapping[str, DataFrame]):
+    """Named result tables, each put together on first access."""
+
+    def __init__(self, builders: Mapping[str, Callable[[], DataFrame]]):
+        self._builders = {name: cache(build) for name, build in builders.items()}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self._builders[name]()
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
 
 
 def table_of(counts: DataFrame, field: str, order: str = "count", top: int | None = None) -> DataFrame:
@@ -39,6 +54,22 @@ def table_of(counts: DataFrame, field: str, order: str = "count", top: int | Non
     return one if top is None else one.limit(top)
 
 
+Keep = Callable[[str, DataFrame], DataFrame]
+
+
+def as_is(name: str, df: DataFrame) -> DataFrame:
+    """The default for ``keep``: a table that other tables build on is used as it is, so each of them
+    repeats its joins. A caller may write it and read it back instead, for example with
+    ``lambda name, df: materialize(spark, f"{folder}/{name}", lambda: df)``."""
+    return df
+
+
+def _map_of(
+    counts: DataFrame, field: str, places: DataFrame, name: str, columns: Sequence[str] = (), top: int | None = None
+) -> DataFrame:
+    return geo.match_places(table_of(counts, field, top=top), places, name, columns)
+
+
 # ---- preparation of the yearly tables -----------------------------------------------------------
 
 
@@ -123,19 +154,19 @@ def school_exam_profile(
     nationality: str | None = "estu_nacionalidad",
     wanted_institution: str | None = None,
     pin: str = "",
-) -> Tables:
+) -> Profile:
     """Profile of one school exam: answer counts, age, nationality, score range, wanted institutions."""
     tables = {
-        "counts": frequency.frequency_many(df, columns),
-        "age": _aged(df, dates.age_on(dates.parse_date(birth), as_of), fixed.SCHOOL_AGES),
-        "scores": frequency.score_stats(df, scores, 1),
-        "total": df.agg(F.count(F.lit(1)).alias("n")),
+        "counts": lambda: frequency.frequency_many(df, columns),
+        "age": lambda: _aged(df, dates.age_on(dates.parse_date(birth), as_of), fixed.SCHOOL_AGES),
+        "scores": lambda: frequency.score_stats(df, scores, 1),
+        "total": lambda: df.agg(F.count(F.lit(1)).alias("n")),
     }
     if nationality:
-        tables["nationality"] = frequency.domestic_and_foreign(df, nationality, fixed.HOME_COUNTRY, 20)
+        tables["nationality"] = lambda: frequency.domestic_and_foreign(df, nationality, fixed.HOME_COUNTRY, 20)
     if wanted_institution:
-        tables["wanted_institution"] = frequency.top_pinned(df, wanted_institution, 20, pin)
-    return tables
+        tables["wanted_institution"] = lambda: frequency.top_pinned(df, wanted_institution, 20, pin)
+    return Profile(tables)
 
 
 def degree_exam_profile(
@@ -150,7 +181,7 @@ def degree_exam_profile(
     institution: str = "inst_nombre_institucion",
     programme: str = "estu_prgm_academico",
     payments: Mapping[str, str] | None = None,
-) -> Tables:
+) -> Profile:
     """Profile of one degree exam: answer counts, age, nationality, top 50 institutions and
     programmes, payment flags, score range."""
     if birth_year:
@@ -158,19 +189,19 @@ def degree_exam_profile(
     else:
         age = dates.age_at(dates.parse_date(birth), ref_year)
     tables = {
-        "counts": frequency.frequency_many(df, columns),
-        "age": _aged(df, age, fixed.DEGREE_AGES),
-        "nationality": frequency.domestic_split(df, nationality, fixed.HOME_COUNTRY, country_prefix),
-        "foreign": frequency.foreign_top(df, nationality, fixed.HOME_COUNTRY, 25, country_prefix),
-        "institutions": frequency.frequency(df, institution, 50),
-        "programmes": frequency.frequency(df, programme, 50),
-        "scores": frequency.score_stats(df, scores, 1),
-        "total": df.agg(F.count(F.lit(1)).alias("n")),
+        "counts": lambda: frequency.frequency_many(df, columns),
+        "age": lambda: _aged(df, age, fixed.DEGREE_AGES),
+        "nationality": lambda: frequency.domestic_split(df, nationality, fixed.HOME_COUNTRY, country_prefix),
+        "foreign": lambda: frequency.foreign_top(df, nationality, fixed.HOME_COUNTRY, 25, country_prefix),
+        "institutions": lambda: frequency.frequency(df, institution, 50),
+        "programmes": lambda: frequency.frequency(df, programme, 50),
+        "scores": lambda: frequency.score_stats(df, scores, 1),
+        "total": lambda: df.agg(F.count(F.lit(1)).alias("n")),
     }
     if payments:
-        flagged = df.withColumns({c: numbers.to_flag(c, fixed.TRUTH_SHORT) for c in payments})
-        tables["payments"] = crosstab.flag_totals(flagged, payments)
-    return tables
+        flags = {c: numbers.to_flag(c, fixed.TRUTH_SHORT) for c in payments}
+        tables["payments"] = lambda: crosstab.flag_totals(df.withColumns(flags), payments)
+    return Profile(tables)
 
 
 # ---- fixed values: columns counted in the socio-economic profile --------------------------------
@@ -202,7 +233,9 @@ SOCIO_COLUMNS = (
 )
 
 
-def socioeconomic_profile(df: DataFrame, departments: DataFrame | None = None, department_name: str = "name") -> Tables:
+def socioeconomic_profile(
+    df: DataFrame, departments: DataFrame | None = None, department_name: str = "name", keep: Keep = as_is
+) -> Profile:
     """All tables of the socio-economic page for an already filtered consolidated table.
 
     ``departments`` is the dimension of map names; the built-in coordinates serve when left out.
@@ -211,23 +244,23 @@ def socioeconomic_profile(df: DataFrame, departments: DataFrame | None = None, d
     if departments is None:
         departments = geo.coordinates(spark, fixed.DEPARTMENT_COORDINATES)
     towns = geo.coordinates(spark, fixed.TOWN_COORDINATES)
-    counts = frequency.frequency_many(df, SOCIO_COLUMNS)
+    counts = keep("socio_counts", frequency.frequency_many(df, SOCIO_COLUMNS))
     codes = frequency.code_totals(df, "estu_nse_individual")
     tables = {
-        "counts": counts,
-        "total": df.agg(F.count(F.lit(1)).alias("n")),
-        "sex": table_of(counts, "estu_genero").withColumn("label", text.relabel("value", fixed.SEX_LABELS)),
-        "nationality": frequency.domestic_split(df, "estu_nacionalidad", fixed.HOME_COUNTRY),
-        "foreign": frequency.foreign_top(df, "estu_nacionalidad", fixed.HOME_COUNTRY, 25),
-        "age": _aged(df, F.col("edad"), fixed.DEGREE_AGES),
-        "index": histogram.banded_histogram(
+        "counts": lambda: counts,
+        "total": lambda: df.agg(F.count(F.lit(1)).alias("n")),
+        "sex": lambda: table_of(counts, "estu_genero").withColumn("label", text.relabel("value", fixed.SEX_LABELS)),
+        "nationality": lambda: frequency.domestic_split(df, "estu_nacionalidad", fixed.HOME_COUNTRY),
+        "foreign": lambda: frequency.foreign_top(df, "estu_nacionalidad", fixed.HOME_COUNTRY, 25),
+        "age": lambda: _aged(df, F.col("edad"), fixed.DEGREE_AGES),
+        "index": lambda: histogram.banded_histogram(
             df, "estu_inse_individual", 40, fixed.INDEX_EDGES, fixed.INDEX_LABELS, (0.0, 100.0)
         ),
-        "level": codes.withColumn("label", text.relabel("value", fixed.LEVEL_LABELS)),
-        "origin_type": frequency.class_totals(df, "inst_origen", fixed.ORIGIN_TYPES),
-        "payments": crosstab.flag_totals(df, fixed.PAYMENT_LABELS),
-        "payment_pairs": crosstab.flag_cooccurrence(df, fixed.PAYMENT_LABELS),
-        "stratum_payment": crosstab.flag_by_group(df, "fami_estratovivienda", fixed.PAYMENT_LABELS, fixed.NOT_REPORTED),
+        "level": lambda: codes.withColumn("label", text.relabel("value", fixed.LEVEL_LABELS)),
+        "origin_type": lambda: frequency.class_totals(df, "inst_origen", fixed.ORIGIN_TYPES),
+        "payments": lambda: crosstab.flag_totals(df, fixed.PAYMENT_LABELS),
+        "payment_pairs": lambda: crosstab.flag_cooccurrence(df, fixed.PAYMENT_LABELS),
+        "stratum_payment": lambda: crosstab.flag_by_group(df, "fami_estratovivienda", fixed.PAYMENT_LABELS, fixed.NOT_REPORTED),
     }
     for name, column, top in (
         ("top_department_home", "estu_depto_reside", 10),
@@ -241,81 +274,85 @@ def socioeconomic_profile(df: DataFrame, departments: DataFrame | None = None, d
         ("programmes", "estu_prgm_academico", 30),
         ("nucleus", "estu_nucleo_pregrado", 25),
     ):
-        tables[name] = table_of(counts, column, top=top)
+        tables[name] = partial(table_of, counts, column, top=top)
     for name, column in (
         ("map_department_home", "estu_depto_reside"),
         ("map_department_exam", "estu_depto_presentacion"),
         ("map_department_programme", "estu_prgm_departamento"),
     ):
-        tables[name] = geo.match_places(table_of(counts, column), departments, department_name)
+        tables[name] = partial(_map_of, counts, column, departments, department_name)
     for name, column in (("map_town_home", "estu_mcpio_reside"), ("map_town_exam", "estu_mcpio_presentacion")):
-        tables[name] = geo.match_places(table_of(counts, column, top=60), towns, "name", ["lat", "lon"])
-    return tables
+        tables[name] = partial(_map_of, counts, column, towns, "name", ["lat", "lon"], 60)
+    return Profile(tables)
 
 
-def score_profile(df: DataFrame, bins: int = 40) -> Tables:
+def score_profile(df: DataFrame, bins: int = 40) -> Profile:
     """Histograms of the six scores from one pass, counts of the five levels from another."""
-    return {
-        "total": df.agg(F.count(F.lit(1)).alias("n")),
-        "histograms": histogram.histograms(df, {c: bins for c in schemas.MODULE_SCORES}),
-        "levels": frequency.frequency_many(df, schemas.MODULE_LEVELS),
-    }
+    return Profile(
+        {
+            "total": lambda: df.agg(F.count(F.lit(1)).alias("n")),
+            "histograms": lambda: histogram.histograms(df, {c: bins for c in schemas.MODULE_SCORES}),
+            "levels": lambda: frequency.frequency_many(df, schemas.MODULE_LEVELS),
+        }
+    )
 
 
-def paired_profile(df: DataFrame) -> Tables:
+def paired_profile(df: DataFrame) -> Profile:
     """Trend, difference, density and quintile tables of the six pairs, the English transition and
     the correlations."""
     pairs = {label: (y, x) for label, y, x in fixed.ALL_SCORE_PAIRS}
     tables = {
-        "trend": paired.paired_trends(df, "anio", pairs),
-        "english": crosstab.transition(
+        "trend": lambda: paired.paired_trends(df, "anio", pairs),
+        "english": lambda: crosstab.transition(
             df, "desemp_ingles_sb11", "mod_ingles_desem", fixed.ENGLISH_SCHOOL, fixed.ENGLISH_DEGREE
         ),
-        "correlations": paired.correlations(df, {label: (y, x) for label, y, x in fixed.SCORE_PAIRS}, 3),
+        "correlations": lambda: paired.correlations(df, {label: (y, x) for label, y, x in fixed.SCORE_PAIRS}, 3),
     }
     for label, (y, x) in pairs.items():
-        tables[f"density: {label}"] = histogram.density2d(df, x, y, 50)
-        tables[f"quintiles: {label}"] = paired.quantile_transition(df, x, y, 5)
-        tables[f"delta: {label}"] = paired.delta_summary(df, x, y)
-        tables[f"delta histogram: {label}"] = paired.delta_histogram(df, x, y, 50)
-    return tables
+        tables[f"density: {label}"] = partial(histogram.density2d, df, x, y, 50)
+        tables[f"quintiles: {label}"] = partial(paired.quantile_transition, df, x, y, 5)
+        tables[f"delta: {label}"] = partial(paired.delta_summary, df, x, y)
+        tables[f"delta histogram: {label}"] = partial(paired.delta_histogram, df, x, y, 50)
+    return Profile(tables)
 
 
-def contribution_profile(df: DataFrame) -> Tables:
+def contribution_profile(df: DataFrame) -> Profile:
     """Contribution by year and competence and its indicators; the official global score is filled
     from the computed one on the school side."""
     pairs = {label: (y, x) for label, y, x in fixed.ALL_SCORE_PAIRS}
     official, computed = fixed.AGGREGATE_LABELS
     fallback = {official: fixed.COMPUTED_GLOBAL_PAIR[2]}
     long = paired.contribution(df, "anio", pairs, fallback)
-    return {
-        "long": long,
-        "matrix": paired.contribution_matrix(df, "anio", pairs, fallback),
-        "kpis": paired.contribution_kpis(long, "anio", fixed.AGGREGATE_LABELS, computed),
-        "extremes": summary.matrix_extrema(long, "anio", "label", "value"),
-    }
+    return Profile(
+        {
+            "long": lambda: long,
+            "matrix": lambda: paired.contribution_matrix(df, "anio", pairs, fallback),
+            "kpis": lambda: paired.contribution_kpis(long, "anio", fixed.AGGREGATE_LABELS, computed),
+            "extremes": lambda: summary.matrix_extrema(long, "anio", "label", "value"),
+        }
+    )
 
 
-def institution_comparison(df: DataFrame, selected: Sequence[str]) -> Tables:
+def institution_comparison(df: DataFrame, selected: Sequence[str]) -> Profile:
     """Rankings and best institutions of the filtered rows, and the comparison of the selected ones."""
     key = "inst_nombre_institucion"
     means = ranking.group_means(df, key, ["punt_global_norm", "punt_global_calc_norm"])
     tables = {
-        "ranking": ranking.ranking(means, key, "punt_global_norm"),
-        "ranking_computed": ranking.ranking(means, key, "punt_global_calc_norm"),
-        "best": ranking.best(means, key, ["punt_global_norm", "punt_global_calc_norm"]),
+        "ranking": lambda: ranking.ranking(means, key, "punt_global_norm"),
+        "ranking_computed": lambda: ranking.ranking(means, key, "punt_global_calc_norm"),
+        "best": lambda: ranking.best(means, key, ["punt_global_norm", "punt_global_calc_norm"]),
     }
     if len(selected) >= 2:
         matrix = ranking.compare_groups(df, key, selected, list(fixed.COMPETENCES))
         marked = ranking.mark_extremes(matrix, key, list(fixed.COMPETENCES))
         tables |= {
-            "matrix": matrix,
-            "pairs": ranking.pair_compare(matrix, key, fixed.COMPETENCES),
-            "marked": marked,
-            "spread": ranking.spread(matrix, "punt_global_norm"),
-            "facts": summary.comparison_facts(marked, key, "punt_global_norm"),
+            "matrix": lambda: matrix,
+            "pairs": lambda: ranking.pair_compare(matrix, key, fixed.COMPETENCES),
+            "marked": lambda: marked,
+            "spread": lambda: ranking.spread(matrix, "punt_global_norm"),
+            "facts": lambda: summary.comparison_facts(marked, key, "punt_global_norm"),
         }
-    return tables
+    return Profile(tables)
 
 
 def cohort_continuation(
@@ -325,13 +362,15 @@ def cohort_continuation(
     cohort: int | None = None,
     group: str | None = None,
     distinct: bool = True,
-) -> Tables:
+    keep: Keep = as_is,
+) -> Profile:
     """Funnel, trend, unlinked detail and arrival timing of all cohorts, or of one cohort and group."""
     members = conform.union_years(school, schemas.SCHOOL_EXAM, year="anio_cohorte")
     events = conform.union_years(degree, schemas.DEGREE_EXAM)
     keys = conform.conform(links, schemas.LINK)
-    funnel = link.cohort_funnel(
-        members, keys, "anio_cohorte", "estu_consecutivo", "estu_consecutivo_sb11", distinct
+    funnel = keep(
+        "cohort_funnel",
+        link.cohort_funnel(members, keys, "anio_cohorte", "estu_consecutivo", "estu_consecutivo_sb11", distinct),
     )
     arrivals = link.arrival_counts(
         members,
@@ -346,6 +385,7 @@ def cohort_continuation(
         group="gruporeferencia",
         no_group=fixed.NO_GROUP,
     )
+    arrivals = keep("cohort_arrival", arrivals)
     years = {k: y for k, _, y in fixed.GROUP_STANDARDS}
     picked_group = group if group in years else None
     standard_years = years.get(picked_group, fixed.GENERAL_STANDARD_YEARS)
@@ -357,39 +397,43 @@ def cohort_continuation(
         text.null_label("fami_estratovivienda", fixed.NOT_REPORTED, fixed.NO_STRATUM).alias("fami_estratovivienda"),
         *[text.null_label(c, fixed.NOT_REPORTED).alias(c) for c in schemas.UNLINKED_ATTRIBUTES[1:]],
     )
-    return {
-        "funnel": funnel,
-        "total": link.funnel_total(funnel),
-        "trend": trend.linear_trend(funnel, "anio_cohorte", "unlinked_rate"),
-        "linked_trend": trend.linear_trend(
-            funnel.withColumn("linked_share", F.lit(100) - F.col("unlinked_rate")), "anio_cohorte", "linked_share"
-        ),
-        "trend_kpi": trend.trend_kpi(funnel, "anio_cohorte", "unlinked_rate"),
-        "change": trend.year_change(funnel, "anio_cohorte", "unlinked_rate"),
-        "shares": trend.stacked_share(funnel, "anio_cohorte", ["linked", "unlinked"]),
-        "unlinked_counts": frequency.frequency_many(labelled, schemas.UNLINKED_ATTRIBUTES),
-        "arrivals": arrivals,
-        "timing": link.arrival_timing(picked, standard),
-        "arrival_years": link.arrival_by_year(picked, None if cohort is None else standard_years),
-        "arrival_deviations": link.arrival_by_deviation(picked, standard),
-    }
+    return Profile(
+        {
+            "funnel": lambda: funnel,
+            "total": lambda: link.funnel_total(funnel),
+            "trend": lambda: trend.linear_trend(funnel, "anio_cohorte", "unlinked_rate"),
+            "linked_trend": lambda: trend.linear_trend(
+                funnel.withColumn("linked_share", F.lit(100) - F.col("unlinked_rate")), "anio_cohorte", "linked_share"
+            ),
+            "trend_kpi": lambda: trend.trend_kpi(funnel, "anio_cohorte", "unlinked_rate"),
+            "change": lambda: trend.year_change(funnel, "anio_cohorte", "unlinked_rate"),
+            "shares": lambda: trend.stacked_share(funnel, "anio_cohorte", ["linked", "unlinked"]),
+            "unlinked_counts": lambda: frequency.frequency_many(labelled, schemas.UNLINKED_ATTRIBUTES),
+            "arrivals": lambda: arrivals,
+            "timing": lambda: link.arrival_timing(picked, standard),
+            "arrival_years": lambda: link.arrival_by_year(picked, None if cohort is None else standard_years),
+            "arrival_deviations": lambda: link.arrival_by_deviation(picked, standard),
+        }
+    )
 
 
-def cohort_continuation_csv(members: DataFrame, unlinked_rows: DataFrame, digits: int = 2) -> Tables:
+def cohort_continuation_csv(members: DataFrame, unlinked_rows: DataFrame, digits: int = 2) -> Profile:
     """Continuation of one cohort given as two files: everybody, and those that did not go on."""
     found = [conform.find_column(unlinked_rows, [c]) for c in schemas.UNLINKED_ATTRIBUTES]
     columns = [c for c in found if c]
     labelled = unlinked_rows.select(*[text.null_label(c, fixed.NOT_REPORTED).alias(c) for c in columns])
-    return {
-        "cohort": dates.cohort_year(members, "periodo"),
-        "funnel": link.funnel_of_counts(members, unlinked_rows, digits),
-        "unlinked_counts": frequency.frequency_many(labelled, columns),
-    }
+    return Profile(
+        {
+            "cohort": lambda: dates.cohort_year(members, "periodo"),
+            "funnel": lambda: link.funnel_of_counts(members, unlinked_rows, digits),
+            "unlinked_counts": lambda: frequency.frequency_many(labelled, columns),
+        }
+    )
 
 
 def prediction_quality(
     df: DataFrame, module: str, level: str = "95%", metrics: DataFrame | None = None, sample_key: Sequence[str] = ()
-) -> Tables:
+) -> Profile:
     """Quality of one module on an already filtered slice of predictions."""
     found = prediction.module_columns(df, list(fixed.MODULES))
     real, pred = found[module]
@@ -397,21 +441,21 @@ def prediction_quality(
     points = prediction.classify_points(df, real, pred, confidence)
     errors = df.dropna(subset=[real, pred]).select((F.col(real) - F.col(pred)).alias("error"))
     tables = {
-        "metrics": prediction.error_metrics(df, real, pred),
-        "modules": prediction.error_metrics_by_module(df, found),
-        "sigma": prediction.sigma_stats(df, real, pred),
-        "residuals": histogram.histogram(errors, "error", 60),
-        "distribution": histogram.histograms(df.dropna(subset=[real, pred]), {real: 40, pred: 40}),
-        "ellipse": prediction.ellipse(df, real, pred, confidence),
-        "classes": points.groupBy("point_class").agg(F.count(F.lit(1)).alias("n")),
-        "points": prediction.sample_points(points, list(sample_key) or [real, pred], fixed.SCATTER_POINTS),
+        "metrics": lambda: prediction.error_metrics(df, real, pred),
+        "modules": lambda: prediction.error_metrics_by_module(df, found),
+        "sigma": lambda: prediction.sigma_stats(df, real, pred),
+        "residuals": lambda: histogram.histogram(errors, "error", 60),
+        "distribution": lambda: histogram.histograms(df.dropna(subset=[real, pred]), {real: 40, pred: 40}),
+        "ellipse": lambda: prediction.ellipse(df, real, pred, confidence),
+        "classes": lambda: points.groupBy("point_class").agg(F.count(F.lit(1)).alias("n")),
+        "points": lambda: prediction.sample_points(points, list(sample_key) or [real, pred], fixed.SCATTER_POINTS),
     }
     if metrics is not None:
-        tables["forms"] = prediction.compare_metrics(metrics, "target", "form", ["forma1", "forma2"])
-    return tables
+        tables["forms"] = lambda: prediction.compare_metrics(metrics, "target", "form", ["forma1", "forma2"])
+    return Profile(tables)
 
 
-def stratum_probability(df: DataFrame, father: str | None = None, mother: str | None = None) -> Tables:
+def stratum_probability(df: DataFrame, father: str | None = None, mother: str | None = None) -> Profile:
     """Distribution of the stratum given the parents' education, answers lumped."""
     rows = conform.conform(df, schemas.EDUCATION_STRATUM)
     lumped = rows.withColumns(
@@ -420,18 +464,20 @@ def stratum_probability(df: DataFrame, father: str | None = None, mother: str |
             for c in ("fami_educacionpadre", "fami_educacionmadre")
         }
     )
-    return {
-        "father_options": filters.options(lumped, "fami_educacionpadre"),
-        "mother_options": filters.options(lumped, "fami_educacionmadre"),
-        "probability": crosstab.conditional_share(
-            lumped, "fami_estratovivienda", {"fami_educacionpadre": father, "fami_educacionmadre": mother}
-        ),
-    }
+    return Profile(
+        {
+            "father_options": lambda: filters.options(lumped, "fami_educacionpadre"),
+            "mother_options": lambda: filters.options(lumped, "fami_educacionmadre"),
+            "probability": lambda: crosstab.conditional_share(
+                lumped, "fami_estratovivienda", {"fami_educacionpadre": father, "fami_educacionmadre": mother}
+            ),
+        }
+    )
 
 
 def executive_summary(
     norms: DataFrame, scores: DataFrame, socio: DataFrame, funnel: DataFrame, arrivals: DataFrame, predictions: DataFrame
-) -> Tables:
+) -> Profile:
     """The landing page's tables and indicators, from the consolidated tables."""
     inst = "inst_nombre_institucion"
     modules = prediction.module_columns(predictions, list(fixed.MODULES))
@@ -449,31 +495,31 @@ def executive_summary(
     )
     top_institutions = frequency.top_mean(norms, inst, "punt_global_norm", 10)
     tables = {
-        "top_institutions": top_institutions,
-        "top_institutions_computed": frequency.top_mean(norms, inst, "punt_global_calc_norm", 10),
-        "top_departments": frequency.top_mean(norms, "estu_prgm_departamento", "punt_global_norm", 10),
-        "top_groups": frequency.top_mean(norms, "gruporeferencia", "punt_global_norm", 10),
-        "global_histograms": histogram.histograms(norms, {"punt_global_norm": 40, "punt_global_calc_norm": 40}),
-        "competences": frequency.mean_profile(
+        "top_institutions": lambda: top_institutions,
+        "top_institutions_computed": lambda: frequency.top_mean(norms, inst, "punt_global_calc_norm", 10),
+        "top_departments": lambda: frequency.top_mean(norms, "estu_prgm_departamento", "punt_global_norm", 10),
+        "top_groups": lambda: frequency.top_mean(norms, "gruporeferencia", "punt_global_norm", 10),
+        "global_histograms": lambda: histogram.histograms(norms, {"punt_global_norm": 40, "punt_global_calc_norm": 40}),
+        "competences": lambda: frequency.mean_profile(
             norms, {c: lab for c, lab in fixed.COMPETENCES.items() if c != "punt_global_calc_norm"}, 3
         ),
-        "global_by_year": frequency.group_mean(norms, "anio", "punt_global_norm"),
-        "score_histograms": histogram.histograms(scores, {c: 40 for c in schemas.MODULE_SCORES}),
-        "score_by_year": frequency.group_mean(scores, "anio", "punt_global"),
-        "english_levels": frequency.frequency(scores, "mod_ingles_desem"),
-        "socio_counts": socio_counts,
-        "age_histogram": histogram.histogram(socio, "edad", 35),
-        "rates": funnel.select(
+        "global_by_year": lambda: frequency.group_mean(norms, "anio", "punt_global_norm"),
+        "score_histograms": lambda: histogram.histograms(scores, {c: 40 for c in schemas.MODULE_SCORES}),
+        "score_by_year": lambda: frequency.group_mean(scores, "anio", "punt_global"),
+        "english_levels": lambda: frequency.frequency(scores, "mod_ingles_desem"),
+        "socio_counts": lambda: socio_counts,
+        "age_histogram": lambda: histogram.histogram(socio, "edad", 35),
+        "rates": lambda: funnel.select(
             "anio_cohorte", F.round("linked_rate", 1).alias("linked_rate"), F.round("unlinked_rate", 1).alias("unlinked_rate")
         ),
-        "change": trend.year_change(
+        "change": lambda: trend.year_change(
             funnel.withColumn("rate", F.lit(100) - F.round("linked_rate", 1)), "anio_cohorte", "rate", 1
         ),
-        "timing": link.arrival_timing(arrivals, 10),
+        "timing": lambda: link.arrival_timing(arrivals, 10),
     }
     test = predictions.filter(F.col("split") == "test")
     for module, (real, pred) in modules.items():
-        tables[f"density: {module}"] = histogram.density2d(test, real, pred, 45)
+        tables[f"density: {module}"] = partial(histogram.density2d, test, real, pred, 45)
     distinct = frequency.distinct_counts(norms, [inst, "estu_prgm_academico"])
     wide = distinct.agg(
         F.max(F.when(F.col("field") == inst, F.col("n_distinct"))).alias("universidades"),
@@ -481,7 +527,7 @@ def executive_summary(
     )
     total = link.funnel_total(funnel, 1)
     section = "resumen"
-    tables["kpis"] = summary.kpi_long(
+    tables["kpis"] = lambda: summary.kpi_long(
         [
             summary.indicators(
                 socio.agg(F.count(F.lit(1)).alias("registros")), section, {"kpi_registros=registros": "Registros analizados"}
@@ -498,7 +544,7 @@ def executive_summary(
         ],
         fixed.ESTIMATOR_KEYS,
     )
-    return tables
+    return Profile(tables)
 
 
 def residual_classes(errors: DataFrame) -> DataFrame:

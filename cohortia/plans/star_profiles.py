@@ -61,7 +61,7 @@ def exam_links(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def continuation(spark: SparkSession, folder: str, **picked) -> dict[str, DataFrame]:
+def continuation(spark: SparkSession, folder: str, **picked) -> profiles.Profile:
     return profiles.cohort_continuation(
         school_tables(spark, folder), exam_links(spark, folder), degree_tables(spark, folder), **picked
     )
