@@ -79,7 +79,10 @@ def stacked_share(df: DataFrame, x: str, parts: Sequence[str]) -> DataFrame:
 
 
 def year_change(df: DataFrame, x: str, y: str, digits: int | None = 3) -> DataFrame:
-    """(x, change): difference to the previous row by x; the first has none and is left out."""
+    """(x, change): difference to the previous row by x; the first has none and is left out.
+
+    The window has no partition, so this is for tables with one row per cohort or year.
+    """
     previous = F.lag(y).over(Window.orderBy(x))
     change = F.col(y) - F.col("_previous")
     return (

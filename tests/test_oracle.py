@@ -1,4 +1,4 @@
-"""Every registered query against its SQL in DuckDB on the smallest tables."""
+"""Every registered query against its SQL in DuckDB on small tables."""
 
 import os
 
@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 from tests.compare import connect, differences
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from cohortia.operators import prediction
 from cohortia.plans import constants as fixed
 from cohortia.plans import profiles, schemas
+from cohortia.sources.materialize import materialize
 from tests.conftest import records, rows
 
 
@@ -53,6 +54,20 @@ def test_cohort_continuation(school, links, degree):
     assert rows(law["arrival_years"]) == [(2010, 2015, 1, "standard")]
 
 
+def test_kept_tables_are_written_once(spark, school, links, degree, tmp_path):
+    written = []
+
+    def keep(name, df):
+        written.append(name)
+        return materialize(spark, str(tmp_path / name), lambda: df)
+
+    tables = profiles.cohort_continuation(school, links, degree, keep=keep)
+    assert written == ["cohort_funnel", "cohort_arrival"]
+    assert records(tables["total"])[0]["linked"] == 3
+    assert "Join" not in tables["trend"]._jdf.queryExecution().executedPlan().toString()
+    assert tables["total"] is tables["total"] and len(list(tables)) == len(tables)
+
+
 def test_cohort_continuation_from_two_files(spark, school):
     members = exam(spark, [{"periodo": "20152"}] * 4)
     tables = profiles.cohort_continuation_csv(members, school[2011])
