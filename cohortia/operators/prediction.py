@@ -239,6 +239,17 @@ def compare_metrics(
     return metrics.groupBy(row).pivot(across, list(values)).agg(F.first(metric))
 
 
+def stored_or_computed(
+    stored: DataFrame, computed: DataFrame, keys: Sequence[str], values: Sequence[str] = ("mae", "mse")
+) -> DataFrame:
+    """Metrics per key from the stored table where it has them, else those computed from rows; keys
+    that only the rows know, such as a global module, are kept."""
+    known = stored.select(*keys, *[F.col(v).alias(f"_{v}") for v in values])
+    return computed.join(known, list(keys), "left").select(
+        *keys, *[F.coalesce(f"_{v}", v).alias(v) for v in values]
+    )
+
+
 def choose_k(sweep: DataFrame, by: Sequence[str] = ("form",), k: str = "k", mae: str = "mae_val") -> DataFrame:
     """The sweep with ``chosen``: the k of least validation error, the smaller one when equal."""
     picked = sweep.groupBy(*by).agg(F.min_by(k, F.struct(F.col(mae), F.col(k))).alias("_k"))

@@ -13,6 +13,7 @@ from cohortia.operators import filters
 from cohortia.plans import constants as fixed
 from cohortia.plans import profiles
 from cohortia.plans.registry import query, table
+from cohortia.plans.star_scores import PREDICTIONS_SQL, histogram_sql, predictions
 from cohortia.plans.star_tables import rounded
 
 YEARS = range(1995, 2002)
@@ -333,3 +334,45 @@ def degree_profile(spark, folder):
     flags = tables["payments"].select(F.lit("payments").alias("part"), F.col("flag").alias("value"), "n")
     total = tables["total"].select(F.lit("total").alias("part"), F.lit("rows").alias("value"), "n")
     return parts[0].unionByName(parts[1]).unionByName(flags).unionByName(total)
+
+
+# ---- prediction quality and the executive summary ------------------------------------------------
+
+
+def exam_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """Price predictions under the names of an exam module, scaled to 0-1."""
+    return predictions(spark, folder).select(
+        "l_orderkey",
+        "l_linenumber",
+        F.when(F.col("split") == "A", F.lit("test")).otherwise(F.lit("train")).alias("split"),
+        (F.col("price_real") / 100).alias("ingles_real"),
+        (F.col("price_pred") / 100).alias("ingles_pred"),
+    )
+
+
+@query(
+    f"""WITH {PREDICTIONS_SQL}, e AS (SELECT price_real / 100 - price_pred / 100 AS error FROM pred WHERE split = 'A'),
+    {histogram_sql('e', 'error', 60)} SELECT bin, round(low, 9) + 0.0 AS low, round(high, 9) + 0.0 AS high, n FROM h"""
+)
+def residual_histogram(spark, folder):
+    test = filters.prediction_slice(exam_predictions(spark, folder), split="test")
+    return rounded(profiles.prediction_quality(test, "ingles")["residuals"], "low", "high", digits=9)
+
+
+@query(
+    f"""WITH {NORMS_SQL}, b AS (SELECT inst FROM norms GROUP BY ALL ORDER BY avg(g) DESC, inst LIMIT 1),
+    l AS (SELECT round(count(*) FILTER (o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')) * 100.0 / count(*), 1)::DOUBLE AS r FROM orders),
+    k AS (SELECT 'kpi_registros' AS item, 'Registros analizados' AS label, (SELECT count(*) FROM orders)::VARCHAR AS value
+      UNION ALL SELECT 'kpi_universidades', 'Universidades', count(DISTINCT inst)::VARCHAR FROM norms
+      UNION ALL SELECT 'kpi_programas', 'Programas académicos', (SELECT count(DISTINCT l_linestatus) FROM lineitem)::VARCHAR
+      UNION ALL SELECT 'kpi_tasa', 'Tasa de profesionalización', r::VARCHAR FROM l
+      UNION ALL SELECT 'kpi_mejor', 'Mejor universidad (Global)', inst FROM b)
+    SELECT 'resumen' AS section, item, 'kpi' AS kind, label, value, 'indicator' AS tag FROM k"""
+)
+def executive_indicators(spark, folder):
+    tables = continuation(spark, folder)
+    norms = profiles.consolidated_norms(norm_tables(spark, folder))
+    people = socio(spark, folder)
+    return profiles.executive_summary(
+        norms, people, people, tables["funnel"], tables["arrivals"], exam_predictions(spark, folder)
+    )["kpis"]

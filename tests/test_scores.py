@@ -276,6 +276,13 @@ def test_global_column_gets_its_name(spark):
     assert prediction.canonical_global(frame.toDF("x")).columns == ["x"]
 
 
+def test_stored_metrics_win(spark):
+    stored = spark.createDataFrame([("f1", "a", 0.1, None)], "form string, module string, mae double, mse double")
+    computed = spark.createDataFrame([("f1", "a", 0.5, 0.25), ("f1", "global", 0.2, 0.04)], "form string, module string, mae double, mse double")
+    found = prediction.stored_or_computed(stored, computed, ["form", "module"])
+    assert rows(found) == [("f1", "a", 0.1, 0.25), ("f1", "global", 0.2, 0.04)]
+
+
 def test_chosen_k(spark):
     sweep = [("forma1", 8, 0.0649), ("forma1", 256, 0.0616), ("forma1", 128, 0.0620), ("forma2", 16, 0.07), ("forma2", 8, 0.07)]
     found = prediction.choose_k(spark.createDataFrame(sweep, "form string, k int, mae_val double"))
