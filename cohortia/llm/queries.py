@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortia.llm import mixing, urls
+from cohortia.llm import mixing, tokens, urls
 from cohortia.llm.registry import query, table
 
 URL_RULES = [
@@ -60,3 +60,8 @@ FROM queued q LEFT JOIN taken USING (doc_id) GROUP BY ALL
 @query(MIX_SQL)
 def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query()
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_documents(table(spark, sf_dir, "documents"), tokens.default_tokenizer())
