@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortia.llm import mixing, tokens, urls
+from cohortia.llm import languages, mixing, quality, tokens, urls
 from cohortia.llm.registry import query, table
 
 URL_RULES = [
@@ -17,6 +17,28 @@ URL_RULES = [
 ]
 
 
+def remainder(column: str, n: int) -> Column:
+    """crc32 of the id as text, modulo n."""
+    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
+
+
+@query()
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    known = labels.filter(remainder("doc_id", 4) != 2).select("doc_id", "quality")
+    machine = quality.learn_quality(docs.select("doc_id", "text", "n_chars").join(known, "doc_id"), "quality", metadata=["n_chars"])
+    scored = quality.score_quality(docs, machine, metadata=["n_chars"])
+    return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query()
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known = languages.learn_languages(docs.filter(remainder("doc_id", 5) != 0))
+    found = languages.identify(docs.select("doc_id", "text"), known)
+    return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 @query()
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = urls.fit_url_model(urls.labelled_urls(spark))
