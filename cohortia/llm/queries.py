@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortia.llm import languages, mixing, quality, tokens, urls
+from cohortia.llm import copies, languages, mixing, quality, tokens, urls
 from cohortia.llm.registry import query, table
 
 URL_RULES = [
@@ -31,6 +31,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+@query()
+def op2_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies.near_copies(table(spark, sf_dir, "documents"), size=2)
+
+
 @query()
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
