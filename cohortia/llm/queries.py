@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortia.llm import copies, languages, mixing, quality, tokens, urls
+from cohortia.llm import copies, languages, mixing, quality, tokens, urls, vectors
 from cohortia.llm.registry import query, table
 
 URL_RULES = [
@@ -44,6 +44,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+@query()
+def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query()
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = urls.fit_url_model(urls.labelled_urls(spark))
