@@ -26,7 +26,9 @@ from cohortia.llm.shared import BLOCK_BYTES, keep, shared_folder, small_batches
 #: Sequences of a record batch.
 SEQUENCES = 128
 #: Pieces whose ids a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 700_000
+#: Pieces that go through the tokenizer as one text.
+TOGETHER = 256
 
 _coders: dict[tuple, Coder] = {}
 
@@ -35,8 +37,8 @@ class Coder:
     """Ids of whole texts, as little-endian bytes.
 
     Byte-level vocabularies split a text before every space that a visible character follows, so the pieces between such
-    places have ids of their own. Each piece goes through the tokenizer once and is remembered, as words repeat a lot;
-    the ids are those of the whole text.
+    places have ids of their own. Pieces go through the tokenizer and are remembered, as words repeat a lot; the ids are
+    those of the whole text.
     """
 
     def __init__(self, path: str):
@@ -46,40 +48,60 @@ class Coder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes | None] = {}
+        size = self.tokenizer.get_vocab_size()
+        self.spaced = np.array([(self.tokenizer.id_to_token(k) or "").startswith("\u0120") for k in range(size)])
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _uneven(self, pieces: list[str]) -> bytes:
+    def _even(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces after a space. Many go through as one text; a piece holds no space but the one before it, so
+        each begins at the next id whose token starts with a space."""
+        texts = ["".join([" " + p for p in pieces[k : k + TOGETHER]]) for k in range(0, len(pieces), TOGETHER)]
+        found = []
+        for ids, k in zip(self._ids(texts), range(0, len(pieces), TOGETHER), strict=True):
+            own = pieces[k : k + TOGETHER]
+            starts = np.flatnonzero(self.spaced[np.frombuffer(ids, self.kind)]) * self.kind.itemsize
+            if len(starts) == len(own) and starts[0] == 0:
+                ends = [*starts[1:].tolist(), len(ids)]
+                found += [ids[a:b] for a, b in zip(starts.tolist(), ends, strict=True)]
+            else:  # a vocabulary with tokens of another kind
+                found += self._ids([" " + p for p in own])
+        return found
+
+    def _uneven(self, pieces: list[str], known: dict[str, bytes | None]) -> bytes:
         """For texts with several spaces together: pieces that start with white space belong to the piece before."""
         found, own, merged = [], pieces[0], True
         for piece in pieces[1:]:
-            if self.known.get(piece) is None:
+            if known[piece] is None:
                 own, merged = (own if merged else " " + own) + " " + piece, True
             else:
                 found.append((own, merged))
                 own, merged = piece, False
         found.append((own, merged))
         fresh = iter(self._ids([x for x, merged in found if merged]))
-        return b"".join([next(fresh) if merged else self.known[x] for x, merged in found])
+        return b"".join([next(fresh) if merged else known[x] for x, merged in found])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [text.split(" ") for text in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        fresh = list({piece for pieces in split for piece in pieces[1:]} - self.known.keys())
+        fresh = list(set().union(*split).difference(self.known))
         even = [p for p in fresh if p and not p[0].isspace()]
-        self.known.update(dict.fromkeys(fresh))
-        self.known.update(zip(even, self._ids([" " + p for p in even]), strict=True))
-        firsts = self._ids([pieces[0] for pieces in split])
-        found = []
+        found = dict.fromkeys(fresh)
+        found.update(zip(even, self._even(even), strict=True))
+        # the commonest pieces come early; when enough are remembered, others are worked out in each block anew
+        known = self.known
+        if len(known) < REMEMBERED:
+            known.update(found)
+            found = {}
+        firsts, get = self._ids([pieces[0] for pieces in split]), known.get
+        result = []
         for first, pieces in zip(firsts, split, strict=True):
-            parts = [self.known[p] for p in pieces[1:]]
+            parts = [get(p) or found.get(p) for p in pieces[1:]]
             try:
-                found.append(first + b"".join(parts))
+                result.append(first + b"".join(parts))
             except TypeError:
-                found.append(self._uneven(pieces))
-        return found
+                result.append(self._uneven(pieces, dict(zip(pieces[1:], parts, strict=True))))
+        return result
 
 
 def default_tokenizer() -> str:
