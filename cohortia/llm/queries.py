@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortia.llm import copies, languages, mixing, quality, tokens, urls, vectors
+from cohortia.llm import copies, languages, leaks, mixing, quality, tokens, urls, vectors
 from cohortia.llm.registry import query, table
 
 URL_RULES = [
@@ -49,6 +49,13 @@ def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+@query()
+def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = leaks.mark_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("leaks").alias("leak"))
+    return found.select("doc_id", F.col("leak.item").alias("item_id"), "leak.windows", "leak.found", "leak.start", "leak.end", "leak.edits")
+
+
 @query()
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = urls.fit_url_model(urls.labelled_urls(spark))

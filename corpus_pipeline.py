@@ -1,10 +1,68 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: from raw documents to token files, one operator per stage.
+
+Each stage takes (spark, docs, sf_dir) and all documents that the one before kept, and returns documents with the same
+columns; the last returns what its files hold. ``run`` writes every stage's documents to the shared folder.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cohortia.llm import copies, languages, leaks, mixing, tokens
+from cohortia.llm.shared import keep
+
+#: Documents whose two best languages are nearer than this share of their encoded size go.
+NARROW = 0.005
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without letters and those whose language isn't clear. Dictionaries are learned from ``lang``."""
+    found = languages.identify(docs, languages.learn_languages(docs), narrow=NARROW, prefix="_")
+    return found.filter(~F.col("_rejected")).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least id of every group of near copies (five words, 80 percent), and documents with a
+    NULL id. Of equal rows one stays."""
+    groups = copies.near_copies(docs.select("doc_id", "text"))
+    gone = groups.filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark passage."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return leaks.mark_leaks(docs, items, column="_leaks").filter(F.size("_leaks") == 0).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, also where that is in part."""
+    taken = mixing.mix_sources(docs).groupBy("doc_id").agg(F.max("rounds").alias("_rounds")).filter("_rounds > 0")
+    taken = taken.withColumnRenamed("doc_id", "_id")
+    mixed = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return mixed.withColumn("_round", F.explode(F.sequence(F.lit(1), F.col("_rounds")))).select(*docs.columns)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files; a row per document in the order of the files."""
+    return tokens.encode_documents(docs, tokens.default_tokenizer())
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near_copies", drop_near_copies),
+    ("leaks", drop_leaks),
+    ("mix", mix_sources),
+    ("tokens", write_tokens),
+]
+
+#: Compression, MinHash and tokens have no SQL; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
