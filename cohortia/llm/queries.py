@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortia.llm import copies, languages, leaks, mixing, quality, tokens, urls, vectors
+from cohortia.llm import copies, languages, leaks, mixing, quality, repeats, tokens, urls, vectors
 from cohortia.llm.registry import query, table
 
 URL_RULES = [
@@ -49,6 +49,11 @@ def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+@query()
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.cut_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 @query()
 def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
