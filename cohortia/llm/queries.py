@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortia.llm import copies, languages, leaks, mixing, quality, repeats, tokens, urls, vectors
+from cohortia.llm import copies, languages, leaks, mixing, personal, quality, repeats, tokens, urls, vectors
 from cohortia.llm.registry import query, table
 
 URL_RULES = [
@@ -36,6 +36,12 @@ def op2_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.near_copies(table(spark, sf_dir, "documents"), size=2)
 
 
+@query()
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return personal.find_personal_data(docs, personal.learn_field(docs))
+
+
 @query()
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
