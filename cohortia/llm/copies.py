@@ -177,7 +177,8 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_column: st
 
     def involved() -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        chosen = rows.join(ids, "id", "left_semi").dropDuplicates(["id"])
+        # these ids grow with the documents: dealt by id at every size, never sent to all executors
+        chosen = rows.join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
 
         def spell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch, data, offsets in blocks(batches, "text"):
