@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,9 @@ def keep(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """Sets the batch size for the Python steps below, so that long texts don't add up in memory."""
+    """Sets the batch size for the Python steps below, so that long texts don't add up in memory, and lets the workers of
+    a local session find this package wherever the driver found it."""
+    df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df
 
