@@ -67,10 +67,11 @@ def block_features(data: np.ndarray, offsets: np.ndarray, metadata: Sequence[np.
     commonest = np.zeros(n, np.int64)
     np.maximum.at(commonest, word_doc, counts)
     fresh = np.flatnonzero(_CLASSES["line"][data]) + 1
-    line_starts = np.union1d(offsets[:-1], fresh[fresh < len(data)])
-    line_ends = np.append(line_starts[1:], len(data))
+    line_starts = np.union1d(offsets[:-1], fresh)
+    line_starts = line_starts[line_starts < len(data)]
+    line_ends = np.append(line_starts[1:], len(data))[: len(line_starts)]
     sums, down = prefix_sums(data)
-    line_hash = (sums[line_ends] - sums[line_starts]) * down[np.minimum(line_starts, len(down) - 1)]
+    line_hash = (sums[line_ends] - sums[line_starts]) * down[line_starts]
     line_doc = np.searchsorted(offsets, line_starts, "right") - 1
     n_lines = np.bincount(line_doc, minlength=n)
     order = np.lexsort((line_hash, line_doc))

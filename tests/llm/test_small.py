@@ -318,7 +318,7 @@ def test_leaks_in_passes(spark, monkeypatch):
 
 
 def test_nearest():
-    assert leaks.nearest(b"kitten", np.frombuffer(b"xx sitting xx", np.uint8)) == (2, 8)
+    assert leaks.nearest(b"kitten", np.frombuffer(b"xx sitting xx", np.uint8)) == (2, 9)
 
 
 # tokens
