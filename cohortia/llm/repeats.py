@@ -17,7 +17,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortia.llm.shared import blocks, keep, mix, prefix_sums, small_batches
@@ -62,7 +62,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
 
 
 def _scan(length: int, surroundings: bool):
-    """Rows (a) of all anchors, or (k1, k2, id, a, c, pos, left, right) with a hash c of what surrounds them."""
+    """Rows (a) of all anchors, or (k1, k2, a, c, pos, left, right) with a hash c of what surrounds them."""
     span = length - GRAM
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,9 +80,10 @@ def _scan(length: int, surroundings: bool):
             whole = memoryview(np.ascontiguousarray(data))
             spans = zip((at - left).tolist(), (at + GRAM + right).tolist(), (left * (span + 1) + right).tolist(), strict=True)
             c = np.array([xxhash.xxh3_64_intdigest(whole[x:y], seed) for x, y, seed in spans], np.uint64)
-            own = [batch.column(k).take(pa.array(text)) for k in ("k1", "k2", "id")]
-            columns = [*own, anchor, pa.array(c.view(np.int64)), pa.array(at - offsets[text]), pa.array(left), pa.array(right)]
-            yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "id", "a", "c", "pos", "left", "right"])
+            own = [batch.column(k).take(pa.array(text)) for k in ("k1", "k2")]
+            places = [pa.array(x, pa.int32()) for x in (at - offsets[text], left, right)]
+            columns = [*own, anchor, pa.array(c.view(np.int64)), *places]
+            yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "a", "c", "pos", "left", "right"])
 
     return scan
 
@@ -127,19 +128,30 @@ def intervals(texts: list[bytes]) -> tuple[list[int], list[tuple[int, int, int]]
 
 def extents(contexts: list[tuple[bytes, bytes]], span: int) -> list[tuple[int, int, int]]:
     """Per occurrence of an anchor, given as (bytes before, backwards; bytes after): the bytes before and after that
-    belong to maximal repeats with at least ``span`` bytes around the anchor, and the most occurrences of one; (-1, -1, 0)
-    if it belongs to none."""
+    belong to maximal repeats with at least ``span`` bytes around the anchor, and how many occurrences the first such
+    interval has; (-1, -1, 0) if it belongs to none.
+
+    The scan gives the deepest intervals first, so an interval can only add bytes before, and those whose members have
+    all theirs are passed over.
+    """
     best = [(-1, -1, 0)] * len(contexts)
     order, after = intervals([c[1] for c in contexts])
     for r, first, last in after:
-        members = order[first : last + 1]
-        lefts, before = intervals([contexts[k][0] for k in members])
-        for l, a, b in before:
-            if l + r < span:
+        members = [k for k in order[first : last + 1] if len(contexts[k][0]) >= span - r]
+        if all(best[k][0] == len(contexts[k][0]) for k in members):
+            continue
+        # members that share enough bytes before; where they differ further on, the repeat is maximal to the left
+        alike: dict[bytes, list[int]] = {}
+        for k in members:
+            alike.setdefault(contexts[k][0][: span - r], []).append(k)
+        for own in alike.values():
+            if len(own) < 2 or all(best[k][0] == len(contexts[k][0]) for k in own):
                 continue
-            for k in lefts[a : b + 1]:
-                x, y, n = best[members[k]]
-                best[members[k]] = (max(x, l), max(y, r), max(n, b - a + 1))
+            own.sort(key=lambda k: contexts[k][0])
+            shared = [-1, *(common(contexts[x][0], contexts[y][0]) for x, y in zip(own, own[1:])), -1]
+            for k, before, behind in zip(own, shared, shared[1:]):
+                x, y, n = best[k]
+                best[k] = (max(x, before, behind), max(y, r), n or len(own))
     return best
 
 
@@ -174,21 +186,27 @@ def _compare(length: int):
     return compare
 
 
+def _keys(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("k1"), F.hash(F.lit(1), text).alias("k2")]
+
+
 def _keyed(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    """(k1, k2, id, text): the keys are two hashes of the text, so equal texts need no id to be told apart."""
+    """(k1, k2, id, text): the keys are hashes of 64 and 32 bits of the text, so no id is needed to tell texts apart."""
     whole = F.coalesce(F.col(text), F.lit(""))
     # one number for all NULL ids, as joins don't match NULLs
     number = F.coalesce(F.col(id_column).cast("long"), F.lit(-(2**63)))
-    return small_batches(docs).select(F.xxhash64(whole).alias("k1"), F.xxhash64(F.lit(1), whole).alias("k2"), number.alias("id"), whole.alias("text"))
+    return small_batches(docs).select(*_keys(whole), number.alias("id"), whole.alias("text"))
 
 
 def repeated_passages(docs: DataFrame, length: int = 200, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(k1, k2, start, end, occurrences): for every anchor that lies in a repeat, the bytes of the text with the hashes k1
-    and k2 that repeats of at least ``length`` bytes around it cover, and in how many surroundings the commonest of them is."""
+    and k2 that repeats of at least ``length`` bytes around it cover, and in how many surroundings one of them is."""
     span = length - GRAM
     rows = _keyed(docs, id_column, text)
     seen = rows.select("text").mapInArrow(_scan(length, False), "a long").groupBy("a").count().filter("count > 1").select("a")
-    full = "k1 long, k2 long, id long, a long, c long, pos long, left long, right long"
+    # both tables of counts are written, so that the joins with them have a shuffle on either side that can be split
+    seen = keep(seen, "seen")
+    full = "k1 long, k2 int, a long, c long, pos int, left int, right int"
     placed = keep(rows.mapInArrow(_scan(length, True), full).join(seen, "a", "left_semi"), "anchors")
 
     # anchors with equal surroundings need no comparison; one of them stands for all against other surroundings
@@ -196,14 +214,15 @@ def repeated_passages(docs: DataFrame, length: int = 200, id_column: str = "doc_
         F.count(F.lit(1)).alias("n"),
         F.min("k1").alias("k1"),
         F.min_by("k2", "k1").alias("k2"),
-        F.min_by("id", "k1").alias("id"),
         F.min_by("pos", "k1").alias("pos"),
         F.min("left").alias("left"),
         F.min("right").alias("right"),
     )
     kinds = keep(kinds, "surroundings")
-    several = kinds.groupBy("a").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    wanted = kinds.join(several, "a").groupBy("k1", "k2", "id").agg(F.collect_list(F.struct("a", "c", "n", "m", "pos", "left", "right")).alias("wanted"))
+    several = keep(kinds.groupBy("a").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "several")
+    first = rows.groupBy("k1", "k2").agg(F.min("id").alias("id"))
+    wanted = kinds.join(several, "a").groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "c", "n", "m", "pos", "left", "right")).alias("wanted"))
+    wanted = wanted.join(first, ["k1", "k2"])
     cut = rows.join(wanted, ["k1", "k2", "id"]).select("text", "wanted").mapInArrow(_cut_out, "a long, c long, n long, m long, left long, bytes binary")
     blocks = F.ceil(F.col("m") / GROUP).cast("int")
     cut = cut.withColumn("block", F.pmod(F.col("c"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -255,7 +274,7 @@ def cut_repeats(docs: DataFrame, length: int = 200, id_column: str = "doc_id", t
     spans = repeated_passages(docs, length, id_column, text).select("k1", "k2", "start", "end").distinct()
     spans = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = small_batches(docs).select(F.xxhash64(whole).alias("k1"), F.xxhash64(F.lit(1), whole).alias("k2"), F.col(id_column).alias("id"), whole.alias("text"))
+    rows = small_batches(docs).select(*_keys(whole), F.col(id_column).alias("id"), whole.alias("text"))
     joined = rows.join(spans, ["k1", "k2"], "left").select("id", "text", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
     kind = docs.schema[id_column].dataType.simpleString()
     found = joined.mapInArrow(_remove, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary")
