@@ -12,7 +12,7 @@ from cohortia.functions.numbers import as_column
 # fixed values: accepted date layouts, day first
 DATE_PATTERNS = ("d/M/yyyy", "d-M-yyyy", "yyyy-M-d", "yyyy/M/d", "M/d/yyyy")
 
-# fixed values: accepted period years
+# fixed values: period years the exam pages accept
 FIRST_YEAR, LAST_YEAR = 2000, 2030
 
 
@@ -46,17 +46,22 @@ def age_from_year(birth_year: str | Column, ref_year: int) -> Column:
     return F.lit(ref_year) - as_column(birth_year)
 
 
-def parse_period(c: str | Column, first: int = FIRST_YEAR, last: int = LAST_YEAR) -> Column:
+def parse_period(c: str | Column, first: int | None = None, last: int | None = None) -> Column:
     """Period code to struct(year, semester).
 
     ``20162``, ``20162.0`` and `` 20162 `` give (2016, 2); ``2016`` counts as semester 1. The
-    struct is NULL for anything else, a year out of range or a semester other than 1 or 2.
+    struct is NULL for anything else, a year outside the bounds (none unless given) or a semester
+    other than 1 or 2.
     """
     text = F.substring_index(F.trim(as_column(c).cast("string")), ".", 1)
     size = F.length(text)
     year = F.substring(text, 1, 4).try_cast("int")
     semester = F.when(size >= 5, F.substring(text, 5, 1).try_cast("int")).when(size == 4, F.lit(1))
-    ok = year.between(first, last) & semester.isin(1, 2)
+    ok = year.isNotNull() & semester.isin(1, 2)
+    if first is not None:
+        ok = ok & (year >= first)
+    if last is not None:
+        ok = ok & (year <= last)
     return F.when(ok, F.struct(year.alias("year"), semester.alias("semester")))
 
 

@@ -69,10 +69,12 @@ def conditional_share(
         .groupBy("value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    share = F.col("n") / counted.agg(F.sum("n")).scalar() * 100
+    # one row per answer, so one task holds them
+    answers = Window.partitionBy(F.lit(1))
+    share = F.col("n") / F.sum("n").over(answers) * 100
     shares = counted.withColumn("probability", share if digits is None else F.round(share, digits))
-    mode = shares.orderBy(F.desc("probability"), "value").limit(1).select("value").scalar()
-    return shares.withColumn("most_likely", F.col("value") == mode)
+    first = F.row_number().over(answers.orderBy(F.desc("probability"), "value"))
+    return shares.withColumn("most_likely", first == 1)
 
 
 def _count_true(condition: Column) -> Column:

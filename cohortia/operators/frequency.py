@@ -6,9 +6,10 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from cohortia.functions.classes import classify_sets
-from cohortia.functions.numbers import to_number
+from cohortia.functions.numbers import nan_to_null, to_number
 from cohortia.functions.text import code_text, is_domestic
 
 
@@ -134,11 +135,17 @@ def _stack(row: DataFrame, fields: Sequence[str], parts: Sequence[str], name: st
     return row.select(F.inline(F.array(*entries)))
 
 
+def _number(df: DataFrame, column: str) -> Column:
+    """A number as it is, NaN missing; text through the lenient parser."""
+    kind = df.schema[column].dataType if column in df.columns else None
+    return nan_to_null(column) if isinstance(kind, NumericType) else to_number(column)
+
+
 def score_stats(df: DataFrame, scores: Sequence[str], digits: int | None = None) -> DataFrame:
     """(score, min, max, mean) of each score column; bad text counts as missing."""
     aggregates = []
     for i, score in enumerate(scores):
-        value = to_number(score)
+        value = _number(df, score)
         for part, expr in (("min", F.min(value)), ("max", F.max(value)), ("mean", F.avg(value))):
             aggregates.append((F.round(expr, digits) if digits is not None else expr).alias(f"{part}_{i}"))
     return _stack(df.agg(*aggregates), scores, ["min", "max", "mean"], "score")
@@ -148,7 +155,7 @@ def mean_profile(df: DataFrame, scores: Mapping[str, str], digits: int | None =
     """(label, mean) of several scores over all rows. ``scores`` maps column to label."""
     means = []
     for i, score in enumerate(scores):
-        value = F.avg(to_number(score))
+        value = F.avg(_number(df, score))
         means.append((F.round(value, digits) if digits is not None else value).alias(f"mean_{i}"))
     return _stack(df.agg(*means), list(scores.values()), ["mean"], "label")
 

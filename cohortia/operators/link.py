@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, StringType, StructField, StructType
 
 from cohortia.functions.classes import arrival_class, deviation_class, year_distance_class
-from cohortia.functions.dates import FIRST_YEAR, LAST_YEAR, parse_period, semester_gap
+from cohortia.functions.dates import parse_period, semester_gap
 from cohortia.functions.numbers import as_column, percent
-from cohortia.operators.skew import skew_join
 
 
 def cohort_funnel(
@@ -27,10 +26,11 @@ def cohort_funnel(
     """Members, linked and unlinked members and both rates of each cohort.
 
     ``distinct`` counts a member once however many links it has; without it a member counts once
-    per link, so unlinked may fall below the number of members without a link. Both sides are
-    reduced to one row per key before they meet, so a repeated key costs no more than a unique one.
+    per link, so unlinked may fall below the number of members without a link. Links are reduced to
+    one row per key; members are dealt once, by key, and counted after the join, whose member side
+    adaptive execution splits where a key is frequent.
     """
-    per_key = members.groupBy(cohort, key).agg(F.count(F.lit(1)).alias("_members"))
+    per_key = members.select(cohort, key)
     per_link = (
         links.select(F.col(link_key or key).alias(key))
         .filter(F.col(key).isNotNull())
@@ -42,8 +42,8 @@ def cohort_funnel(
         per_key.join(per_link, key, "left")
         .groupBy(cohort)
         .agg(
-            F.sum("_members").alias("total"),
-            F.coalesce(F.sum(F.col("_members") * hits), F.lit(0)).cast("bigint").alias("linked"),
+            F.count(F.lit(1)).alias("total"),
+            F.coalesce(F.sum(hits), F.lit(0)).cast("bigint").alias("linked"),
         )
     )
     return _with_rates(counted, digits)
@@ -75,15 +75,16 @@ def funnel_of_counts(members: DataFrame, unlinked_rows: DataFrame, digits: int |
 
 
 def unlinked(members: DataFrame, links: DataFrame, key: str, link_key: str | None = None) -> DataFrame:
-    """Members without a link, whole rows."""
+    """Members without a link, whole rows. A plain join, whose member side adaptive execution splits where a
+    key is frequent; nothing runs until the result is used."""
     linked_keys = links.select(F.col(link_key or key).alias(key)).filter(F.col(key).isNotNull()).distinct()
-    return skew_join(members, linked_keys, [key], "left_anti").select(*members.columns)
+    return members.join(linked_keys, key, "left_anti").select(*members.columns)
 
 
 def linked(members: DataFrame, links: DataFrame, key: str, link_key: str | None = None) -> DataFrame:
     """Members with at least one link, whole rows, each once."""
     linked_keys = links.select(F.col(link_key or key).alias(key)).filter(F.col(key).isNotNull()).distinct()
-    return skew_join(members, linked_keys, [key], "left_semi").select(*members.columns)
+    return members.join(linked_keys, key, "left_semi").select(*members.columns)
 
 
 def arrival_counts(
@@ -167,14 +168,15 @@ def with_standard(
     ).drop("_years")
 
 
-YEARS = (FIRST_YEAR, LAST_YEAR)
+# arrival years are not bounded unless the caller does
+YEARS = (None, None)
 
 
 def parsed_arrivals(
-    arrivals: DataFrame, cohort: str = "cohort", period: str = "period", years: tuple[int, int] = YEARS
+    arrivals: DataFrame, cohort: str = "cohort", period: str = "period", years: tuple[int | None, int | None] = YEARS
 ) -> DataFrame:
-    """Arrivals with a readable period inside the accepted years: arrival year, semester and semesters
-    since the cohort year."""
+    """Arrivals with a readable period, inside ``years`` where they are given: arrival year, semester and
+    semesters since the cohort year."""
     code = F.col("_code")
     return (
         arrivals.withColumn("_code", parse_period(period, *years))
@@ -197,7 +199,7 @@ def arrival_timing(
     cohort: str = "cohort",
     period: str = "period",
     n: str = "n",
-    years: tuple[int, int] = YEARS,
+    years: tuple[int | None, int | None] = YEARS,
 ) -> DataFrame:
     """Early, on-time and late arrivals: counts, percentages and mean deviations in semesters.
 
@@ -251,7 +253,7 @@ def arrival_by_year(
     cohort: str = "cohort",
     period: str = "period",
     n: str = "n",
-    years: tuple[int, int] = YEARS,
+    years: tuple[int | None, int | None] = YEARS,
 ) -> DataFrame:
     """Arrivals by calendar year. With a standard, by cohort too, with the class of the distance to
     the expected year (cohort + standard)."""
@@ -272,7 +274,7 @@ def arrival_by_deviation(
     cohort: str = "cohort",
     period: str = "period",
     n: str = "n",
-    years: tuple[int, int] = YEARS,
+    years: tuple[int | None, int | None] = YEARS,
 ) -> DataFrame:
     """Arrivals by deviation from the standard in semesters, with the class of the deviation."""
     std = F.lit(standard) if isinstance(standard, int) else F.col(standard)
@@ -315,7 +317,7 @@ def pair(
 
 
 def attach(df: DataFrame, extra: DataFrame, key: str, columns: Mapping[str, str] | Sequence[str]) -> DataFrame:
-    """Columns of another table by key, NULL where it has none."""
+    """Columns of another table by key, NULL where it has none. Plain left join; see ``unlinked`` on skew."""
     names = dict(columns) if isinstance(columns, Mapping) else {c: c for c in columns}
     wanted = extra.select(F.col(key), *[F.col(c).alias(n) for c, n in names.items()])
-    return skew_join(df, wanted, [key], "left").select(*df.columns, *names.values())
+    return df.join(wanted, key, "left").select(*df.columns, *names.values())

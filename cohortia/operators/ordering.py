@@ -20,38 +20,30 @@ SAMPLE_SHARE = 0.01
 SAMPLE_SEED = 7
 
 
-Edges = list[tuple[tuple, list[float]]]
+def range_edges(df: DataFrame, value: str, by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
+    """(by..., _edges): edges that cut the values of each group into ranges of about equal row counts.
 
-
-def range_edges(df: DataFrame, value: str, by: Sequence[str] = (), ranges: int | None = None) -> Edges:
-    """Edges that cut the values of each group into ranges of about equal row counts.
-
-    They are approximate quantiles of a sample, from one sketching pass without a shuffle of rows, and
-    come to the driver as (groups x ranges) plain numbers. A range holds about rows / ranges rows, so
-    at most that many distinct values. Where exactly the edges fall, or that there are none, has no
-    effect on results; being literals they are the same in every task and retry.
+    Approximate quantiles of a sample, from one sketching pass without a shuffle of rows. A range holds
+    about rows / ranges rows, so at most that many distinct values. Where exactly the edges fall, or that
+    a group has none, has no effect on results. One row per group; nothing comes to the driver.
     """
     if ranges is None:
         ranges = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     probes = [i / ranges for i in range(1, ranges)]
     sketch = F.percentile_approx(F.col(value).cast("double"), probes, SKETCH_ACCURACY * ranges)
     known = df.sample(SAMPLE_SHARE, SAMPLE_SEED).filter(F.col(value).isNotNull() & ~F.isnan(value))
-    rows = known.groupBy(*by).agg(sketch.alias("_edges")).collect()
-    return [(tuple(row[c] for c in by), sorted(set(row["_edges"] or []))) for row in rows]
+    return known.groupBy(*by).agg(F.array_sort(F.array_distinct(sketch)).alias("_edges"))
 
 
-def _range_number(value: Column, edges: list[float]) -> Column:
-    """How many edges lie below the value, by binary search over an array literal."""
-    if not edges:
-        return F.lit(0)
-    table = F.split(F.lit(",".join(map(repr, edges))), ",").cast("array<double>")
-    steps = [2**i for i in reversed(range(len(edges).bit_length()))]
+def _range_number(value: Column, edges: Column, most: int) -> Column:
+    """How many of at most ``most`` edges lie below the value, by binary search; 0 without edges."""
+    steps = [2**i for i in reversed(range(most.bit_length()))]
 
     def probe(found: Column, width: Column) -> Column:
         ahead = found + width
-        return F.when((ahead <= len(edges)) & (F.get(table, ahead - 1) < value), ahead).otherwise(found)
+        return F.when((ahead <= F.size(edges)) & (F.get(edges, ahead - 1) < value), ahead).otherwise(found)
 
-    return F.reduce(F.array(*[F.lit(s) for s in steps]), F.lit(0), probe)
+    return F.coalesce(F.reduce(F.array(*[F.lit(s) for s in steps]), F.lit(0), probe), F.lit(0))
 
 
 def cumulative_counts(
@@ -59,44 +51,46 @@ def cumulative_counts(
     value: str,
     by: Sequence[str] = (),
     weight: str | None = None,
-    edges: Edges | None = None,
+    ranges: int | None = None,
 ) -> DataFrame:
     """(by..., value, n, before, total): distinct values with their count, the number of rows with a
     smaller value, and the rows of the group. NULL and NaN are left out.
 
-    ``by`` is meant for a handful of groups such as score modules. ``weight`` is how many rows a row
-    stands for. ``edges`` from range_edges spares a pass where they are known.
+    ``weight`` is how many rows a row stands for. Distinct values are cut at the edges of their group,
+    which come by a join, so the number of groups is free; nothing runs until the result is used.
     """
     by = list(by)
+    if ranges is None:
+        ranges = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = df.select(*by, F.col(value).cast("double").alias(value), *([weight] if weight else [])).filter(
         F.col(value).isNotNull() & ~F.isnan(value)
     )
-    if edges is None:
-        edges = range_edges(rows, value, by)
-    number = F.lit(0)
-    for key, cuts in edges:
-        same = [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(by, key, strict=True)]
-        number = F.when(reduce(and_, same, F.lit(True)), _range_number(F.col(value), cuts)).otherwise(number)
-
     size = F.sum(weight) if weight else F.count(F.lit(1))
-    # never NULL, so that joining on it adds no filter on the search expression further down
-    number = F.coalesce(number, F.lit(0))
-    counts = rows.groupBy(*by, value).agg(size.alias("n")).withColumn("_range", number)
+    counts = rows.groupBy(*by, value).agg(size.alias("n"))
+    edges = range_edges(rows, value, by, ranges)
+    if by:
+        renamed = edges.select(*[F.col(c).alias(f"_of_{c}") for c in by], "_edges")
+        same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
+        placed = counts.join(renamed, reduce(and_, same), "left")
+    else:
+        placed = counts.withColumn("_edges", edges.scalar())
+    placed = placed.withColumn("_range", _range_number(F.col(value), F.col("_edges"), ranges)).select(*by, value, "n", "_range")
     lower = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    # groups x ranges rows, both known above, so the windows and the broadcast stay small
+    # at most ``ranges`` rows per group
     totals = (
-        counts.groupBy(*by, "_range")
+        placed.groupBy(*by, "_range")
         .agg(F.sum("n").alias("_n"))
         .select(
-            *by,
-            "_range",
+            *[F.col(c).alias(f"_of_{c}") for c in by],
+            F.col("_range").alias("_of_range"),
             F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_lower"),
             F.sum("_n").over(Window.partitionBy(*by)).alias("total"),
         )
     )
     inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    running = counts.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    return running.join(F.broadcast(totals), [*by, "_range"]).select(
+    running = placed.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by] + [F.col("_range") == F.col("_of_range")]
+    return running.join(totals, reduce(and_, same)).select(
         *by, value, "n", (F.col("_inside") + F.col("_lower")).alias("before"), "total"
     )
 
@@ -106,16 +100,16 @@ def average_rank(
     value: str,
     by: Sequence[str] = (),
     weight: str | None = None,
-    edges: Edges | None = None,
+    ranges: int | None = None,
 ) -> DataFrame:
     """(by..., value, n, rank, total): 1-based rank of each distinct value, ties sharing the mean."""
-    return cumulative_counts(df, value, by, weight, edges).select(
+    return cumulative_counts(df, value, by, weight, ranges).select(
         *by, value, "n", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"), "total"
     )
 
 
 def quantiles(
-    df: DataFrame, value: str, n: int, by: Sequence[str] = (), edges: Edges | None = None
+    df: DataFrame, value: str, n: int, by: Sequence[str] = ()
 ) -> DataFrame:
     """(by..., q, edge, total): the n + 1 exact n-quantile edges, with linear interpolation.
 
@@ -123,8 +117,14 @@ def quantiles(
     positions that fall on a row exact.
     """
     by = list(by)
-    counts = cumulative_counts(df, value, by, edges=edges)
-    positions = counts.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n)))).withColumns(
+    counts = cumulative_counts(df, value, by)
+    # edges i with i (total - 1) / n in (before - 1, before + count) are those a value can hold
+    last = F.greatest(F.col("total") - 1, F.lit(1))
+    low = F.greatest(F.ceil((F.col("before") - 1) * n / last) - 1, F.lit(0)).cast("int")
+    high = F.least(F.floor((F.col("before") + F.col("n")) * n / last) + 1, F.lit(n)).cast("int")
+    high = F.when(F.col("total") == 1, F.lit(n)).otherwise(high)
+    held = F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
+    positions = counts.withColumn("q", F.explode(held)).withColumns(
         {
             "_low": F.floor(F.col("q") * (F.col("total") - 1) / n),
             "_rest": (F.col("q") * (F.col("total") - 1)) % n,

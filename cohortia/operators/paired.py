@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortia.functions.classes import strength_class
 from cohortia.operators.crosstab import dense, row_percent
 from cohortia.operators.histogram import histogram
-from cohortia.operators.ordering import average_rank, quantiles, range_edges
+from cohortia.operators.ordering import average_rank, quantiles
 
 Pairs = Mapping[str, tuple[str, str]]
 
@@ -99,51 +99,40 @@ def contribution_kpis(long: DataFrame, year: str, aggregates: Iterable[str], mai
     )
 
 
-def pearson(df: DataFrame, pairs: Pairs) -> DataFrame:
-    """(label, n, pearson) of every pair from one pass; NULL below two pairs or where a side does not
-    vary (the built-in correlation divides by zero there)."""
-    aggregates, entries = [], []
-    for i, (label, (y, x)) in enumerate(pairs.items()):
-        x, y = F.col(x).cast("double"), F.col(y).cast("double")
-        both = x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y)
-        x, y = F.when(both, x), F.when(both, y)
-        aggregates += [
-            F.count_if(both).alias(f"_n{i}"),
-            F.covar_pop(x, y).alias(f"_c{i}"),
-            (F.stddev_pop(x) * F.stddev_pop(y)).alias(f"_s{i}"),
-        ]
-        enough = (F.col(f"_n{i}") >= 2) & (F.col(f"_s{i}") > 0)
-        entries.append(
-            F.struct(
-                F.lit(label).alias("label"),
-                F.col(f"_n{i}").alias("n"),
-                F.when(enough, F.col(f"_c{i}") / F.col(f"_s{i}")).alias("pearson"),
-            )
-        )
-    return df.agg(*aggregates).select(F.inline(F.array(*entries)))
-
-
 def _sides(pairs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """(keep..., side, value): both scores of every pair in one column."""
     entries = [F.struct(F.lit(s).alias("side"), F.col(s).alias("value")) for s in ("x", "y")]
     return pairs.select(*keep, F.inline(F.array(*entries)))
 
 
-def spearman(df: DataFrame, pairs: Pairs) -> DataFrame:
-    """(label, spearman): Pearson of average ranks over complete pairs.
+def _joint(df: DataFrame, pairs: Pairs) -> DataFrame:
+    """(label, x, y, _n): complete pairs of scores, equal ones counted."""
+    return melt_pairs(df, pairs).groupBy("label", "x", "y").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _pearson(joint: DataFrame) -> DataFrame:
+    """(label, n, pearson) from counted pairs. The sums are taken around a value of the data, so that
+    large scores don't cancel; NULL below two pairs or where a side does not vary."""
+    n, x, y = F.col("_n"), F.col("x"), F.col("y")
+    about = joint.groupBy("label").agg((F.sum(n * x) / F.sum(n)).alias("_x"), (F.sum(n * y) / F.sum(n)).alias("_y"))
+    a, b = x - F.col("_x"), y - F.col("_y")
+    sums = joint.join(about, "label").groupBy("label").agg(
+        F.sum(n).alias("n"),
+        F.sum(n * a * b).alias("_ab"),
+        F.sum(n * a * a).alias("_aa"),
+        F.sum(n * b * b).alias("_bb"),
+        (F.min(x) < F.max(x)).alias("_vx"),
+        (F.min(y) < F.max(y)).alias("_vy"),
+    )
+    spread = F.sqrt("_aa") * F.sqrt("_bb")
+    varies = (F.col("n") >= 2) & F.col("_vx") & F.col("_vy") & (spread > 0)
+    return sums.select("label", "n", F.when(varies, F.col("_ab") / spread).alias("pearson"))
 
-    Equal pairs are reduced to counts; ranks are computed on the distinct values of these counts, and
-    both meet in equi-joins on (label, value). The mean of average ranks is (n + 1) / 2, so the sums
-    are taken around it.
-    """
-    long = melt_pairs(df, pairs)
-    edges = range_edges(_sides(long, ["label"]), "value", ["label", "side"])
-    joint = long.groupBy("label", "x", "y").agg(F.count(F.lit(1)).alias("_n"))
 
+def _spearman(joint: DataFrame) -> DataFrame:
     def ranks_of(side: str) -> DataFrame:
-        cuts = [((label,), values) for (label, s), values in edges if s == side]
         centred = F.col("rank") - (F.col("total") + 1) / 2
-        return average_rank(joint, side, ["label"], "_n", cuts).select("label", side, centred.alias(f"_{side}"))
+        return average_rank(joint, side, ["label"], "_n").select("label", side, centred.alias(f"_{side}"))
 
     a, b, n = F.col("_x"), F.col("_y"), F.col("_n")
     sums = (
@@ -156,9 +145,32 @@ def spearman(df: DataFrame, pairs: Pairs) -> DataFrame:
     return sums.select("label", F.when(spread > 0, F.col("_ab") / spread).alias("spearman"))
 
 
+def pearson(df: DataFrame, pairs: Pairs) -> DataFrame:
+    """(label, n, pearson) of every pair; NULL below two pairs or where a side does not vary. Pairs
+    without complete rows do not appear."""
+    return _pearson(_joint(df, pairs))
+
+
+def spearman(df: DataFrame, pairs: Pairs) -> DataFrame:
+    """(label, spearman): Pearson of average ranks over complete pairs.
+
+    Equal pairs are reduced to counts; ranks are computed on the distinct values of these counts, and
+    both meet in equi-joins on (label, value). The mean of average ranks is (n + 1) / 2, so the sums
+    are taken around it.
+    """
+    return _spearman(_joint(df, pairs))
+
+
 def correlations(df: DataFrame, pairs: Pairs, digits: int | None = None) -> DataFrame:
-    """(label, n, pearson, spearman, strength); the two are NULL with fewer than two pairs."""
-    both = pearson(df, pairs).join(spearman(df, pairs), "label", "left")
+    """(label, n, pearson, spearman, strength); the two are NULL with fewer than two pairs.
+
+    All numbers come from one table of counted pairs, whose exchange is made once and reused. Pairs
+    without complete rows have n = 0.
+    """
+    joint = _joint(df, pairs)
+    both = _pearson(joint).join(_spearman(joint), "label", "left")
+    labels = df.sparkSession.range(1, numPartitions=1).select(F.explode(F.array(*[F.lit(k) for k in pairs])).alias("label"))
+    both = labels.join(both, "label", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rho = F.when(F.col("n") >= 2, F.col("spearman"))
     r = F.col("pearson")
     if digits is not None:
@@ -179,26 +191,34 @@ def delta_histogram(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
     return histogram(delta(df, x, y), "delta", bins)
 
 
-def _quantile_bin(value: Column, edges: Sequence[float]) -> Column:
-    """Right-closed bins from 1; the lowest edge belongs to the first."""
-    return sum(((value > e).cast("int") for e in edges[1:-1]), F.lit(1))
+def _quantile_bin(value: Column, edges: Column) -> Column:
+    """Right-closed bins from 1 over an array of different edges; the lowest edge belongs to the first."""
+    inner = F.slice(edges, F.lit(2), F.greatest(F.size(edges) - 2, F.lit(0)))
+    return (F.size(F.filter(inner, lambda e: e < value)) + 1).cast("int")
 
 
 def quantile_transition(df: DataFrame, x: str, y: str, n: int = 5, digits: int | None = None) -> DataFrame:
-    """(from_bin, to_bin, n, pct): n x n table of quantile bins of x against quantile bins of y.
+    """(from_bin, to_bin, n, pct, from_bins, to_bins): quantile bins of x against quantile bins of y.
 
-    Empty when there are fewer than n complete pairs or when edges of either side repeat. The edges
-    are exact; they are 2 (n + 1) numbers that are fetched first, so the counting pass compares each
-    row with constants.
+    Quantile edges that repeat, as they do where values are tied or few, are one edge, so a side has
+    ``from_bins`` or ``to_bins`` bins, ``n`` at most; all their pairs are listed. A constant side has one bin.
+    A page that shows nothing unless there are n bins filters on the two numbers. The edges are exact.
+    Nothing runs until the table is used; the edges reach the counting pass as two arrays.
     """
     pairs = melt_pairs(df, {"": (y, x)}).select("x", "y")
-    found = quantiles(_sides(pairs), "value", n, ["side"]).collect()
-    edges = {s: [r["edge"] for r in sorted(found, key=lambda r: r["q"]) if r["side"] == s] for s in ("x", "y")}
-    enough = bool(found) and found[0]["total"] >= n and all(len(set(e)) == n + 1 for e in edges.values())
-    if not enough:
-        return df.sparkSession.createDataFrame([], "from_bin int, to_bin int, n bigint, pct double")
-    counted = pairs.groupBy(
-        _quantile_bin(F.col("x"), edges["x"]).alias("from_bin"), _quantile_bin(F.col("y"), edges["y"]).alias("to_bin")
-    ).agg(F.count(F.lit(1)).alias("n"))
-    bins = list(range(1, n + 1))
-    return dense(row_percent(counted, ["from_bin"], digits), {"from_bin": bins, "to_bin": bins}, {"n": 0, "pct": 0.0})
+    found = quantiles(_sides(pairs), "value", n, ["side"])
+
+    def edges(side: str) -> Column:
+        return found.filter(F.col("side") == side).agg(F.array_sort(F.collect_set("edge"))).scalar()
+
+    of_x, of_y = edges("x").alias("_ex"), edges("y").alias("_ey")
+    counted = pairs.select("x", "y", of_x, of_y).groupBy(
+        _quantile_bin(F.col("x"), F.col("_ex")).alias("from_bin"), _quantile_bin(F.col("y"), F.col("_ey")).alias("to_bin")
+    )
+    counted = row_percent(counted.agg(F.count(F.lit(1)).alias("n")), ["from_bin"], digits)
+    count = [F.greatest(F.size(e) - 1, F.least(F.size(e), F.lit(1))).alias(c) for e, c in (("_ex", "from_bins"), ("_ey", "to_bins"))]
+    numbers = df.sparkSession.range(1, numPartitions=1).select(of_x, of_y).select(*count).filter("from_bins > 0")
+    grid = numbers.withColumn("from_bin", F.explode(F.sequence(F.lit(1), F.col("from_bins"))))
+    grid = grid.withColumn("to_bin", F.explode(F.sequence(F.lit(1), F.col("to_bins"))))
+    filled = grid.join(counted, ["from_bin", "to_bin"], "left")
+    return filled.select("from_bin", "to_bin", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("pct", F.lit(0.0)).alias("pct"), "from_bins", "to_bins")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Modules = Mapping[str, tuple[str, str]]
@@ -209,9 +209,13 @@ def point_classes(df: DataFrame, real: str, pred: str, level: float = 0.95) -> D
     return classify_points(df, real, pred, level).groupBy("point_class").agg(F.count(F.lit(1)).alias("n"))
 
 
-def sample_points(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> DataFrame:
-    """At most n rows, the same ones every time for a seed: those with the lowest hash of the keys."""
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+def sample_points(df: DataFrame, keys: Sequence[str], n: int | None, seed: int = 42) -> DataFrame:
+    """At most n rows (all with None), the same ones every time for a seed: those with the lowest MD5 of
+    seed and keys as text."""
+    if n is None:
+        return df
+    name = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    return df.orderBy(F.md5(name), *keys).limit(n)
 
 
 def explode_metrics(df: DataFrame, metrics: str, levels: Sequence[str]) -> DataFrame:
@@ -235,24 +239,35 @@ def explode_metrics(df: DataFrame, metrics: str, levels: Sequence[str]) -> DataF
 def compare_metrics(
     metrics: DataFrame, row: str, across: str, values: Sequence[str], metric: str = "mae"
 ) -> DataFrame:
-    """One row per target, one column per method or form."""
-    return metrics.groupBy(row).pivot(across, list(values)).agg(F.first(metric))
+    """One row per target and per value of every other level, one column per method or form.
+
+    Levels are the text columns of ``metrics`` besides ``row`` and ``across``. A cell is one row of the
+    table, so the greatest of its values is that value; were there more, it would still not depend on
+    their order.
+    """
+    levels = [c for c, kind in metrics.dtypes if kind == "string" and c not in (row, across)]
+    return metrics.groupBy(row, *levels).pivot(across, list(values)).agg(F.max(metric))
 
 
 def stored_or_computed(
     stored: DataFrame, computed: DataFrame, keys: Sequence[str], values: Sequence[str] = ("mae", "mse")
 ) -> DataFrame:
     """Metrics per key from the stored table where it has them, else those computed from rows; keys
-    that only the rows know, such as a global module, are kept."""
+    that only one of them knows are kept."""
     known = stored.select(*keys, *[F.col(v).alias(f"_{v}") for v in values])
-    return computed.join(known, list(keys), "left").select(
+    return computed.join(known, list(keys), "full").select(
         *keys, *[F.coalesce(f"_{v}", v).alias(v) for v in values]
     )
 
 
 def choose_k(sweep: DataFrame, by: Sequence[str] = ("form",), k: str = "k", mae: str = "mae_val") -> DataFrame:
-    """The sweep with ``chosen``: the k of least validation error, the smaller one when equal."""
-    picked = sweep.groupBy(*by).agg(F.min_by(k, F.struct(F.col(mae), F.col(k))).alias("_k"))
-    return sweep.join(picked, list(by)).select(
-        *by, k, mae, (F.col(k) == F.col("_k")).alias("chosen")
-    )
+    """The sweep with ``chosen``: the k of least validation error, the smaller one when equal. Where the
+    sweep has the ``stored_choice`` of its file, ``agrees`` tells whether that is the same k.
+
+    The window is over one row per k of a form.
+    """
+    best = F.min_by(k, F.struct(F.col(mae), F.col(k))).over(Window.partitionBy(*by))
+    stored = [c for c in ("stored_choice",) if c in sweep.columns]
+    rows = sweep.withColumn("_k", best)
+    agrees = [(F.col(c) == F.col("_k")).alias("agrees") for c in stored]
+    return rows.select(*by, k, mae, (F.col(k) == F.col("_k")).alias("chosen"), *stored, *agrees)

@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_SELECTED = 4
-
 
 def group_means(df: DataFrame, key: str, scores: Sequence[str]) -> DataFrame:
     """Mean of each score per key; keys without any score are left out, and so is the NULL key."""
@@ -40,18 +37,17 @@ def best(means: DataFrame, key: str, scores: Sequence[str]) -> DataFrame:
 
 def compare_groups(df: DataFrame, key: str, selected: Sequence[str], scores: Sequence[str]) -> DataFrame:
     """(position, key, means...) of the selected keys in the order picked; a key without rows stays,
-    with NULL scores. At most MAX_SELECTED keys are compared."""
-    picked = list(selected)[:MAX_SELECTED]
+    with NULL scores. Every selected key is compared; how many a page shows is the caller's choice."""
+    picked = list(selected)
     means = df.filter(F.col(key).isin(*picked)).groupBy(key).agg(*[F.avg(s).alias(s) for s in scores])
     places = df.sparkSession.createDataFrame(list(enumerate(picked, start=1)), f"position int, `{key}` string")
     return places.join(means, key, "left").select("position", key, *scores)
 
 
-def pair_compare(matrix: DataFrame, key: str, scores: Mapping[str, str] | Sequence[str], count: int = MAX_SELECTED) -> DataFrame:
+def pair_compare(matrix: DataFrame, key: str, scores: Mapping[str, str] | Sequence[str]) -> DataFrame:
     """(first, second, score, first_value, second_value): every unordered pair of the compared keys.
 
-    ``matrix`` comes from compare_groups; ``count`` is how many keys it holds at most. The pairs are
-    listed by position up front, so both sides are found by equi-join.
+    ``matrix`` comes from compare_groups: one row per selected key, so the pairs of a score are few.
     """
     labels = dict(scores) if isinstance(scores, Mapping) else {s: s for s in scores}
     long = matrix.select(
@@ -66,15 +62,13 @@ def pair_compare(matrix: DataFrame, key: str, scores: Mapping[str, str] | Sequen
             )
         ),
     )
-    places = list(combinations(range(1, count + 1), 2))
-    pairs = matrix.sparkSession.createDataFrame(places, "_a int, _b int")
     left = long.select(
         F.col("position").alias("_a"), F.col("_key").alias("first"), "score", F.col("_value").alias("first_value")
     )
     right = long.select(
         F.col("position").alias("_b"), F.col("_key").alias("second"), "score", F.col("_value").alias("second_value")
     )
-    return left.join(pairs, "_a").join(right, ["_b", "score"]).select("first", "second", "score", "first_value", "second_value")
+    return left.join(right, "score").filter("_a < _b").select("first", "second", "score", "first_value", "second_value")
 
 
 def spread(matrix: DataFrame, score: str) -> DataFrame:

@@ -9,61 +9,34 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_SHARE = 0.01
-SAMPLE_SEED = 11
-SAMPLED_ROWS = 1000
-MOST_KEYS = 200
 SALTS = 64
 
 
-def hot_keys(
-    df: DataFrame,
-    keys: Sequence[str],
-    sample_share: float = SAMPLE_SHARE,
-    sampled_rows: int = SAMPLED_ROWS,
-) -> list[tuple]:
-    """The most frequent keys with at least ``sampled_rows`` rows in a sample; MOST_KEYS at most. The
-    NULL key may be one of them.
-
-    One pass over a sample of the key columns. Which keys are found never changes a join's result,
-    only how its work is spread.
-    """
-    counted = (
-        df.select(*keys)
-        .sample(sample_share, SAMPLE_SEED)
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") >= sampled_rows)
-    )
-    found = counted.orderBy(F.desc("_rows"), *keys).limit(MOST_KEYS).collect()
-    return [tuple(row[k] for k in keys) for row in found]
-
-
 def skew_join(
     left: DataFrame,
     right: DataFrame,
     keys: Sequence[str],
     how: str = "inner",
     salts: int = SALTS,
-    hot: list[tuple] | None = None,
+    hot: Sequence[tuple] = (),
 ) -> DataFrame:
-    """Equi-join whose left side may have keys with very many rows.
+    """Equi-join whose left side is known to have the ``hot`` keys, with very many rows each.
 
-    Rows of hot left keys are spread over ``salts`` sub-keys and the right rows of those keys are
-    repeated once per sub-key, so no task gets a whole hot key; which sub-key a row gets does not
-    change the result. Rows with a NULL key match nothing and are spread like a hot key. Without hot
-    keys it is the plain join.
+    For plans that adaptive execution cannot split; elsewhere the plain join does. Rows of hot left
+    keys are spread over ``salts`` sub-keys and the right rows of those keys are repeated once per
+    sub-key. A row's sub-key is a hash of its own columns, so a task that runs again gives the same
+    one; equal rows stay together. Rows with a NULL key match nothing and are spread like a hot key
+    where NULL is listed. Without hot keys it is the plain join.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_join cannot do {how}")
     keys = list(keys)
-    if hot is None:
-        hot = hot_keys(left, keys)
+    hot = list(hot)
     if how in ("inner", "left_semi"):
         hot = [values for values in hot if None not in values]
     if not hot:
         return left.join(right, keys, how)
-    spread = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
+    spread = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
     is_hot = _is_one_of(keys, [values for values in hot if None not in values])
     salt = F.when(is_hot | ~_all_set(keys), spread).otherwise(F.lit(0))
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))

@@ -78,15 +78,15 @@ def stacked_share(df: DataFrame, x: str, parts: Sequence[str]) -> DataFrame:
     return df.select(x, F.inline(F.array(*entries)))
 
 
-def year_change(df: DataFrame, x: str, y: str, digits: int | None = 3) -> DataFrame:
-    """(x, change): difference to the previous row by x; the first has none and is left out.
+def year_change(df: DataFrame, x: str, y: str, digits: int | None = 3, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., x, change): difference to the previous row by x; the first has none and is left out.
 
-    The window has no partition, so this is for tables with one row per cohort or year.
+    Without ``by`` the window has no partition, so that is for tables with one row per cohort or year.
     """
-    previous = F.lag(y).over(Window.orderBy(x))
+    previous = F.lag(y).over(Window.partitionBy(*by).orderBy(x) if by else Window.orderBy(x))
     change = F.col(y) - F.col("_previous")
     return (
         df.withColumn("_previous", previous)
         .filter(F.col("_previous").isNotNull())
-        .select(x, (change if digits is None else F.round(change, digits)).alias("change"))
+        .select(*by, x, (change if digits is None else F.round(change, digits)).alias("change"))
     )

@@ -154,8 +154,10 @@ def school_exam_profile(
     nationality: str | None = "estu_nacionalidad",
     wanted_institution: str | None = None,
     pin: str = "",
+    top: int = 20,
 ) -> Profile:
-    """Profile of one school exam: answer counts, age, nationality, score range, wanted institutions."""
+    """Profile of one school exam: answer counts, age, nationality, score range, wanted institutions. ``top``
+    is how many countries and institutions the page lists."""
     tables = {
         "counts": lambda: frequency.frequency_many(df, columns),
         "age": lambda: _aged(df, dates.age_on(dates.parse_date(birth), as_of), fixed.SCHOOL_AGES),
@@ -163,9 +165,9 @@ def school_exam_profile(
         "total": lambda: df.agg(F.count(F.lit(1)).alias("n")),
     }
     if nationality:
-        tables["nationality"] = lambda: frequency.domestic_and_foreign(df, nationality, fixed.HOME_COUNTRY, 20)
+        tables["nationality"] = lambda: frequency.domestic_and_foreign(df, nationality, fixed.HOME_COUNTRY, top)
     if wanted_institution:
-        tables["wanted_institution"] = lambda: frequency.top_pinned(df, wanted_institution, 20, pin)
+        tables["wanted_institution"] = lambda: frequency.top_pinned(df, wanted_institution, top, pin)
     return Profile(tables)
 
 
@@ -181,9 +183,11 @@ def degree_exam_profile(
     institution: str = "inst_nombre_institucion",
     programme: str = "estu_prgm_academico",
     payments: Mapping[str, str] | None = None,
+    top: int | None = 50,
+    top_foreign: int = 25,
 ) -> Profile:
-    """Profile of one degree exam: answer counts, age, nationality, top 50 institutions and
-    programmes, payment flags, score range."""
+    """Profile of one degree exam: answer counts, age, nationality, top institutions and programmes
+    (all with None), payment flags, score range."""
     if birth_year:
         age = dates.age_from_year(numbers.to_number(birth_year), ref_year)
     else:
@@ -192,9 +196,9 @@ def degree_exam_profile(
         "counts": lambda: frequency.frequency_many(df, columns),
         "age": lambda: _aged(df, age, fixed.DEGREE_AGES),
         "nationality": lambda: frequency.domestic_split(df, nationality, fixed.HOME_COUNTRY, country_prefix),
-        "foreign": lambda: frequency.foreign_top(df, nationality, fixed.HOME_COUNTRY, 25, country_prefix),
-        "institutions": lambda: frequency.frequency(df, institution, 50),
-        "programmes": lambda: frequency.frequency(df, programme, 50),
+        "foreign": lambda: frequency.foreign_top(df, nationality, fixed.HOME_COUNTRY, top_foreign, country_prefix),
+        "institutions": lambda: frequency.frequency(df, institution, top),
+        "programmes": lambda: frequency.frequency(df, programme, top),
         "scores": lambda: frequency.score_stats(df, scores, 1),
         "total": lambda: df.agg(F.count(F.lit(1)).alias("n")),
     }
@@ -234,10 +238,17 @@ SOCIO_COLUMNS = (
 
 
 def socioeconomic_profile(
-    df: DataFrame, departments: DataFrame | None = None, department_name: str = "name", keep: Keep = as_is
+    df: DataFrame,
+    departments: DataFrame | None = None,
+    department_name: str = "name",
+    keep: Keep = as_is,
+    tops: Mapping[str, int | None] | None = None,
+    top_foreign: int = 25,
 ) -> Profile:
     """All tables of the socio-economic page for an already filtered consolidated table.
 
+    ``tops`` overrides how many rows a list shows, None for all. Maps show every place that is known.
+    
     ``departments`` is the dimension of map names; the built-in coordinates serve when left out.
     """
     spark = df.sparkSession
@@ -251,7 +262,7 @@ def socioeconomic_profile(
         "total": lambda: df.agg(F.count(F.lit(1)).alias("n")),
         "sex": lambda: table_of(counts, "estu_genero").withColumn("label", text.relabel("value", fixed.SEX_LABELS)),
         "nationality": lambda: frequency.domestic_split(df, "estu_nacionalidad", fixed.HOME_COUNTRY),
-        "foreign": lambda: frequency.foreign_top(df, "estu_nacionalidad", fixed.HOME_COUNTRY, 25),
+        "foreign": lambda: frequency.foreign_top(df, "estu_nacionalidad", fixed.HOME_COUNTRY, top_foreign),
         "age": lambda: _aged(df, F.col("edad"), fixed.DEGREE_AGES),
         "index": lambda: histogram.banded_histogram(
             df, "estu_inse_individual", 40, fixed.INDEX_EDGES, fixed.INDEX_LABELS, (0.0, 100.0)
@@ -274,7 +285,7 @@ def socioeconomic_profile(
         ("programmes", "estu_prgm_academico", 30),
         ("nucleus", "estu_nucleo_pregrado", 25),
     ):
-        tables[name] = partial(table_of, counts, column, top=top)
+        tables[name] = partial(table_of, counts, column, top=(tops or {}).get(name, top))
     for name, column in (
         ("map_department_home", "estu_depto_reside"),
         ("map_department_exam", "estu_depto_presentacion"),
@@ -282,7 +293,7 @@ def socioeconomic_profile(
     ):
         tables[name] = partial(_map_of, counts, column, departments, department_name)
     for name, column in (("map_town_home", "estu_mcpio_reside"), ("map_town_exam", "estu_mcpio_presentacion")):
-        tables[name] = partial(_map_of, counts, column, towns, "name", ["lat", "lon"], 60)
+        tables[name] = partial(_map_of, counts, column, towns, "name", ["lat", "lon"])
     return Profile(tables)
 
 
@@ -297,9 +308,11 @@ def score_profile(df: DataFrame, bins: int = 40) -> Profile:
     )
 
 
-def paired_profile(df: DataFrame) -> Profile:
+def paired_profile(df: DataFrame, keep: Keep = as_is) -> Profile:
     """Trend, difference, density and quintile tables of the six pairs, the English transition and
-    the correlations."""
+    the correlations of five, and of all six for the densities. Every table reads the paired rows: at
+    scale give a ``keep`` that writes them."""
+    df = keep("paired_rows", df)
     pairs = {label: (y, x) for label, y, x in fixed.ALL_SCORE_PAIRS}
     tables = {
         "trend": lambda: paired.paired_trends(df, "anio", pairs),
@@ -307,6 +320,7 @@ def paired_profile(df: DataFrame) -> Profile:
             df, "desemp_ingles_sb11", "mod_ingles_desem", fixed.ENGLISH_SCHOOL, fixed.ENGLISH_DEGREE
         ),
         "correlations": lambda: paired.correlations(df, {label: (y, x) for label, y, x in fixed.SCORE_PAIRS}, 3),
+        "density_correlations": lambda: paired.correlations(df, pairs, 3),
     }
     for label, (y, x) in pairs.items():
         tables[f"density: {label}"] = partial(histogram.density2d, df, x, y, 50)
@@ -432,9 +446,22 @@ def cohort_continuation_csv(members: DataFrame, unlinked_rows: DataFrame, digits
 
 
 def prediction_quality(
-    df: DataFrame, module: str, level: str = "95%", metrics: DataFrame | None = None, sample_key: Sequence[str] = ()
+    df: DataFrame,
+    module: str,
+    level: str = "95%",
+    metrics: DataFrame | None = None,
+    sample_key: Sequence[str] = (),
+    sample: int | None = None,
+    sweep: DataFrame | None = None,
+    forms: Sequence[str] = ("forma1", "forma2"),
+    methods: Sequence[str] = (),
 ) -> Profile:
-    """Quality of one module on an already filtered slice of predictions."""
+    """Quality of one module on an already filtered slice of predictions.
+
+    ``points`` are all classified points; a page that draws fewer gives ``sample`` (fixed.SCATTER_POINTS).
+    ``metrics`` (method, form, target, mae, mse, ...) adds the forms by MAE and MSE and, with
+    ``methods``, their comparison per form. ``sweep`` adds the numbers of clusters with the chosen one.
+    """
     found = prediction.module_columns(df, list(fixed.MODULES))
     real, pred = found[module]
     confidence = fixed.CONFIDENCE_LEVELS[level]
@@ -448,10 +475,15 @@ def prediction_quality(
         "distribution": lambda: histogram.histograms(df.dropna(subset=[real, pred]), {real: 40, pred: 40}),
         "ellipse": lambda: prediction.ellipse(df, real, pred, confidence),
         "classes": lambda: points.groupBy("point_class").agg(F.count(F.lit(1)).alias("n")),
-        "points": lambda: prediction.sample_points(points, list(sample_key) or [real, pred], fixed.SCATTER_POINTS),
+        "points": lambda: prediction.sample_points(points, list(sample_key) or [real, pred], sample),
     }
     if metrics is not None:
-        tables["forms"] = lambda: prediction.compare_metrics(metrics, "target", "form", ["forma1", "forma2"])
+        tables["forms"] = lambda: prediction.compare_metrics(metrics, "target", "form", forms)
+        tables["forms_mse"] = lambda: prediction.compare_metrics(metrics, "target", "form", forms, "mse")
+        if methods:
+            tables["methods"] = lambda: prediction.compare_metrics(metrics, "target", "method", methods)
+    if sweep is not None:
+        tables["sweep"] = lambda: prediction.choose_k(sweep)
     return Profile(tables)
 
 
@@ -476,9 +508,22 @@ def stratum_probability(df: DataFrame, father: str | None = None, mother: str |
 
 
 def executive_summary(
-    norms: DataFrame, scores: DataFrame, socio: DataFrame, funnel: DataFrame, arrivals: DataFrame, predictions: DataFrame
+    norms: DataFrame,
+    scores: DataFrame,
+    socio: DataFrame,
+    funnel: DataFrame,
+    arrivals: DataFrame,
+    predictions: DataFrame,
+    unlinked_counts: DataFrame | None = None,
+    metrics: DataFrame | None = None,
+    top: int = 10,
+    forms: Sequence[str] = ("forma1", "forma2"),
 ) -> Profile:
-    """The landing page's tables and indicators, from the consolidated tables."""
+    """The landing page's tables and indicators, from the consolidated tables.
+
+    ``unlinked_counts`` (field, value, n) of the continuation bundle adds the tables of those that did not
+    go on; stored ``metrics`` (form, target, mae, mse, rmse, r2) add form 1 against form 2.
+    """
     inst = "inst_nombre_institucion"
     modules = prediction.module_columns(predictions, list(fixed.MODULES))
     socio_counts = frequency.frequency_many(
@@ -493,12 +538,12 @@ def executive_summary(
             "estu_nucleo_pregrado",
         ],
     )
-    top_institutions = frequency.top_mean(norms, inst, "punt_global_norm", 10)
+    top_institutions = frequency.top_mean(norms, inst, "punt_global_norm", top)
     tables = {
         "top_institutions": lambda: top_institutions,
-        "top_institutions_computed": lambda: frequency.top_mean(norms, inst, "punt_global_calc_norm", 10),
-        "top_departments": lambda: frequency.top_mean(norms, "estu_prgm_departamento", "punt_global_norm", 10),
-        "top_groups": lambda: frequency.top_mean(norms, "gruporeferencia", "punt_global_norm", 10),
+        "top_institutions_computed": lambda: frequency.top_mean(norms, inst, "punt_global_calc_norm", top),
+        "top_departments": lambda: frequency.top_mean(norms, "estu_prgm_departamento", "punt_global_norm", top),
+        "top_groups": lambda: frequency.top_mean(norms, "gruporeferencia", "punt_global_norm", top),
         "global_histograms": lambda: histogram.histograms(norms, {"punt_global_norm": 40, "punt_global_calc_norm": 40}),
         "competences": lambda: frequency.mean_profile(
             norms, {c: lab for c, lab in fixed.COMPETENCES.items() if c != "punt_global_calc_norm"}, 3
@@ -517,6 +562,13 @@ def executive_summary(
         ),
         "timing": lambda: link.arrival_timing(arrivals, 10),
     }
+    if unlinked_counts is not None:
+        for column in schemas.UNLINKED_ATTRIBUTES:
+            shown = top if column == "estu_depto_presentacion" else None
+            tables[f"unlinked: {column}"] = partial(table_of, unlinked_counts, column, top=shown)
+    if metrics is not None:
+        for value in ("mae", "mse", "r2"):
+            tables[f"forms: {value}"] = partial(prediction.compare_metrics, metrics, "target", "form", forms, value)
     test = predictions.filter(F.col("split") == "test")
     for module, (real, pred) in modules.items():
         tables[f"density: {module}"] = partial(histogram.density2d, test, real, pred, 45)

@@ -12,7 +12,6 @@ from cohortia.functions.text import null_label
 from cohortia.operators import frequency, link, trend
 from cohortia.plans.registry import query, table
 
-YEARS = (1990, 2030)
 STANDARDS = (("F", "Closed", 4.5), ("O", "Open", 5.0))
 
 # SQL fragments shared by the oracle texts of this module
@@ -31,8 +30,7 @@ ARRIVALS_SQL = f"""{MEMBERS_SQL}, arrivals AS (
   FROM members m JOIN lineitem k ON m.o_orderkey = k.l_orderkey AND k.l_returnflag = 'A'
   JOIN lineitem e ON e.l_orderkey = k.l_orderkey GROUP BY ALL), parsed AS (
   SELECT *, period[1:4]::INT AS arrival_year,
-         (period[1:4]::INT - cohort) * 2 + period[5:5]::INT - 1 AS gap FROM arrivals),
-accepted AS (SELECT * FROM parsed WHERE arrival_year BETWEEN 2000 AND 2030)"""
+         (period[1:4]::INT - cohort) * 2 + period[5:5]::INT - 1 AS gap FROM arrivals)"""
 
 
 def members(spark: SparkSession, folder: str) -> DataFrame:
@@ -192,12 +190,12 @@ TIMING_RATES = ("early_pct", "early_avg_dev", "on_time_pct", "late_pct", "late_a
 
 @query(f"WITH {ARRIVALS_SQL}, g AS (SELECT *, 4 AS std FROM parsed) SELECT {TIMING_COLUMNS_SQL} FROM g")
 def arrival_timing(spark, folder):
-    return _rounded(link.arrival_timing(arrivals(spark, folder), 4, years=YEARS), *TIMING_RATES)
+    return _rounded(link.arrival_timing(arrivals(spark, folder), 4), *TIMING_RATES)
 
 
 @query(
     f"""WITH {ARRIVALS_SQL}, g AS (SELECT *, CASE "group" WHEN 'F' THEN 9 ELSE 10 END AS std,
-      CASE "group" WHEN 'F' THEN 'Closed' ELSE 'Open' END AS standard_label FROM accepted)
+      CASE "group" WHEN 'F' THEN 'Closed' ELSE 'Open' END AS standard_label FROM parsed)
     SELECT cohort, standard_label, {TIMING_COLUMNS_SQL} FROM g GROUP BY ALL"""
 )
 def arrival_timing_by_group(spark, folder):
@@ -207,7 +205,7 @@ def arrival_timing_by_group(spark, folder):
     )
 
 
-@query(f"WITH {ARRIVALS_SQL} SELECT arrival_year, sum(n)::BIGINT AS n FROM accepted GROUP BY ALL")
+@query(f"WITH {ARRIVALS_SQL} SELECT arrival_year, sum(n)::BIGINT AS n FROM parsed GROUP BY ALL")
 def arrival_by_year(spark, folder):
     return link.arrival_by_year(arrivals(spark, folder))
 
@@ -219,7 +217,7 @@ def arrival_by_year(spark, folder):
     FROM parsed GROUP BY ALL"""
 )
 def arrival_year_classes(spark, folder):
-    return link.arrival_by_year(arrivals(spark, folder), 1.5, years=YEARS)
+    return link.arrival_by_year(arrivals(spark, folder), 1.5)
 
 
 @query(
@@ -228,7 +226,7 @@ def arrival_year_classes(spark, folder):
       AS deviation_class FROM parsed GROUP BY ALL"""
 )
 def arrival_by_deviation(spark, folder):
-    return link.arrival_by_deviation(arrivals(spark, folder), 3, years=YEARS)
+    return link.arrival_by_deviation(arrivals(spark, folder), 3)
 
 
 @query(
@@ -239,7 +237,7 @@ def arrival_by_deviation(spark, folder):
         WHEN 3 THEN (year(l_shipdate) * 10 + 3)::VARCHAR ELSE 'n/a' END AS code, year(l_shipdate) AS y, month(l_shipdate) AS m,
         l_linenumber % 5 AS k
       FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
-    p AS (SELECT cohort, CASE WHEN k <= 2 AND y BETWEEN 2000 AND 2030 THEN y END AS y,
+    p AS (SELECT cohort, CASE WHEN k <= 2 THEN y END AS y,
         CASE k WHEN 0 THEN CASE WHEN m <= 6 THEN 1 ELSE 2 END WHEN 1 THEN 2 WHEN 2 THEN 1 END AS s FROM c)
     SELECT y::INT AS year, CASE WHEN y IS NOT NULL THEN s END::INT AS semester,
            CASE WHEN y IS NOT NULL THEN (y - cohort) * 2 + s - 1 END::INT AS gap, count(*) AS n FROM p GROUP BY ALL"""

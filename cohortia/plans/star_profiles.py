@@ -6,6 +6,8 @@ returned as 'A' are the links.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,21 +21,23 @@ from cohortia.plans.star_tables import rounded
 YEARS = range(1995, 2002)
 
 
-def by_year(df: DataFrame, year: str) -> dict[int, DataFrame]:
-    return {y: df.filter(F.col(year) == y).drop(year) for y in YEARS}
+def by_year(df: DataFrame, date: str) -> dict[int, DataFrame]:
+    """One table per year; ranges of dates, which reach the files, where a year taken from the date would not."""
+    at = F.col(date)
+    return {y: df.filter((at >= F.lit(dt.datetime(y, 1, 1))) & (at < F.lit(dt.datetime(y + 1, 1, 1)))).drop(date) for y in YEARS}
 
 
 def school_tables(spark: SparkSession, folder: str) -> dict[int, DataFrame]:
     """Orders as yearly school exams; 1997 lacks the area column, numbers are left untyped."""
     orders = table(spark, folder, "orders").select(
-        F.year("o_orderdate").alias("_year"),
+        F.col("o_orderdate").alias("_date"),
         F.col("o_orderkey").alias("estu_consecutivo"),
         F.when(F.col("o_orderpriority") == "5-LOW", F.lit("Sin Estrato")).otherwise(F.col("o_orderpriority")).alias("fami_estratovivienda"),
         F.col("o_orderstatus").alias("cole_naturaleza"),
         F.when(F.col("o_custkey") % 2 == 0, F.lit("URBANO")).otherwise(F.lit("RURAL")).alias("cole_area_ubicacion"),
         (F.col("o_custkey") % 33).cast("string").alias("estu_depto_presentacion"),
     )
-    tables = by_year(orders, "_year")
+    tables = by_year(orders, "_date")
     tables[1997] = tables[1997].drop("cole_area_ubicacion")
     return tables
 
@@ -42,13 +46,13 @@ def degree_tables(spark: SparkSession, folder: str) -> dict[int, DataFrame]:
     """Line items as yearly degree exams; 1996 has no reference group."""
     half = F.when(F.month("l_shipdate") <= 6, F.lit(1)).otherwise(F.lit(2))
     lines = table(spark, folder, "lineitem").select(
-        F.year("l_shipdate").alias("_year"),
+        F.col("l_shipdate").alias("_date"),
         F.concat(F.col("l_orderkey").cast("string"), F.lit("p")).alias("estu_consecutivo"),
         # accepted exam years start in 2000
         ((F.year("l_shipdate") + 10) * 10 + half).cast("string").alias("periodo"),
         F.when(F.col("l_linestatus") == "F", F.lit("ECONOMÍA")).otherwise(F.lit("DERECHO")).alias("gruporeferencia"),
     )
-    tables = by_year(lines, "_year")
+    tables = by_year(lines, "_date")
     tables[1996] = tables[1996].drop("gruporeferencia")
     return tables
 
@@ -122,7 +126,7 @@ def socio_tables(spark: SparkSession, folder: str) -> dict[int, DataFrame]:
     )
     key, nation = F.col("o_orderkey"), F.col("n_nationkey")
     shaped = rows.select(
-        F.year("o_orderdate").alias("_year"),
+        F.col("o_orderdate").alias("_date"),
         F.date_format("o_orderdate", "yyyyMM").alias("periodo"),
         F.when(key % 3 == 0, F.lit("M")).otherwise(F.lit("F")).alias("estu_genero"),
         F.date_format(F.date_sub("o_orderdate", 8000), "dd/MM/yyyy").alias("estu_fechanacimiento"),
@@ -139,7 +143,7 @@ def socio_tables(spark: SparkSession, folder: str) -> dict[int, DataFrame]:
         F.when(F.col("o_orderstatus") == "P", F.lit("true")).otherwise(F.lit("no")).alias("estu_pagomatriculabeca"),
         F.when(key % 5 == 0, F.lit("Si")).otherwise(F.lit("0")).alias("estu_pagomatriculapadres"),
     )
-    return by_year(shaped, "_year")
+    return by_year(shaped, "_date")
 
 
 def socio(spark: SparkSession, folder: str) -> DataFrame:
@@ -214,7 +218,7 @@ def norm_tables(spark: SparkSession, folder: str) -> dict[int, DataFrame]:
         table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")
     )
     shaped = lines.select(
-        F.year("l_shipdate").alias("_year"),
+        F.col("l_shipdate").alias("_date"),
         F.concat(F.lit("U"), F.col("s_nationkey").cast("string"), F.lit(" -X")).alias("inst_nombre_institucion"),
         F.col("l_linestatus").alias("estu_prgm_academico"),
         F.col("l_returnflag").alias("gruporeferencia"),
@@ -223,14 +227,14 @@ def norm_tables(spark: SparkSession, folder: str) -> dict[int, DataFrame]:
         (F.col("l_extendedprice") / 100000).cast("string").alias("punt_global_norm"),
         ((F.col("l_extendedprice") + F.col("l_quantity")) / 100050).alias("punt_global_calc_norm"),
     )
-    tables = by_year(shaped, "_year")
+    tables = by_year(shaped, "_date")
     tables[1999] = tables[1999].drop("punt_global_norm")
     return tables
 
 
 NORMS_SQL = """norms AS (SELECT year(l_shipdate) AS anio, 'U' || s_nationkey || '-X' AS inst, l_returnflag AS grp, l_quantity / 50 AS ingles,
     CASE WHEN year(l_shipdate) <> 1999 THEN l_extendedprice / 100000 END AS g, (l_extendedprice + l_quantity) / 100050 AS gc
-    FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE year(l_shipdate) BETWEEN 1995 AND 2001)"""
+    FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)"""
 
 
 @query(
@@ -269,11 +273,11 @@ def institution_table(spark, folder):
 def score_histograms(spark, folder):
     """Scores that come as text in yearly tables; the scores no table has leave no histogram."""
     lines = table(spark, folder, "lineitem").select(
-        F.year("l_shipdate").alias("_year"),
+        F.col("l_shipdate").alias("_date"),
         F.col("l_quantity").cast("string").alias("mod_ingles_punt"),
         F.col("l_extendedprice").alias("punt_global"),
     )
-    scores = profiles.consolidated_scores(by_year(lines, "_year"))
+    scores = profiles.consolidated_scores(by_year(lines, "_date"))
     return profiles.score_profile(scores)["histograms"].filter("n > 0").select("field", "bin", "n")
 
 

@@ -145,7 +145,7 @@ def quantile_edges(spark, folder):
     b AS (SELECT (1 + (x > ex[1])::INT + (x > ex[2])::INT + (x > ex[3])::INT + (x > ex[4])::INT) AS from_bin,
                  (1 + (y > ey[1])::INT + (y > ey[2])::INT + (y > ey[3])::INT + (y > ey[4])::INT) AS to_bin FROM p, e),
     c AS (SELECT from_bin, to_bin, count(*) AS n FROM b GROUP BY ALL)
-    SELECT from_bin, to_bin, n, round(n * 100.0 / sum(n) OVER (PARTITION BY from_bin), 6)::DOUBLE AS pct FROM c"""
+    SELECT from_bin, to_bin, n, round(n * 100.0 / sum(n) OVER (PARTITION BY from_bin), 6)::DOUBLE AS pct, 5 AS from_bins, 5 AS to_bins FROM c"""
 )
 def quintile_transition(spark, folder):
     return rounded(paired.quantile_transition(paired_rows(spark, folder), "price_before", "price", 5), "pct")
@@ -358,10 +358,14 @@ def classified_points(spark, folder):
     return rows.select("l_orderkey", "l_linenumber", "sigma_outlier", "ellipse_outlier", "point_class")
 
 
-@query()
+@query(
+    f"""WITH {CLASSES_SQL} SELECT l_orderkey, l_linenumber, point_class FROM classed
+    ORDER BY md5('42|' || l_orderkey::VARCHAR || '|' || l_linenumber::VARCHAR), l_orderkey, l_linenumber LIMIT 6000"""
+)
 def sample_points(spark, folder):
     points = prediction.classify_points(predictions(spark, folder), "price_real", "price_pred")
-    return prediction.sample_points(points, ["l_orderkey", "l_linenumber", "price_real"], 6000)
+    sample = prediction.sample_points(points, ["l_orderkey", "l_linenumber"], 6000)
+    return sample.select("l_orderkey", "l_linenumber", "point_class")
 
 
 # ---- stored metrics ------------------------------------------------------------------------------
@@ -393,26 +397,32 @@ def metrics_json(spark, folder):
 
 
 @query(
-    f"""WITH {PREDICTIONS_SQL} SELECT module AS target, round(avg(abs(real - pred)) FILTER (form = 'F'), 6) AS "F",
-      round(avg(abs(real - pred)) FILTER (form = 'O'), 6) AS "O" FROM modules GROUP BY ALL"""
+    f"""WITH {PREDICTIONS_SQL} SELECT module AS target, form, round(avg(abs(real - pred)), 6) AS model,
+      round(avg(abs(real - pred)) * 2, 6) AS twice FROM modules GROUP BY ALL"""
 )
 def method_compare(spark, folder):
+    """Two methods for each form and target; the second has twice the errors of the first."""
     parsed = readers.parse_json(metrics_document(spark, folder), "value", readers.METRICS_SCHEMA)
     rows = prediction.explode_metrics(parsed, "metrics", ["form", "target"])
-    return rounded(prediction.compare_metrics(rows, "target", "form", ["F", "O"]), "F", "O")
+    methods = F.explode(F.array(F.struct(F.lit("model").alias("method"), F.lit(1).alias("k")), F.struct(F.lit("twice").alias("method"), F.lit(2).alias("k"))))
+    rows = rows.withColumn("_m", methods).select("form", "target", F.col("_m.method").alias("method"), (F.col("mae") * F.col("_m.k")).alias("mae"))
+    return rounded(prediction.compare_metrics(rows, "target", "method", ["model", "twice"]), "model", "twice")
 
 
 @query(
     f"""WITH {PREDICTIONS_SQL}, m AS (SELECT form, module, avg(abs(real - pred)) AS mae, avg(power(real - pred, 2)) AS mse FROM modules GROUP BY ALL)
     SELECT form, module, round(mae * CASE WHEN module = 'price' THEN 2 ELSE 1 END, 6) AS mae,
-      round(mse * CASE WHEN module = 'price' THEN 4 ELSE 1 END, 5) AS mse FROM m"""
+      round(mse * CASE WHEN module = 'price' THEN 4 ELSE 1 END, 5) AS mse FROM m
+    UNION ALL SELECT form, 'stored only', round(mae * 2, 6), round(mse * 4, 5) FROM m WHERE module = 'price'"""
 )
 def metrics_with_fallback(spark, folder):
-    """Stored metrics (here twice the price errors) win; quantity is only known from rows."""
+    """Stored metrics (here twice the price errors) win; quantity is only known from rows, and one module
+    only from the store."""
     computed = prediction.error_metrics_by_module(predictions(spark, folder), MODULES, ["form"], None)
     stored = computed.filter("module = 'price'").select(
         "form", "module", (F.col("mae") * 2).alias("mae"), (F.col("mse") * 4).alias("mse")
     )
+    stored = stored.union(stored.withColumn("module", F.lit("stored only")))
     merged = prediction.stored_or_computed(stored, computed, ["form", "module"])
     return rounded(rounded(merged, "mae"), "mse", digits=5)
 
@@ -440,9 +450,8 @@ def k_sweep(spark, folder):
     keys = ["form", "k", "cluster"]
     centres = clustered.filter("split = 'A'").groupBy(*keys).agg(F.avg("real").alias("centre"))
     held_out = clustered.filter("split = 'N'")
-    # at most forms x sum(SWEEP) centres
     sweep = (
-        held_out.join(F.broadcast(centres), keys)
+        held_out.join(centres, keys)
         .groupBy("form", "k")
         .agg(F.avg(F.abs(F.col("real") - F.col("centre"))).alias("mae_val"))
     )

@@ -433,14 +433,14 @@ def frequency_top(spark, folder):
 
 
 @query(
-    """WITH f AS (SELECT upper(c_name[1:17]) AS value, count(*) AS n FROM customer GROUP BY ALL),
+    """WITH f AS (SELECT upper(trim(p_name)) AS value, count(*) AS n FROM part GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (ORDER BY n DESC, value) AS r FROM f),
-    p AS (SELECT * FROM r WHERE contains(value, '0013') ORDER BY r LIMIT 1)
+    p AS (SELECT * FROM r WHERE contains(value, 'GREEN') ORDER BY r LIMIT 1)
     SELECT value, n, false AS pinned FROM r WHERE r <= 20 UNION ALL
-    SELECT value, n, true FROM p WHERE NOT EXISTS (SELECT 1 FROM r WHERE r <= 20 AND contains(value, '0013'))"""
+    SELECT value, n, true FROM p WHERE NOT EXISTS (SELECT 1 FROM r WHERE r <= 20 AND contains(value, 'GREEN'))"""
 )
 def top_pinned(spark, folder):
-    return frequency.top_pinned(table(spark, folder, "customer"), F.substring("c_name", 1, 17), 20, "0013")
+    return frequency.top_pinned(table(spark, folder, "part"), "p_name", 20, "GREEN")
 
 
 @query(
@@ -459,9 +459,17 @@ def distinct_counts(spark, folder):
     return frequency.distinct_counts(table(spark, folder, "part"), ["p_brand", "p_name", "p_retailprice"])
 
 
-@query()
+@query(
+    """SELECT 'l_orderkey' AS field, count(DISTINCT l_orderkey) AS n_distinct, true AS close FROM lineitem
+    UNION ALL SELECT 'l_partkey', count(DISTINCT l_partkey), true FROM lineitem UNION ALL SELECT 'l_suppkey', count(DISTINCT l_suppkey), true FROM lineitem"""
+)
 def distinct_counts_approx(spark, folder):
-    return frequency.distinct_counts_approx(table(spark, folder, "lineitem"), ["l_orderkey", "l_partkey", "l_suppkey"])
+    """The exact counts, and whether the sketches come within three standard deviations of them."""
+    rows, columns = table(spark, folder, "lineitem"), ["l_orderkey", "l_partkey", "l_suppkey"]
+    sketched = frequency.distinct_counts_approx(rows, columns, 0.01).withColumnRenamed("n_distinct", "_about")
+    both = frequency.distinct_counts(rows, columns).join(sketched, "field")
+    close = F.abs(F.col("_about") - F.col("n_distinct")) <= F.col("n_distinct") * 0.03
+    return both.select("field", "n_distinct", close.alias("close"))
 
 
 @query(
@@ -606,9 +614,9 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
 SCORED_SQL = """scored AS (SELECT 'N' || s_nationkey AS inst, CASE WHEN s_nationkey <> 5 THEN l_quantity END AS quantity,
     l_extendedprice AS price, l_tax AS tax FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
     means AS (SELECT inst, avg(quantity) AS quantity, avg(price) AS price, avg(tax) AS tax FROM scored GROUP BY ALL)"""
-SELECTED = ["N7", "N5", "N99", "N3", "N1"]
+SELECTED = ["N7", "N5", "N99", "N3", "N1", "N11"]
 MATRIX_SQL = f"""{SCORED_SQL}, matrix AS (SELECT position::INT AS position, v.inst, quantity, price, tax
-    FROM (VALUES ('N7', 1), ('N5', 2), ('N99', 3), ('N3', 4)) v(inst, position) LEFT JOIN means USING (inst))"""
+    FROM (VALUES ('N7', 1), ('N5', 2), ('N99', 3), ('N3', 4), ('N1', 5), ('N11', 6)) v(inst, position) LEFT JOIN means USING (inst))"""
 
 
 def matrix(spark: SparkSession, folder: str) -> DataFrame:

@@ -52,8 +52,8 @@ def materialize(
     """The table at ``path``, built and written there when it is not.
 
     It is built again with ``force``, when a required column is missing, or when ``sources`` (a table
-    read from files) has another fingerprint than at the last build. The fingerprint is written after
-    the data, so a build that died in between is done again.
+    read from files) has another fingerprint than at the last build. The old fingerprint is emptied before
+    the data is written and the new one written after it, so a build that died in between is done again.
     """
     mark_path = path.rstrip("/") + "_fingerprint"
     mark = None if sources is None else source_fingerprint(sources).collect()[0]["fingerprint"]
@@ -61,6 +61,8 @@ def materialize(
     if fresh and mark is not None:
         fresh = _stored_fingerprint(spark, mark_path) == mark
     if not fresh:
+        if mark is not None:  # no mark may stand beside data that is only partly written
+            write_parquet(spark.createDataFrame([], "fingerprint string"), mark_path)
         write_parquet(build(), path, partition_by)
         if mark is not None:
             write_parquet(spark.createDataFrame([(mark,)], "fingerprint string"), mark_path)

@@ -78,11 +78,15 @@ def read_jdbc(
     partition: JdbcPartition | None = None,
     options: Mapping[str, str] | None = None,
     query: str | None = None,
+    single_task: bool = False,
 ) -> DataFrame:
     """A JDBC table (or query) with the wanted columns it has; the column list reaches the database.
 
-    ``as_string`` casts every column to text, for yearly tables whose types differ.
+    A ``partition`` splits the read over tasks; without one the whole table goes through one task, which
+    ``single_task`` has to allow. ``as_string`` casts every column to text, for yearly tables whose types differ.
     """
+    if partition is None and not single_task:
+        raise ValueError("read_jdbc needs a partition, or single_task=True for a small table")
     settings = jdbc_options(url, table, query, partition, options)
     if partition and partition.predicates:
         extra = {k: v for k, v in settings.items() if k not in ("url", "dbtable", "query")}

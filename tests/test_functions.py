@@ -45,10 +45,11 @@ def test_points(spark):
 
 def test_period_codes(spark):
     values = ["20161", "20162", "20161.0", "2016", " 20161 ", "20163", "19991", "20311", "201", "", "20x61", None]
-    found = apply(spark, values, dates.parse_period)
+    found = apply(spark, values, lambda c: dates.parse_period(c, 2000, 2030))
     assert [tuple(r) if r else None for r in found] == [
         (2016, 1), (2016, 2), (2016, 1), (2016, 1), (2016, 1), None, None, None, None, None, None, None,
     ]
+    assert [tuple(r) for r in apply(spark, ["19991", "20311"], dates.parse_period)] == [(1999, 1), (2031, 1)]
 
 
 def test_semester_gap(spark):

@@ -140,16 +140,11 @@ def skewed(spark):
     return spark.range(3000).select(key.alias("k"), F.col("id").alias("v"))
 
 
-def test_hot_keys_finds_the_frequent_ones(skewed):
-    assert set(skew.hot_keys(skewed, ["k"], 1.0, 500)) == {(7,), (None,)}
-    assert skew.hot_keys(skewed, ["k"], 1.0, 5000) == []
-
-
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_salted_join_is_the_plain_join(spark, skewed, how):
     right = spark.createDataFrame([(7, "hot"), (10, "ten"), (5, "five"), (None, "null")], "k bigint, w string")
     right = right.unionByName(right.filter("k = 7")) if how in ("inner", "left") else right
-    hot = skew.hot_keys(skewed, ["k"], 1.0, 500)
+    hot = [(7,), (None,)]
     salted = skew.skew_join(skewed, right, ["k"], how, salts=8, hot=hot)
     assert rows(salted) == rows(skewed.join(right, ["k"], how))
 
@@ -202,3 +197,36 @@ def test_names(spark):
 def test_compact_numbers(spark):
     frame = conform.compact_numbers(spark.createDataFrame([(1, 2.0, "a")], "i int, d double, s string"))
     assert [t for _, t in frame.dtypes] == ["int", "float", "string"]
+
+
+def test_no_job_while_a_plan_is_built(spark, skewed):
+    """Links, attached columns, ranks, quantile tables and correlations run when they are used."""
+    from cohortia.operators import ordering, paired
+
+    def jobs() -> int:
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup("building"))
+
+    scores = spark.range(50).select(F.col("id").cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("y"))
+    spark.sparkContext.setJobGroup("building", "plans")
+    try:
+        keys = skewed.select("k")
+        plans = [link.unlinked(skewed, keys, "k"), link.linked(skewed, keys, "k"), link.attach(skewed, keys.distinct().withColumn("w", F.lit(1)), "k", ["w"])]
+        plans += [ordering.average_rank(scores, "x"), paired.quantile_transition(scores, "x", "y"), paired.correlations(scores, {"p": ("y", "x")})]
+        assert jobs() == 0
+        assert all(p.columns for p in plans)
+        plans[0].count()
+        assert jobs() > 0
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_funnel_shuffles_members_once(spark):
+    members = spark.range(1000).select(F.col("id").alias("id"), (F.col("id") % 5).alias("year"))
+    links = spark.range(0, 1000, 3).select(F.col("id").alias("id"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = link.cohort_funnel(members, links, "year", "id")._jdf.queryExecution().sparkPlan().toString()
+        executed = link.cohort_funnel(members, links, "year", "id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    assert plan and executed.count("Exchange hashpartitioning") <= 3

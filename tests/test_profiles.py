@@ -230,19 +230,30 @@ def predictions(spark):
     )
 
 
-def test_prediction_quality(predictions):
+def test_prediction_quality(spark, predictions):
     tables = profiles.prediction_quality(predictions, "ingles", sample_key=["id"])
     assert rows(tables["classes"].agg(F.sum("n"))) == [(60,)]
     assert rows(tables["residuals"].agg(F.sum("n"))) == [(60,)]
     assert tables["ellipse"].count() == 360 and tables["points"].count() == 60
     assert records(profiles.residual_classes(tables["metrics"]))[0]["fit"] == "very_good"
+    stored = spark.createDataFrame([(m, f, "ingles", 0.1 * k, 0.2 * k) for k, (m, f) in enumerate([("a", "forma1"), ("a", "forma2"), ("b", "forma1"), ("b", "forma2")])], "method string, form string, target string, mae double, mse double")
+    sweep = spark.createDataFrame([("forma1", 8, 0.3, 16), ("forma1", 16, 0.2, 16), ("forma2", 8, 0.1, 16), ("forma2", 16, 0.2, 16)], "form string, k int, mae_val double, stored_choice int")
+    tables = profiles.prediction_quality(predictions, "ingles", metrics=stored, sweep=sweep, methods=["a", "b"], sample=7, sample_key=["id"])
+    assert tables["points"].count() == 7
+    assert rows(tables["forms_mse"]) == [("ingles", "a", 0.0, 0.2), ("ingles", "b", 0.4, pytest.approx(0.6))]
+    assert rows(tables["methods"]) == [("ingles", "forma1", 0.0, 0.2), ("ingles", "forma2", 0.1, pytest.approx(0.3))]
+    assert rows(tables["sweep"].filter("chosen").select("form", "k", "agrees")) == [("forma1", 16, True), ("forma2", 8, False)]
     assert prediction.module_columns(predictions, list(fixed.MODULES)) == {"ingles": ("ingles_real", "ingles_pred")}
 
 
 def test_executive_summary(norms, socio, school, links, degree, predictions, spark):
     scores = profiles.consolidated_scores({2016: exam(spark, [{c: "1" for c in [*schemas.MODULE_SCORES, "mod_ingles_desem"]}] * 3)})
     continuation = profiles.cohort_continuation(school, links, degree)
-    tables = profiles.executive_summary(norms, scores, socio, continuation["funnel"], continuation["arrivals"], predictions)
+    stored = spark.createDataFrame([("forma1", "ingles", 0.1, 0.2, 0.3), ("forma2", "ingles", 0.2, 0.3, 0.4)], "form string, target string, mae double, mse double, r2 double")
+    tables = profiles.executive_summary(
+        norms, scores, socio, continuation["funnel"], continuation["arrivals"], predictions, continuation["unlinked_counts"], stored
+    )
+    assert rows(tables["forms: r2"]) == [("ingles", 0.3, 0.4)]
     kpis = {r["item"]: r["value"] for r in records(tables["kpis"])}
     assert kpis == {"kpi_registros": "12", "kpi_universidades": "5", "kpi_programas": "3", "kpi_tasa": "42.9", "kpi_mejor": "U4-X"}
     for name, table in tables.items():

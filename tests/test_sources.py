@@ -113,6 +113,10 @@ def test_metrics_json(spark, tmp_path):
     assert by_form["forma1"]["mse"] == pytest.approx(by_form["forma1"]["rmse"] ** 2, abs=1e-9)
     assert by_form["forma2"]["mse"] == pytest.approx(0.0701**2)
     assert rows(prediction.compare_metrics(found, "target", "form", ["forma1", "forma2"])) == [("ingles", 0.0498955212533474, 0.0486)]
+    levels = [(m, f, "t", 0.1 * k) for k, (m, f) in enumerate([("a", "1"), ("a", "2"), ("b", "1"), ("b", "2")])]
+    for given in (levels, levels[::-1]):
+        table = spark.createDataFrame(given, "method string, form string, target string, mae double")
+        assert rows(prediction.compare_metrics(table, "target", "method", ["a", "b"])) == [("t", "1", 0.0, 0.2), ("t", "2", 0.1, pytest.approx(0.3))]
 
 
 def test_cluster_metrics_json(spark, tmp_path):
@@ -120,7 +124,7 @@ def test_cluster_metrics_json(spark, tmp_path):
     document = readers.read_metrics_json(spark, str(tmp_path / "k.json"), readers.METHOD_METRICS_SCHEMA)
     rows_by_method = prediction.explode_metrics(document, "metrics.metricas", ["method", "form", "target"])
     compared = prediction.compare_metrics(rows_by_method, "target", "method", ["media", "reglineal"])
-    assert rows(compared) == [("ingles", 0.0504, 0.0485)]
+    assert rows(compared) == [("ingles", "forma1", 0.0504, 0.0485)]
     sweep = readers.sweep_rows(document)
     assert rows(sweep.select("stored_choice").distinct()) == [(256,)]
     assert rows(prediction.choose_k(sweep).filter("chosen").select("k")) == [(256,)]

