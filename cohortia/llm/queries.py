@@ -31,7 +31,28 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-@query()
+#: Pairs by shared shingles, then what each document reaches. For small tables only: a shingle's documents meet in pairs.
+NEAR_COPIES_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM split WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY ALL),
+shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM shingles x JOIN shingles y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+pairs AS (
+  SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * common >= 80 * (p.n + q.n - common)),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS c FROM reach GROUP BY ALL)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, c = doc_id AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) JOIN least ON a = doc_id
+"""
+
+
+@query(NEAR_COPIES_SQL)
 def op2_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.near_copies(table(spark, sf_dir, "documents"), size=2)
 
@@ -50,7 +71,20 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
-@query()
+#: All pairs of a label, then what each vector reaches. For small tables only.
+NEAR_VECTORS_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id WHERE list_cosine_similarity(x.e, y.e) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS c FROM reach GROUP BY ALL),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY ALL)
+SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, c = vec_id AS kept
+FROM embeddings JOIN least ON least.a = vec_id LEFT JOIN counted ON counted.a = vec_id
+"""
+
+
+@query(NEAR_VECTORS_SQL)
 def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
