@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortia.operators import filters
+from cohortia.operators import filters, link
 from cohortia.plans import constants as fixed
 from cohortia.plans import profiles
 from cohortia.plans.registry import query, table
@@ -114,6 +114,33 @@ def continuation_timing(spark, folder):
     return rounded(timing, "early_pct", "early_avg_dev", "on_time_pct", "late_pct", "late_avg_dev", "avg_dev")
 
 
+def continuation_files(spark: SparkSession, folder: str) -> profiles.Profile:
+    """All orders and those without a returned line, as the two files of one cohort."""
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey", F.col("o_orderpriority").alias("fami_estratovivienda"), F.col("o_orderstatus").alias("cole_naturaleza")
+    )
+    returned = table(spark, folder, "lineitem").filter("l_returnflag = 'A'")
+    return profiles.cohort_continuation_csv(orders, link.unlinked(orders, returned, "o_orderkey", "l_orderkey"))
+
+
+@query(
+    """WITH c AS (SELECT count(*) AS total, count(*) FILTER (o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')) AS linked FROM orders)
+    SELECT total, linked, total - linked AS unlinked, round(linked * 100.0 / total, 2)::DOUBLE AS linked_rate,
+      round((total - linked) * 100.0 / total, 2)::DOUBLE AS unlinked_rate FROM c"""
+)
+def continuation_csv_funnel(spark, folder):
+    return continuation_files(spark, folder)["funnel"]
+
+
+@query(
+    """WITH u AS (SELECT * FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A'))
+    SELECT 'fami_estratovivienda' AS field, o_orderpriority AS value, count(*) AS n FROM u GROUP BY ALL
+    UNION ALL SELECT 'cole_naturaleza', o_orderstatus, count(*) FROM u GROUP BY ALL"""
+)
+def continuation_csv_unlinked(spark, folder):
+    return continuation_files(spark, folder)["unlinked_counts"]
+
+
 # ---- socio-economic profile ----------------------------------------------------------------------
 
 
