@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortia.llm.shared import blocks, keep, mix, prefix_sums, small_batches
+from cohortia.llm.shared import blocks, keep, mix, prefix_sums, release, small_batches
 
 GRAM = 32
 #: Anchor places found at a time, which bounds the memory a long text needs.
@@ -208,6 +208,7 @@ def repeated_passages(docs: DataFrame, length: int = 200, id_column: str = "doc_
     seen = keep(seen, "seen")
     full = "k1 long, k2 int, a long, c long, pos int, left int, right int"
     placed = keep(rows.mapInArrow(_scan(length, True), full).join(seen, "a", "left_semi"), "anchors")
+    release(docs.sparkSession)
 
     # anchors with equal surroundings need no comparison; one of them stands for all against other surroundings
     kinds = placed.groupBy("a", "c").agg(
@@ -219,6 +220,7 @@ def repeated_passages(docs: DataFrame, length: int = 200, id_column: str = "doc_
         F.min("right").alias("right"),
     )
     kinds = keep(kinds, "surroundings")
+    release(docs.sparkSession)
     several = keep(kinds.groupBy("a").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "several")
     first = rows.groupBy("k1", "k2").agg(F.min("id").alias("id"))
     wanted = kinds.join(several, "a").groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "c", "n", "m", "pos", "left", "right")).alias("wanted"))
@@ -233,7 +235,11 @@ def repeated_passages(docs: DataFrame, length: int = 200, id_column: str = "doc_
     covered = compared.union(equal)
     covered = covered.select("a", "c", F.col("left").alias("l"), F.col("right").alias("r"), "others")
     found = placed.select("k1", "k2", "a", "c", "pos").join(covered, ["a", "c"])
-    return found.select("k1", "k2", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + GRAM + F.col("r")).alias("end"), F.col("others").alias("occurrences"))
+    spans = found.select("k1", "k2", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + GRAM + F.col("r")).alias("end"), F.col("others").alias("occurrences"))
+    # written here, so that what the comparison shuffled is gone before the texts are joined with their spans
+    spans = keep(spans.distinct(), "spans")
+    release(docs.sparkSession)
+    return spans
 
 
 def _remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
