@@ -3,7 +3,8 @@
 A document is the set of its word shingles. ``TREES`` independent signature orders sort all different sets by ``DEPTH``
 minimum hashes each; documents with a long common prefix in an order are neighbours in it. How deep a prefix has to be
 follows from the place: the next ``WINDOW`` documents of an order are candidates while they share ``LEAST_DEPTH`` values,
-which reaches short prefixes where documents are sparse and only long ones where they are dense. A sketch of other
+which reaches short prefixes where documents are sparse and only long ones where they are dense. All documents that
+share ``FULL_DEPTH`` values meet as well, however many they are, where they aren't connected by then. A sketch of other
 minimum hashes and the set sizes drop hopeless candidates; all others are verified on full sets.
 """
 
@@ -19,8 +20,15 @@ from pyspark.sql import functions as F
 
 from cohortia.llm.graph import components
 from cohortia.llm.shared import blocks, keep, mix, small_batches, words
+from cohortia.llm.vectors import forest
 
 TREES, DEPTH, LEAST_DEPTH, WINDOW = 24, 8, 2, 4
+#: All documents with so many equal values meet: at a similarity of 0.8 one pair in some 10^5 has them in none of the orders.
+FULL_DEPTH = 4
+#: Documents, and shingles in all, of a common prefix that are compared in one piece; more are cut into blocks, and pairs of blocks.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
+#: Shingles of a piece that are counted by one matrix product.
+COLUMNS = 4096
 #: Values of a sketch, one byte each, and how many must be equal: at a similarity of 0.8 fewer are seen once in 10^5 pairs.
 SKETCH, LEAST_SAME = 32, 16
 #: Candidates with so many equal sketch values are taken to be links when the pairs to verify first are chosen.
@@ -85,17 +93,50 @@ def _describe(size: int):
     return describe
 
 
+class _Crowds:
+    """Rows of one task, in order, whose first FULL_DEPTH values are those of more than WINDOW + 1 rows, or may be with the
+    rows of the tasks before and after. Fewer all meet as neighbours."""
+
+    def __init__(self):
+        self.key, self.count, self.edge, self.held = None, 0, True, None
+
+    def add(self, rows: pa.Table, head: np.ndarray) -> Iterator[pa.Table]:
+        starts = np.concatenate([[0], np.flatnonzero((head[1:] != head[:-1]).any(1)) + 1])
+        sizes = np.diff(np.append(starts, len(rows)))
+        if self.key is not None and self.key != head[0].tobytes():
+            self.count, self.edge, self.held = 0, False, None
+        totals = sizes.copy()
+        totals[0] += self.count
+        out = totals > WINDOW + 1
+        out[0] |= self.edge
+        if out[0] and self.held is not None:
+            yield self.held
+            self.held = None
+        if out.any():
+            yield rows.take(np.flatnonzero(np.repeat(out, sizes)))
+        if len(starts) > 1:
+            self.edge, self.held = False, None
+        self.key, self.count = head[-1].tobytes(), int(totals[-1])
+        if not out[-1]:
+            own = rows.slice(int(starts[-1]))
+            self.held = own if self.held is None else pa.concat_tables([self.held, own])
+
+
 def _neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidates among rows (part, tree, key, id, n, sketch) in this order. The first and last rows of the task come out
-    too, with the numbers of the two boundaries they stand at, for candidates across tasks."""
+    too, with the numbers of the two boundaries they stand at, for candidates across tasks, and, without such a number,
+    those of crowded prefixes."""
     names = ["a", "b", "same", "part", "tree", "key", "id", "n", "sketch"]
     part = TaskContext.get().partitionId()
     last: pa.Table | None = None
     first_seen = 0
 
-    def edges(rows: pa.Table, boundary: int) -> pa.RecordBatch:
+    crowds = _Crowds()
+
+    def edges(rows: pa.Table, boundary: int | None) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
         nothing = [pa.nulls(len(rows), t) for t in (pa.int64(), pa.int64(), pa.int32())]
-        columns = [*nothing, pa.array([boundary] * len(rows), pa.int64()), *[rows.column(c).combine_chunks() for c in names[4:]]]
+        columns = [*nothing, pa.array([boundary] * len(rows), pa.int64()), *[pa.concat_arrays(rows.column(c).chunks) for c in names[4:]]]
         return pa.RecordBatch.from_arrays(columns, names)
 
     for batch in batches:
@@ -105,6 +146,10 @@ def _neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if first_seen < WINDOW:
             yield edges(rows.slice(0, WINDOW - first_seen), part - 1)
             first_seen += min(WINDOW, len(rows))
+        head = np.frombuffer(b"".join(rows.column("key").to_pylist()), ">u2").reshape(-1, DEPTH)[:, :FULL_DEPTH]
+        head = np.column_stack([rows.column("tree").to_numpy(), head]).astype(np.int32)
+        for crowd in crowds.add(rows, head):
+            yield edges(crowd, None)
         old = len(last) if last is not None else 0
         rows = (pa.concat_tables([last, rows]) if old else rows).combine_chunks()
         last = rows.slice(max(0, len(rows) - WINDOW))
@@ -132,13 +177,16 @@ def _neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([*columns, *nothing], names)
     if last is not None:
         yield edges(last, part)
+    if crowds.held is not None:
+        yield edges(crowds.held, None)
 
 
 _FOUND = "a long, b long, same int, part long, tree int, key binary, id long, n long, sketch binary"
 
 
-def _candidates(sets: DataFrame) -> DataFrame:
-    """(a, b, same): pairs of ids, a < b, that are neighbours in some order."""
+def _candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b, same): pairs of ids, a < b, that are neighbours in some order; and (tree, key, id, n, sketch): the documents of
+    crowded prefixes."""
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
     rows = sets.select("id", F.col("n").cast("long").alias("n"), "sketch", "keys", tree.alias("tree"))
     key = F.substr("keys", F.col("tree") * 2 * DEPTH + 1, F.lit(2 * DEPTH))
@@ -148,7 +196,118 @@ def _candidates(sets: DataFrame) -> DataFrame:
     edges = found.filter("part IS NOT NULL").select(*rows.columns)
     across = edges.repartition("part").sortWithinPartitions(*order).mapInArrow(_neighbours, _FOUND)
     pairs = found.select("a", "b", "same").union(across.select("a", "b", "same")).filter("a IS NOT NULL")
-    return keep(pairs.groupBy("a", "b").agg(F.max("same").alias("same")), "pairs")
+    crowds = found.filter("part IS NULL AND a IS NULL").select("tree", F.substr("key", F.lit(1), F.lit(2 * FULL_DEPTH)).alias("key"), "id", "n", "sketch")
+    return keep(pairs.groupBy("a", "b").agg(F.max("same").alias("same")), "pairs"), crowds
+
+
+_PIECE = ["tree", "key", "low", "high"]
+
+
+def _pieces(crowds: DataFrame) -> DataFrame:
+    """The rows of every prefix with more than one component, dealt to pairs of blocks: (low, high, block) are added."""
+    known = crowds.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"), F.min("at").alias("first"), F.max("at").alias("last"))
+    parts = F.ceil(F.greatest(F.col("rows") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    known = known.filter("first <> last").select("tree", "key", parts.alias("parts"))
+    placed = crowds.join(known, ["tree", "key"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return placed.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other")
+
+
+def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each piece, from rows in the order of their pieces."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = list(zip(*[batch.column(c).to_pylist() for c in _PIECE], strict=True))
+        if waiting and tuple(waiting[-1].column(c)[-1].as_py() for c in _PIECE) != key[0]:
+            yield pa.Table.from_batches(waiting).combine_chunks()
+            waiting = []
+        starts = [0, *[k for k in range(1, len(key)) if key[k] != key[k - 1]], len(key)]
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            waiting.append(batch.slice(a, b - a))
+            if b < len(key):
+                yield pa.Table.from_batches(waiting).combine_chunks()
+                waiting = []
+    if waiting:
+        yield pa.Table.from_batches(waiting).combine_chunks()
+
+
+def _hopeful(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a piece that aren't connected yet and whose sizes and sketches allow for a link."""
+    n, at, low, high, block = (rows.column(c).to_numpy() for c in ("n", "at", "low", "high", "block"))
+    sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH).T
+    fits = at[:, None] < at
+    if low[0] != high[0]:
+        fits &= block[:, None] != block
+    if not fits.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    fits &= (100 * n[:, None] >= 80 * n) & (100 * n >= 80 * n[:, None])
+    same = np.zeros(fits.shape, np.uint8)
+    for s in sketches:
+        same += s[:, None] == s
+    return np.nonzero(fits & (same >= LEAST_SAME))
+
+
+_CROWD = "tree int, key binary, id long, n long, at long, sketch binary"
+
+
+def _likely(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in _groups(batches):
+        found = np.unique(np.concatenate(_hopeful(rows)))
+        if len(found):
+            yield from rows.select(["tree", "key", "id", "n", "at", "sketch"]).take(found).to_batches()
+
+
+def _shared(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Shared shingles of the pairs i, j of sets."""
+    used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+    i, j = place[: len(i)], place[len(i) :]
+    sets = [sets[k] for k in used]
+    size = np.array([len(s) for s in sets])
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    often = times > 1
+    code, row, n = (np.cumsum(often) - 1)[code][often[code]], row[often[code]], int(often.sum())
+    order = np.argsort(code, kind="stable")
+    code, row = code[order], row[order]
+    # a matrix product for many pairs, else each on its own
+    if len(sets) ** 2 * n > 200 * (size[i] + size[j]).sum():
+        by_row = np.argsort(row, kind="stable")
+        own = np.split(code[by_row], np.searchsorted(row[by_row], np.arange(1, len(sets))))
+        return np.array([len(np.intersect1d(own[a], own[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+    shared = np.zeros((len(sets), len(sets)), np.float32)  # whole numbers below 2^24 are exact
+    for start in range(0, n, COLUMNS):
+        a, b = np.searchsorted(code, [start, start + COLUMNS])
+        holds = np.zeros((len(sets), min(COLUMNS, n - start)), np.float32)
+        holds[row[a:b], code[a:b] - start] = 1
+        shared += holds @ holds.T
+    return shared[i, j].astype(np.int64)
+
+
+def _crowd_links(percent: int):
+    def link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A spanning forest (a, b) of the links of every piece."""
+        for rows in _groups(batches):
+            i, j = _hopeful(rows)
+            if not len(i):
+                continue
+            lists = rows.column("shingles").combine_chunks()
+            lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            sets = [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            shared, size = _shared(sets, i, j), np.diff(offsets).astype(np.int64)
+            linked = shared * 100 >= (size[i] + size[j] - shared) * percent
+            if not linked.any():
+                continue
+            ids = rows.column("id").to_numpy()
+            nodes, place = np.unique(np.concatenate([i[linked], j[linked]]), return_inverse=True)
+            half = len(place) // 2
+            root = forest(place[:half], place[half:], len(nodes))
+            inner = root != np.arange(len(nodes))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[nodes[root[inner]]]), pa.array(ids[nodes[inner]])], ["a", "b"])
+
+    return link
 
 
 def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -161,9 +320,11 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_column: st
     table gives an empty table. Ids are whole numbers; columns besides id and text are not read.
 
     Signatures are made in one pass. Orders are cut into ranges, ties too, so no task gets a whole group of copies, and
-    a document gives at most TREES * WINDOW candidates, however large its group. First each document of a likely group is
-    compared with the group's least, then only candidates that are not yet connected: the components stay the same, and
-    a large group costs one comparison a document where its members resemble their least.
+    a document gives at most TREES * WINDOW neighbours, however large its group. First each document of a likely group is
+    compared with the group's least, then only neighbours that are not yet connected: the components stay the same, and
+    a large group costs one comparison a document where its members resemble their least. Where members of a crowded
+    prefix are still not connected, all of them meet, in pairs of blocks: first sketches, then the full sets of those left.
+    No pairs leave these tasks, but the comparisons grow with the square of what is not connected by then.
     """
     if percent < 80:
         raise ValueError("the sketch and the sizes are made for similarities of 80 percent and more")
@@ -173,10 +334,9 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_column: st
     classes = keep(linked.groupBy("f", "g").agg(F.min("id").alias("least")), "classes")
     same_set = [F.col("s.f") == F.col("c.f"), F.col("s.g") == F.col("c.g"), F.col("s.id") == F.col("c.least")]
     sets = linked.alias("s").join(classes.alias("c"), same_set, "left_semi").dropDuplicates(["id"])
-    pairs = _candidates(sets)
+    pairs, crowds = _candidates(sets)
 
-    def involved() -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    def spelt(ids: DataFrame) -> DataFrame:
         # these ids grow with the documents: dealt by id at every size, never sent to all executors
         chosen = rows.join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
 
@@ -188,7 +348,7 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_column: st
 
         return keep(chosen.mapInArrow(spell, "id long, shingles array<long>"), "shingles")
 
-    full = involved()
+    full = spelt(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
 
     def verified(some: DataFrame) -> DataFrame:
         a = full.select(F.col("id").alias("a"), F.col("shingles").alias("of_a"))
@@ -204,7 +364,15 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_column: st
     of_b = first.select("b", F.col("a").alias("top_b"))
     open_pairs = pairs.join(of_a, "a", "left").join(of_b, "b", "left")
     open_pairs = open_pairs.filter(F.coalesce("top_a", "a") != F.coalesce("top_b", "b"))
-    found = components(first.union(verified(open_pairs)))
+    links = keep(first.union(verified(open_pairs)), "links")
+    found = components(links)
+
+    crowds = crowds.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("at", F.coalesce("component", "id")).drop("component")
+    dealt = _pieces(crowds).repartition(*_PIECE).sortWithinPartitions(*_PIECE)
+    likely = keep(dealt.mapInArrow(_likely, _CROWD).dropDuplicates(["tree", "key", "id"]), "crowds")
+    if likely.take(1):
+        dealt = _pieces(likely).join(spelt(likely.select("id").distinct()), "id").repartition(*_PIECE).sortWithinPartitions(*_PIECE)
+        found = components(links.union(dealt.mapInArrow(_crowd_links(percent), "a long, b long")))
 
     member = described.select("id", "n", "f", "g").join(classes, ["f", "g"], "left").join(found.withColumnRenamed("node", "least"), "least", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "least")).otherwise(F.col("id"))

@@ -79,7 +79,7 @@ def _hash(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([own.column("id"), own.column("label"), own.column("copies"), packed[0], packed[1], listed], ["id", "label", "copies", "unit", "codes", "buckets"])
 
 
-def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     """The least node that each of n nodes is connected to."""
     root = np.arange(n)
     while True:
@@ -111,7 +111,7 @@ def _links(least: float):
             return None
         nodes, place = np.unique(np.concatenate([i, j]), return_inverse=True)
         links = np.bincount(place, np.concatenate([copies[j], copies[i]])).astype(np.int64)
-        root = _forest(place[: len(i)], place[len(i) :], len(nodes))
+        root = forest(place[: len(i)], place[len(i) :], len(nodes))
         return pa.RecordBatch.from_arrays([pa.array(ids[nodes]), pa.array(links), pa.array(ids[nodes[root]])], ["id", "links", "peer"])
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -104,6 +104,25 @@ def test_near_copies_brute_force(spark, size):
     assert len(set(expected.values())) < len(rows)
 
 
+def test_near_copies_of_a_hub(spark, monkeypatch):
+    random = np.random.default_rng(7)
+    base = [f"v{x}" for x in random.permutation(10_000)[:200]]
+    rows = []
+    for k in range(900):  # each edited on its own: 0.82 to the original, about 0.68 to each other
+        own = list(base)
+        for p in random.choice(np.arange(2, 198, 3), 10, replace=False):
+            own[p] = f"e{k}x{p}"
+        rows.append((k, " ".join(own), "s"))
+    rows.append((5000, " ".join(base), "s"))
+    pairs = {i: set(zip(w, w[1:])) for i, t, _ in rows for w in [t.split()]}
+    assert all(100 * len(pairs[5000] & pairs[k]) >= 80 * len(pairs[5000] | pairs[k]) for k in range(900))
+    assert all(100 * len(pairs[0] & pairs[k]) < 80 * len(pairs[0] | pairs[k]) for k in range(1, 900))
+    assert {r.component_id for r in copies.near_copies(docs(spark, rows), size=2).collect()} == {0}
+    monkeypatch.setattr(copies, "BLOCK", 100)
+    monkeypatch.setattr(copies, "COLUMNS", 50)
+    assert {r.component_id for r in copies.near_copies(docs(spark, rows), size=2).collect()} == {0}
+
+
 # vectors
 
 
