@@ -1,9 +1,10 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
 Texts are compared as lower-case letters and digits, every run of anything else one space. An item is looked for by
-windows of up to ``WINDOW`` bytes that overlap by half, so a passage of it is found too. A window of m bytes with at most e edits shares at
+windows of ``WINDOW`` bytes, one every ``STRIDE``, so every passage of at least ``WINDOW + STRIDE - 1`` bytes holds one
+and is found, wherever it lies in the item; shorter items are looked for as a whole. A window of m bytes with at most e edits shares at
 least m + 1 - q (e + 1) q-grams with its copy, and these lie on e + 1 neighbouring diagonals (place in the text less place
-in the item). So shared q-grams are counted in overlapping diagonal bands, and only bands with enough are aligned.
+in the item). So shared q-grams are counted in overlapping diagonal bands, and only windows with enough in a band are aligned.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from cohortia.llm.shared import blocks, small_batches
 
 Q = 8
-WINDOW = 160
+WINDOW, STRIDE = 64, 16
 #: Edits of a window, as a share of its length.
 EDITS = 0.1
 #: Bytes of benchmark text a pass over the documents looks for; more are looked for in more passes.
@@ -67,7 +68,7 @@ class Benchmark:
             if len(data) < Q:
                 continue
             size = min(WINDOW, len(data))
-            starts = sorted({*range(0, len(data) - size + 1, WINDOW // 2), len(data) - size})
+            starts = sorted({*range(0, len(data) - size + 1, STRIDE), len(data) - size})
             # the bound must stay above 0 for the lemma to say something, which limits the edits of short windows
             edits = min(int(size * EDITS), (size - Q) // Q)
             self.windows.append([(s, data[s : s + size], edits) for s in starts])
@@ -123,7 +124,8 @@ def find_leaks(data: np.ndarray, offsets: np.ndarray, known: Benchmark) -> list[
     item = known.owners[posting]
     diagonal = at[which] - ends[doc[which]] - known.places[posting] + known.longest
     bands = (int(np.diff(ends).max()) + 2 * known.longest) // known.step + 3
-    cells, counts = np.unique((doc[which] * len(known.ids) + item) * bands + diagonal // known.step, return_counts=True)
+    cell = (doc[which] * len(known.ids) + item) * bands + diagonal // known.step
+    cells, counts = np.unique(cell, return_counts=True)
     # a band is two neighbouring cells; cell b belongs to the bands that start at b - 1 and b
     both = counts.copy()
     follows = np.flatnonzero(cells[1:] == cells[:-1] + 1)
@@ -131,13 +133,20 @@ def find_leaks(data: np.ndarray, offsets: np.ndarray, known: Benchmark) -> list[
     enough = np.flatnonzero(both >= known.least[cells // bands % len(known.ids)])
     cells = cells[enough]
     runs = np.split(cells, np.flatnonzero(np.diff(cells) != 1) + 1) if len(cells) else []
+    near = np.flatnonzero(np.isin(cell, np.concatenate([cells, cells + 1]))) if runs else np.zeros(0, np.int64)
+    near = near[np.argsort(cell[near], kind="stable")]
+    near_cells, near_places = cell[near], known.places[posting[near]]
     for run in runs:
         d, i = divmod(int(run[0]) // bands, len(known.ids))
         low = int(run[0]) % bands * known.step - known.longest
         high = (int(run[-1]) % bands + 2) * known.step - known.longest
         own = text[ends[d] : ends[d + 1]]
         found = []
+        shared = np.sort(near_places[np.searchsorted(near_cells, run[0]) : np.searchsorted(near_cells, run[-1] + 1, "right")])
         for start, pattern, edits in known.windows[i]:
+            inside = np.searchsorted(shared, [start, start + len(pattern) - Q + 1])
+            if inside[1] - inside[0] < known.least[i]:
+                continue
             a, b = max(0, low + start - edits), min(len(own), high + start + len(pattern) + edits)
             region = own[a:b]
             exact = region.tobytes().find(pattern)

@@ -329,6 +329,23 @@ def test_leaks(spark, mixed, empty):
     assert all(r.leaks == [] for r in leaks.mark_leaks(mixed, table.limit(0)).collect())
 
 
+def test_leaks_finds_passages_of_every_offset(spark):
+    random = np.random.default_rng(5)
+    word = lambda: "".join(random.choice(list("abcdefghij"), int(random.integers(3, 9))))
+    item = " ".join(word() for _ in range(60))
+    least = leaks.WINDOW + leaks.STRIDE - 1
+    rows = []
+    for k in range(len(item) - least + 1):
+        passage = list(item[k : k + least])
+        if k % 2:  # edits in no window more than it may have
+            for p in (10, 40, 70):
+                passage[p] = "z"
+        rows.append((k, f"{word()} {word()} q{''.join(passage)}q {word()}", "s"))
+    rows.append((10_000, " ".join(word() for _ in range(400)), "s"))
+    found = leaks.mark_leaks(docs(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {r.doc_id for r in found if r.leaks} == {r[0] for r in rows} - {10_000}
+
+
 def test_leaks_in_passes(spark, monkeypatch):
     text = " ".join(f"word{k}" for k in range(60))
     table = spark.createDataFrame([(k, f"{text} {k}{k}{k}") for k in range(4)], "item_id long, text string")
