@@ -285,14 +285,27 @@ def fit(examples: list[Example], epochs: int = 6, rate: float = 0.3, decay: floa
     return weights
 
 
+def _free(cluster: Cluster, base: list[Span]) -> Iterator[Cluster]:
+    """The runs of digit groups between the spans of the rules, each a cluster; names are left whole."""
+    name, units = cluster
+    if name == "name":
+        yield cluster
+        return
+    run: list[tuple[int, int]] = []
+    for unit in [*units, None]:
+        if unit and not any(a < unit[1] and unit[0] < b for _, a, b in base):
+            run.append(unit)
+        elif run:
+            yield name, run
+            run = []
+
+
 def added_spans(text: str, weights: Weights, base: list[Span], sure: float = SURE) -> list[Span]:
     """Spans of the best segmentation of each cluster that are probable enough and touch no span of the rules."""
     found = []
-    for cluster in clusters(text):
+    for cluster in (piece for whole in clusters(text) for piece in _free(whole, base)):
         units = cluster[1]
-        if any(a < units[-1][1] and units[0][0] < b for _, a, b in base) and len(units) <= MOST_UNITS:
-            continue
-        lattice = _lattice(text, cluster)
+        lattice = [x for x in _lattice(text, cluster) if not any(a < units[x[1]][1] and units[x[0]][0] < b for _, a, b in base)]
         scored = [(i, j, sum(weights.get(f, 0.0) for f in own)) for i, j, _, own in lattice]
         probable, _ = marginals(len(units), scored)
         for k in best(len(units), scored):

@@ -243,6 +243,17 @@ def test_personal_data(spark, mixed, empty):
     assert personal.find_personal_data(empty, personal.learn_field(empty)).count() == 0
 
 
+def test_numbers_beside_spans_of_the_rules():
+    draw = np.random.default_rng(1)
+    texts = [f"call +1 (212) 555-{k:04d} or host 10.0.{k}.7 {draw.integers(10)}" for k in range(60)]
+    field = personal.fit([(t, personal.base_spans(t)) for t in texts])
+    for text, number in [("+14155552671 / 415-555-9999", "415-555-9999"), ("+1 4155552671/(212) 555-0199", "(212) 555-0199"), ("10.0.0.1 415-555-9999", "415-555-9999"), ("+14155552671 / 415-555-9999 / 212-555-0143", "415-555-9999")]:
+        base = personal.base_spans(text)
+        added = personal.added_spans(text, field, base, 0.0)
+        assert not any(a < end and start < b for _, start, end in added for _, a, b in base)
+        assert any(number in text[a:b] or text[a:b] in number for _, a, b in added), (text, base, added)
+
+
 def test_marginals_are_sums_over_segmentations():
     scored = [(0, 0, 0.5), (0, 1, 1.5), (1, 2, -0.3), (2, 2, 0.7)]
     ways = [(), (0,), (1,), (2,), (3,), (0, 2), (0, 3), (1, 3)]
