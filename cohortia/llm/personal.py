@@ -82,7 +82,8 @@ _GROUP = re.compile(r"[0-9]+")
 _AT = re.compile(r"@| at |\(at\)|\[at\]")
 _WORD = re.compile(r"[A-Za-z0-9-]{1,63}")
 _DOT = re.compile(r" ?(?:\.|\(dot\)|\[dot\])|(?<=\S) dot ")
-_TRIGGER = re.compile(r"[0-9@]|\(at\)|\[at\]| dot ")
+#: What every cluster and every span of the rules holds.
+_TRIGGER = re.compile(r"[0-9@]| at |\(at\)|\[at\]")
 
 #: A cluster: its type of units, and their places; candidates run from the start of a unit to the end of another.
 Cluster = tuple[str, list[tuple[int, int]]]

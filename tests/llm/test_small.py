@@ -243,6 +243,11 @@ def test_personal_data(spark, mixed, empty):
     assert personal.find_personal_data(empty, personal.learn_field(empty)).count() == 0
 
 
+def test_every_start_of_a_cluster_is_searched():
+    for text in ("write to john at example.org", "john(at)example.org", "john[at]example dot org", "john at example dot org", "call 415-555-9999"):
+        assert personal.clusters(text) and personal._TRIGGER.search(text)
+
+
 def test_numbers_beside_spans_of_the_rules():
     draw = np.random.default_rng(1)
     texts = [f"call +1 (212) 555-{k:04d} or host 10.0.{k}.7 {draw.integers(10)}" for k in range(60)]
