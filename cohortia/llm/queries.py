@@ -102,8 +102,9 @@ def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = urls.fit_url_model(urls.labelled_urls(spark))
+def op9_url_filter(spark: SparkSession, sf_dir: str, labelled: DataFrame | None = None) -> DataFrame:
+    """``labelled`` (url, label) takes the place of the small table that the package brings."""
+    model = urls.fit_url_model(urls.labelled_urls(spark) if labelled is None else labelled)
     judged = urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, model)
     return judged.select("page_id", "host", "path", "rule", "verdict", F.round("url_score", 6).alias("url_score"))
 

@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 16
 
-#: The labelled URLs the model learns from, made from two lists of words: unwanted hosts and ordinary ones.
-UNWANTED = ["casino", "casino-win", "poker", "jackpot", "slots", "roulette", "bets", "free-bets", "sports-bet", "betting", "adult", "adult-x", "xxx", "porn", "sex-cams", "cheap-pills", "pills", "viagra", "pharmacy-cheap", "spam", "spam-farm", "link-farm", "ads", "ads-track", "adserver", "click-track", "tracker-ads", "win-prize", "free-money", "loans-fast", "warez", "keygen"]
-ORDINARY = ["news", "weather", "library", "museum", "university", "school", "recipes", "garden", "history", "science", "physics", "music", "travel", "health", "hospital", "city", "council", "theatre", "books", "journal", "review", "forum", "docs", "wiki", "support", "research", "nature", "football", "cinema", "radio", "notes", "homepage", "there", "tion", "thing", "other", "then", "ther", "thin", "that", "this", "thand", "ones", "ering"]
+#: The labelled URLs the model learns from, made from words for hosts and for paths: unwanted ones and ordinary ones.
+UNWANTED = ["casino", "casino-royal", "poker", "jackpot", "slots", "roulette", "bets", "bet-now", "sports-bet", "betting", "adult", "adults-only", "xxx", "porn", "sex-cams", "pills", "viagra", "pharmacy-cheap", "spam", "link-farm", "ads", "adserver", "click-track", "tracker-ads", "win-prize", "free-money", "loans-fast", "warez", "keygen"]
+ORDINARY = ["news", "weather", "library", "museum", "university", "school", "recipes", "garden", "history", "science", "physics", "music", "travel", "health", "hospital", "city", "council", "theatre", "books", "journal", "review", "forum", "docs", "wiki", "support", "research", "nature", "football", "cinema", "radio", "notes", "homepage", "example", "farmers", "freedom", "wingate", "tracks", "clickers"]
 FRONTS = ["", "www.", "m.", "blog."]
 ENDS = [".com", ".net", ".org", ".example.com", ".example.net", ".example.org"]
-PATHS = ["/", "/en/1234", "/de/77.html", "/fr/5678/", "/es/901", "/index.html", ""]
+PLAIN_PATHS = ["/", "/en/1234", "/de/77.html", "/fr/5678/", "/es/901", "/index.html", ""]
+UNWANTED_PATHS = ["/casino/", "/online-casino/play", "/poker-bonus.html", "/slots/jackpot", "/betting/odds", "/bets/today", "/free-spins", "/porn/videos", "/xxx/12.html", "/sex-cams/", "/buy-viagra", "/pills/cheap", "/pharmacy/order", "/warez/crack", "/keygen.html", "/win-money/", "/loans/fast", "/ads/click", "/track/ads", "/spam/"]
+ORDINARY_PATHS = ["/news/2021", "/articles/weather", "/library/books", "/about", "/contact.html", "/recipes/soup", "/history/rome", "/science/physics/12", "/wiki/garden", "/docs/manual", "/support/faq", "/travel/italy", "/health/advice", "/sports/football", "/music/jazz", "/reviews/cinema", "/events/theatre", "/blog/2020/notes", "/school/lessons", "/search"]
 
 Rule = tuple[str, str, str]
 
@@ -47,13 +49,18 @@ def longest_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(url, label): the default training table; label 1 is unwanted. Each word comes with every front, the endings and
-    paths taken in turn, so neither front, ending nor path tells the classes apart."""
+    """(url, label): the default training table; label 1 is unwanted. A URL is unwanted where its host or its path is.
+    Each host comes with every front and plain paths, so these tell nothing; ordinary hosts also come with unwanted paths,
+    label 1, and with ordinary ones, label 0. Fronts, endings and words are taken in turn."""
     rows = []
     for label, hosts in ((1, UNWANTED), (0, ORDINARY)):
         for k, host in enumerate(hosts):
             for j, front in enumerate(FRONTS):
-                rows.append((f"http://{front}{host}{ENDS[(k + j) % len(ENDS)]}{PATHS[(k + 2 * j) % len(PATHS)]}", label))
+                rows.append((f"http://{front}{host}{ENDS[(k + j) % len(ENDS)]}{PLAIN_PATHS[(k + 2 * j) % len(PLAIN_PATHS)]}", label))
+    for label, paths in ((1, UNWANTED_PATHS), (0, ORDINARY_PATHS)):
+        for k, path in enumerate(paths):
+            for j, front in enumerate(FRONTS):
+                rows.append((f"http://{front}{ORDINARY[(5 * k + 7 * j) % len(ORDINARY)]}{ENDS[(k + j) % len(ENDS)]}{path}", label))
     table = F.array(*[F.struct(F.lit(u).alias("url"), F.lit(float(y)).alias("label")) for u, y in rows])
     return spark.range(1, numPartitions=1).select(F.inline(table))
 

@@ -438,6 +438,15 @@ def test_urls(spark):
     assert urls.judge_urls(frame, [], model).filter("rule IS NOT NULL").count() == 0
 
 
+def test_paths_decide_too(spark):
+    unwanted = ["http://example.org/casino/free-bets", "http://gardening.example.net/poker/77", "http://townhall.org/porn/", "http://www.bakery.com/buy-viagra/9"]
+    ordinary = ["http://example.org/news/12", "http://gardening.example.net/library/77", "http://townhall.org/contact", "http://www.bakery.com/recipes/9"]
+    frame = spark.createDataFrame([(u,) for u in unwanted + ordinary], "url string")
+    model = urls.fit_url_model(urls.labelled_urls(spark))
+    found = {r.url: r.verdict for r in urls.judge_urls(frame, [], model).collect()}
+    assert [found[u] for u in unwanted] == ["block"] * 4 and [found[u] for u in ordinary] == ["allow"] * 4
+
+
 # mixing
 
 
