@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortia.llm import copies, languages, leaks, mixing, personal, quality, repeats, tokens, urls, vectors
+from cohortia.llm import copies, languages, leaks, manifest, mixing, personal, quality, repeats, tokens, toxicity, urls, vectors, whitening
 from cohortia.llm.registry import query, table
+from cohortia.llm.shared import keep
 
 URL_RULES = [
     ("com", "/", "allow"),
@@ -150,3 +151,119 @@ def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_documents(table(spark, sf_dir, "documents"), tokens.default_tokenizer())
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+#: crc32 byte by byte over a table; the tree level by level, 16 nodes at a time; a proof by joins with its level's run.
+MANIFEST_SQL = r"""
+WITH RECURSIVE steps AS (
+  SELECT i, 0 AS k, i::UBIGINT AS c FROM range(256) r(i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+texts AS (
+  SELECT doc_id, source, lang, n_chars, text,
+         CASE WHEN xor(list_reduce(
+                list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
+                lambda a, b: xor(a >> 8, t[(xor(a, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT) % 5 = 0
+              THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other
+  FROM documents, crc),
+fields AS (
+  SELECT doc_id, source,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+         coalesce(strlen(text) || ':' || text, '-') AS body, coalesce(strlen(other) || ':' || other, '-') AS changed
+  FROM texts),
+leaves AS (
+  SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, sha256(head || body)) - 1 AS rank,
+         count(*) OVER (PARTITION BY source) AS n, sha256(head || body) AS leaf, sha256(head || changed) AS tampered
+  FROM fields),
+nodes AS (
+  SELECT tree, rank, leaf AS digest, n, 0 AS level FROM leaves
+  UNION ALL
+  SELECT tree, rank // 16, sha256(string_agg(digest, '' ORDER BY rank)), (n + 15) // 16, level + 1 FROM nodes WHERE n > 1
+  GROUP BY tree, rank // 16, n, level),
+subroots AS (SELECT tree, digest AS subroot, level AS height FROM nodes WHERE n = 1),
+above AS (
+  SELECT tree AS rank, subroot AS digest, count(*) OVER () AS n, 0 AS level FROM subroots
+  UNION ALL
+  SELECT rank // 16, sha256(string_agg(digest, '' ORDER BY rank)), (n + 15) // 16, level + 1 FROM above WHERE n > 1
+  GROUP BY rank // 16, n, level),
+whole AS (SELECT digest AS root FROM above WHERE n = 1),
+all_nodes AS (
+  SELECT tree, rank, digest, level FROM nodes WHERE n > 1
+  UNION ALL
+  SELECT -1, rank, digest, level FROM above WHERE n > 1),
+paired AS (
+  SELECT x.tree, x.rank, x.level, coalesce(string_agg(y.digest, '' ORDER BY y.rank) FILTER (y.rank < x.rank), '') AS lefts,
+         coalesce(string_agg(y.digest, '' ORDER BY y.rank) FILTER (y.rank > x.rank), '') AS rights
+  FROM all_nodes x JOIN all_nodes y ON x.tree = y.tree AND x.level = y.level AND x.rank // 16 = y.rank // 16 GROUP BY ALL),
+climb AS (
+  SELECT doc_id, tree, rank, leaf, tampered AS folded, '' AS siblings, 0 AS level, tree AS own, rank AS place FROM leaves
+  UNION ALL
+  SELECT * FROM (
+    WITH here AS (
+      SELECT c.*, CASE WHEN c.own >= 0 AND c.level = s.height THEN -1 ELSE c.own END AS o,
+             CASE WHEN c.own >= 0 AND c.level = s.height THEN c.tree ELSE c.place END AS p,
+             CASE WHEN c.own >= 0 AND c.level = s.height THEN 0 ELSE c.level END AS l
+      FROM climb c JOIN subroots s ON s.tree = c.tree)
+    SELECT h.doc_id, h.tree, h.rank, h.leaf, sha256(q.lefts || h.folded || q.rights), h.siblings || q.lefts || q.rights, h.l + 1, h.o, h.p // 16
+    FROM here h JOIN paired q ON q.tree = h.o AND q.level = h.l AND q.rank = h.p)),
+tops AS (SELECT coalesce(max(level), 0) AS top FROM above),
+ends AS (
+  SELECT c.* FROM climb c JOIN subroots s ON s.tree = c.tree, tops
+  WHERE CASE WHEN top = 0 THEN c.own >= 0 AND c.level = s.height ELSE c.own = -1 AND c.level = top END)
+SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM ends JOIN subroots USING (tree), whole
+"""
+
+
+@query(MANIFEST_SQL)
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    hit = remainder("doc_id", 5) == 0
+    other = F.when(hit, F.translate("text", _UPPER, _UPPER.lower())).otherwise(F.col("text"))
+    tampered = manifest.leaf_digest([F.col(c) for c in ("doc_id", "source", "lang", "n_chars")] + [other])
+    proofs = manifest.prove(manifest.build_manifest(docs, carry={"tampered": tampered}))
+    found = proofs.select(
+        F.col("key").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        manifest.path_digest(F.col("path")).alias("proof_sha256"),
+        manifest.fold(F.col("tampered"), F.col("path")).alias("folded_root"),
+    )
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query()
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    known = labels.filter(remainder("doc_id", 3) != 1).select("doc_id", "toxic")
+    model = toxicity.learn_toxicity(docs.select("doc_id", "text").join(known, "doc_id"), "toxic")
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("hits").cast("long").alias("n_hits"))
+
+
+@query()
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """deviation is NULL where the sum is beyond a long; deviation_digits has all of it."""
+    vectors_ = table(spark, sf_dir, "embeddings")
+    model = whitening.learn_whitening(vectors_)
+    found = keep(whitening.whiten(vectors_, model), "whitened")
+    width = 0 if model is None else len(model.axes)
+    error = whitening.identity_error(found, width)
+    shares = F.array(*[F.lit(float(s)) for s in model.explained]) if width else F.array().cast("array<double>")
+    rows = found.select("vec_id", "deviation", F.posexplode("whitened").alias("k", "value"))
+    return rows.select(
+        "vec_id",
+        (F.col("k") + 1).cast("int").alias("component"),
+        F.lit(0 if model is None else model.n).cast("long").alias("n"),
+        F.expr("try_cast(deviation AS bigint)").alias("deviation"),
+        F.col("value").alias("whitened"),
+        F.get(shares, F.col("k")).alias("explained"),
+        F.lit(error).alias("identity_error"),
+        F.col("deviation").alias("deviation_digits"),
+    )
