@@ -242,7 +242,7 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     known = labels.filter(remainder("doc_id", 3) != 1).select("doc_id", "toxic")
-    model = toxicity.learn_toxicity(docs.select("doc_id", "text").join(known, "doc_id"), "toxic")
+    model = toxicity.learn_toxicity(docs.select("doc_id", "text"), "toxic", known)
     scored = toxicity.score_toxicity(docs, model)
     return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("hits").cast("long").alias("n_hits"))
 

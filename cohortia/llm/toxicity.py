@@ -256,25 +256,27 @@ def fit(rows: np.ndarray, labels: np.ndarray, model: ToxicityModel, pull: float
     return ToxicityModel(model.lexicon, model.ordinary, w[:-1], float(w[-1]))
 
 
-def _sample(labelled: DataFrame, label: str, id_column: str, text: str) -> DataFrame:
-    """(id, text, label) of at most SAMPLE_ROWS different ids, those with the lowest hashes: the ids are chosen first, texts
-    are joined to them. An id that repeats is one row, with its greatest label and one of its texts."""
-    known = labelled.filter(F.col(label).isNotNull() & F.col(id_column).isNotNull())
+def _sample(docs: DataFrame, labels: DataFrame, label: str, id_column: str, text: str) -> DataFrame:
+    """(id, text, y) of at most SAMPLE_ROWS different ids, those with the lowest hashes. The ids are chosen from the labels alone; they
+    are few, so they are broadcast and no other text leaves its place. An id that repeats is one row, with its greatest label and the
+    greatest of its texts."""
+    known = labels.filter(F.col(label).isNotNull() & F.col(id_column).isNotNull())
     ids = known.groupBy(F.col(id_column).alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     ids = ids.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
-    rows = known.select(F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.join(ids, "id")
+    rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(ids), "id")
+    return rows.groupBy("id", "y").agg(F.max("text").alias("text"))
 
 
-def learn_toxicity(labelled: DataFrame, label: str, id_column: str = "doc_id", text: str = "text") -> ToxicityModel:
-    """Learns terms and weights from rows with text and a 0/1 label; rows without label or id are left out.
+def learn_toxicity(docs: DataFrame, label: str, labels: DataFrame | None = None, id_column: str = "doc_id", text: str = "text") -> ToxicityModel:
+    """Learns terms and weights from rows with text and a 0/1 label, which ``labels`` gives by id where it isn't a column of ``docs``;
+    rows without label or id are left out.
 
     Words, and stems that a document holds twice, which toxic documents of the sample have at least 20 times as often as clean ones
     join the fixed terms, LEARNED_TERMS of each at most. To the driver come these, the ordinary words near a term, and FEATURES numbers a
     document of the sample.
     """
-    rows = small_batches(keep(_sample(labelled, label, id_column, text), "labelled"))
-    single = rows.dropDuplicates(["id"]).select("id", "y", F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{4,24})"), F.lit(1)).alias("words"))
+    rows = small_batches(keep(_sample(docs, docs if labels is None else labels, label, id_column, text), "labelled"))
+    single = rows.select("id", "y", F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{4,24})"), F.lit(1)).alias("words"))
     bad, all_rows = single.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count(F.lit(1))).collect()[0]
 
     def telling(found: DataFrame, column: str) -> list[tuple[str, int]]:
@@ -318,7 +320,7 @@ def learn_toxicity(labelled: DataFrame, label: str, id_column: str = "doc_id", t
 
     kind = dict(rows.dtypes)["id"]
     measured = rows.select("id", "y", "text", half.alias("half")).mapInArrow(measure, f"id {kind}, y int, x array<double>")
-    measured = measured.groupBy("id").agg(F.max(F.struct("y", "x")).alias("r")).select("r.y", "r.x").toPandas()
+    measured = measured.select("y", "x").toPandas()
     measured = sorted(zip(measured["y"], (tuple(x) for x in measured["x"]), strict=True))  # the order of tasks must not matter
     found = np.array([x for _, x in measured]).reshape(-1, FEATURES)
     model.ordinary = frozenset(r.word for r in near)
