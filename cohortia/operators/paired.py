@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortia.functions.classes import strength_class
-from cohortia.operators.crosstab import dense, row_percent
 from cohortia.operators.histogram import histogram
-from cohortia.operators.ordering import average_rank, quantiles
+from cohortia.operators.ordering import SKETCH_ACCURACY
+from cohortia.operators.selection import counted_quantiles
 
 Pairs = Mapping[str, tuple[str, str]]
 
@@ -99,83 +99,104 @@ def contribution_kpis(long: DataFrame, year: str, aggregates: Iterable[str], mai
     )
 
 
-def _sides(pairs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """(keep..., side, value): both scores of every pair in one column."""
-    entries = [F.struct(F.lit(s).alias("side"), F.col(s).alias("value")) for s in ("x", "y")]
-    return pairs.select(*keep, F.inline(F.array(*entries)))
+#: Ranges that the values of a side are cut into, at most; the table of range pairs has four times its square of rows a label.
+MOST_RANGES = 512
 
 
-def _joint(df: DataFrame, pairs: Pairs) -> DataFrame:
-    """(label, x, y, _n): complete pairs of scores, equal ones counted."""
-    return melt_pairs(df, pairs).groupBy("label", "x", "y").agg(F.count(F.lit(1)).alias("_n"))
+def _range_facts(df: DataFrame, pairs: Pairs, ranges: int, size: int) -> Column:
+    """One row: per label the means of both sides and ``size`` edges that cut their values into ranges of about equal size, the last
+    ones infinite. A value with more rows than a range holds is an edge."""
+    probes = ", ".join(f"{k / ranges!r}D" for k in range(1, ranges))
+    facts = []
+    for k in range(len(pairs)):
+        sides = []
+        for s in ("x", "y"):
+            edges = f"array_distinct(percentile_approx(_{s}{k}, array({probes}), {SKETCH_ACCURACY * ranges}))"
+            sides.append(f"'m{s}', avg(_{s}{k}), 'e{s}', slice({edges} || array_repeat(DOUBLE('infinity'), {size}), 1, {size})")
+        facts.append(f"'p{k}', named_struct({', '.join(sides)})")
+    return df.agg(F.expr(f"named_struct({', '.join(facts)}) AS facts")).scalar()
 
 
-def _pearson(joint: DataFrame) -> DataFrame:
-    """(label, n, pearson) from counted pairs. The sums are taken around a value of the data, so that
-    large scores don't cancel; NULL below two pairs or where a side does not vary."""
-    n, x, y = F.col("_n"), F.col("x"), F.col("y")
-    about = joint.groupBy("label").agg((F.sum(n * x) / F.sum(n)).alias("_x"), (F.sum(n * y) / F.sum(n)).alias("_y"))
-    a, b = x - F.col("_x"), y - F.col("_y")
-    sums = joint.join(about, "label").groupBy("label").agg(
-        F.sum(n).alias("n"),
-        F.sum(n * a * b).alias("_ab"),
-        F.sum(n * a * a).alias("_aa"),
-        F.sum(n * b * b).alias("_bb"),
-        (F.min(x) < F.max(x)).alias("_vx"),
-        (F.min(y) < F.max(y)).alias("_vy"),
-    )
-    spread = F.sqrt("_aa") * F.sqrt("_bb")
-    varies = (F.col("n") >= 2) & F.col("_vx") & F.col("_vy") & (spread > 0)
-    return sums.select("label", "n", F.when(varies, F.col("_ab") / spread).alias("pearson"))
-
-
-def _spearman(joint: DataFrame) -> DataFrame:
-    def ranks_of(side: str) -> DataFrame:
-        centred = F.col("rank") - (F.col("total") + 1) / 2
-        return average_rank(joint, side, ["label"], "_n").select("label", side, centred.alias(f"_{side}"))
-
-    a, b, n = F.col("_x"), F.col("_y"), F.col("_n")
-    sums = (
-        joint.join(ranks_of("x"), ["label", "x"])
-        .join(ranks_of("y"), ["label", "y"])
-        .groupBy("label")
-        .agg(F.sum(n * a * b).alias("_ab"), F.sum(n * a * a).alias("_aa"), F.sum(n * b * b).alias("_bb"))
+def correlations(df: DataFrame, pairs: Pairs, digits: int | None = None) -> DataFrame:
+    """(label, n, pearson, spearman, strength) of every label; the two are NULL with fewer than two pairs or where a side does
+    not vary, and pairs without complete rows have n = 0. Spearman is Pearson of average ranks.
+
+    Two passes over ``df``. The first finds means and range edges. The second melts the pairs, deals them by ranges of x and then of
+    y, ranks inside the ranges, and sums by pairs of ranges; the rows before a range are sums of that small table, so ranks are never
+    joined to rows. A value that is an edge is a range of its own, where all ranks are equal: its rows need no order and are salted.
+    """
+    ranges = max(2, min(MOST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    sides = []
+    for k, (y, x) in enumerate(pairs.values()):
+        whole = f"CAST(`{x}` AS DOUBLE) IS NOT NULL AND CAST(`{y}` AS DOUBLE) IS NOT NULL AND NOT isnan(CAST(`{x}` AS DOUBLE)) AND NOT isnan(CAST(`{y}` AS DOUBLE))"
+        sides += [f"IF({whole}, CAST(`{c}` AS DOUBLE), NULL) + 0.0D AS _{s}{k}" for s, c in (("x", x), ("y", y))]
+    wide = df.selectExpr(*sides)
+    bits = ranges.bit_length()
+    placed = wide.select("*", _range_facts(wide, pairs, ranges, 1 << bits).alias("_facts"))
+    names = [(f"_{s}{k}", f"_facts.p{k}.e{s}", f"_r{s}{k}") for k in range(len(pairs)) for s in ("x", "y")]
+    # edges below a value, by binary search: a column per side, a projection per step
+    placed = placed.selectExpr("*", *[f"0 AS {at}" for _, _, at in names])
+    for step in (1 << bit for bit in reversed(range(bits))):
+        moved = [f"{at} + IF({edges}[{at} + {step - 1}] < {own}, {step}, 0) AS {at}" for own, edges, at in names]
+        placed = placed.selectExpr(*wide.columns, "_facts", *moved)
+    entries = []
+    for k, label in enumerate(pairs):
+        of_sides = [
+            f"'{s}', _{s}{k}, 'c{s}', _{s}{k} - _facts.p{k}.m{s}, 'r{s}', 2 * _r{s}{k} + IF(_facts.p{k}.e{s}[_r{s}{k}] = _{s}{k}, 1, 0)" for s in ("x", "y")
+        ]
+        entries.append(F.struct(F.lit(label).alias("label"), F.expr(f"named_struct({', '.join(of_sides)})").alias("v")))
+    long = placed.select(F.inline(F.array(*entries))).filter("v.x IS NOT NULL").select("label", "v.*")
+    for s, other in (("x", "y"), ("y", "x")):
+        at_edge = F.col(f"r{s}") % 2 == 1
+        long = long.withColumn("_salt", F.when(at_edge, F.pmod(F.xxhash64(other), F.lit(ranges))).otherwise(F.lit(0)))
+        inside = Window.partitionBy("label", f"r{s}", "_salt").orderBy(s)
+        equal = Window.partitionBy("label", f"r{s}", "_salt", s)
+        rank = F.rank().over(inside) + (F.count(F.lit(1)).over(equal) - 1) / 2
+        long = long.withColumn(f"i{s}", F.when(at_edge, F.lit(0.0)).otherwise(rank)).drop("_salt")
+    sums = [
+        "count(1) AS n", "sum(ix) AS ix", "sum(iy) AS iy", "sum(ix * iy) AS ixy", "sum(ix * ix) AS ixx", "sum(iy * iy) AS iyy",
+        "sum(cx * cy) AS ab", "sum(cx * cx) AS aa", "sum(cy * cy) AS bb", "min(x) AS lx", "max(x) AS hx", "min(y) AS ly", "max(y) AS hy",
+    ]
+    cells = long.groupBy("label", "rx", "ry").agg(*map(F.expr, sums))
+    none = [f"CAST({0 if f.name == 'n' else 'NULL'} AS {f.dataType.simpleString()}) AS {f.name}" for f in cells.schema.fields[3:]]
+    blank = df.sparkSession.range(1, numPartitions=1).select(F.explode(F.array(*[F.lit(k) for k in pairs])).alias("label"))
+    cells = cells.unionByName(blank.selectExpr("label", "-1 AS rx", "-1 AS ry", *none))
+    of_label = Window.partitionBy("label")
+    total = F.sum("n").over(of_label)
+    for s in ("x", "y"):
+        before = F.coalesce(F.sum("n").over(of_label.orderBy(f"r{s}").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        same = F.sum("n").over(Window.partitionBy("label", f"r{s}"))
+        # an edge's rows share the mean of their ranks
+        cells = cells.withColumn(f"o{s}", before + F.when(F.col(f"r{s}") % 2 == 1, (same + 1) / 2).otherwise(F.lit(0.0)) - (total + 1) / 2)
+    ranked = cells.groupBy("label").agg(
+        F.sum("n").alias("n"),
+        *[F.sum(c).alias(c) for c in ("ab", "aa", "bb")],
+        F.expr("min(lx) < max(hx) AND min(ly) < max(hy) AS varies"),
+        F.expr("sum(n * ox * oy + ox * iy + oy * ix + ixy) AS rab"),
+        F.expr("sum(n * ox * ox + 2 * ox * ix + ixx) AS raa"),
+        F.expr("sum(n * oy * oy + 2 * oy * iy + iyy) AS rbb"),
     )
-    spread = F.sqrt("_aa") * F.sqrt("_bb")
-    return sums.select("label", F.when(spread > 0, F.col("_ab") / spread).alias("spearman"))
+
+    def ratio(a: str, b: str, c: str) -> Column:
+        spread = F.sqrt(b) * F.sqrt(c)
+        return F.when((F.col("n") >= 2) & F.col("varies") & (spread > 0), F.col(a) / spread)
+
+    r, rho = ratio("ab", "aa", "bb"), ratio("rab", "raa", "rbb")
+    if digits is not None:
+        r, rho = F.round(r, digits), F.round(rho, digits)
+    both = ranked.select("label", "n", r.alias("pearson"), rho.alias("spearman"))
+    return both.withColumn("strength", strength_class("pearson"))
 
 
 def pearson(df: DataFrame, pairs: Pairs) -> DataFrame:
     """(label, n, pearson) of every pair; NULL below two pairs or where a side does not vary. Pairs
     without complete rows do not appear."""
-    return _pearson(_joint(df, pairs))
+    return correlations(df, pairs).filter("n > 0").select("label", "n", "pearson")
 
 
 def spearman(df: DataFrame, pairs: Pairs) -> DataFrame:
-    """(label, spearman): Pearson of average ranks over complete pairs.
-
-    Equal pairs are reduced to counts; ranks are computed on the distinct values of these counts, and
-    both meet in equi-joins on (label, value). The mean of average ranks is (n + 1) / 2, so the sums
-    are taken around it.
-    """
-    return _spearman(_joint(df, pairs))
-
-
-def correlations(df: DataFrame, pairs: Pairs, digits: int | None = None) -> DataFrame:
-    """(label, n, pearson, spearman, strength); the two are NULL with fewer than two pairs.
-
-    All numbers come from one table of counted pairs, whose exchange is made once and reused. Pairs
-    without complete rows have n = 0.
-    """
-    joint = _joint(df, pairs)
-    both = _pearson(joint).join(_spearman(joint), "label", "left")
-    labels = df.sparkSession.range(1, numPartitions=1).select(F.explode(F.array(*[F.lit(k) for k in pairs])).alias("label"))
-    both = labels.join(both, "label", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rho = F.when(F.col("n") >= 2, F.col("spearman"))
-    r = F.col("pearson")
-    if digits is not None:
-        r, rho = F.round(r, digits), F.round(rho, digits)
-    return both.select("label", "n", r.alias("pearson"), rho.alias("spearman"), strength_class("pearson").alias("strength"))
+    """(label, spearman): Pearson of average ranks over complete pairs."""
+    return correlations(df, pairs).filter("n > 0").select("label", "spearman")
 
 
 def delta(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -203,22 +224,28 @@ def quantile_transition(df: DataFrame, x: str, y: str, n: int = 5, digits: int |
     Quantile edges that repeat, as they do where values are tied or few, are one edge, so a side has
     ``from_bins`` or ``to_bins`` bins, ``n`` at most; all their pairs are listed. A constant side has one bin.
     A page that shows nothing unless there are n bins filters on the two numbers. The edges are exact.
-    Nothing runs until the table is used; the edges reach the counting pass as two arrays.
+    Nothing runs until the table is used. All edges of both sides come from one narrowing, and the cells are summed
+    over its groups, so the pairs are passed over three times and never sorted.
     """
     pairs = melt_pairs(df, {"": (y, x)}).select("x", "y")
-    found = quantiles(_sides(pairs), "value", n, ["side"])
-
-    def edges(side: str) -> Column:
-        return found.filter(F.col("side") == side).agg(F.array_sort(F.collect_set("edge"))).scalar()
-
-    of_x, of_y = edges("x").alias("_ex"), edges("y").alias("_ey")
-    counted = pairs.select("x", "y", of_x, of_y).groupBy(
-        _quantile_bin(F.col("x"), F.col("_ex")).alias("from_bin"), _quantile_bin(F.col("y"), F.col("_ey")).alias("to_bin")
-    )
-    counted = row_percent(counted.agg(F.count(F.lit(1)).alias("n")), ["from_bin"], digits)
-    count = [F.greatest(F.size(e) - 1, F.least(F.size(e), F.lit(1))).alias(c) for e, c in (("_ex", "from_bins"), ("_ey", "to_bins"))]
-    numbers = df.sparkSession.range(1, numPartitions=1).select(of_x, of_y).select(*count).filter("from_bins > 0")
-    grid = numbers.withColumn("from_bin", F.explode(F.sequence(F.lit(1), F.col("from_bins"))))
-    grid = grid.withColumn("to_bin", F.explode(F.sequence(F.lit(1), F.col("to_bins"))))
-    filled = grid.join(counted, ["from_bin", "to_bin"], "left")
-    return filled.select("from_bin", "to_bin", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("pct", F.lit(0.0)).alias("pct"), "from_bins", "to_bins")
+    found = counted_quantiles(pairs, ["x", "y"], n)
+    bins = [F.greatest(F.size(e) - 1, F.least(F.size(e), F.lit(1))).alias(f"{side}_bins") for side, e in (("from", "edges_x"), ("to", "edges_y"))]
+    none = F.lit(None).cast("int")
+
+    def empty(a: Column) -> Column:
+        cell = lambda b: F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0).cast("long").alias("n"), a.alias("a"), b.alias("b"))
+        return F.transform(F.sequence(F.lit(1), F.col("to_bins")), cell)
+
+    groups = F.transform("groups", lambda g: F.struct(g["x"].alias("x"), g["y"].alias("y"), g["n"].alias("n"), none.alias("a"), none.alias("b")))
+    grid = F.flatten(F.transform(F.sequence(F.lit(1), F.col("from_bins")), empty))
+    # the edges are worked out once, below the generator
+    rows = found.select("groups", "edges_x", "edges_y", *bins).select("edges_x", "edges_y", "from_bins", "to_bins", F.inline(F.concat(groups, grid)))
+    from_bin = F.coalesce("a", _quantile_bin(F.col("x"), F.col("edges_x"))).alias("from_bin")
+    to_bin = F.coalesce("b", _quantile_bin(F.col("y"), F.col("edges_y"))).alias("to_bin")
+    rows = rows.select("from_bins", "to_bins", from_bin, to_bin, "n")
+    counted = rows.groupBy("from_bins", "to_bins", "from_bin", "to_bin").agg(F.sum("n").alias("n"))
+    # a from-bin without rows, which interpolated edges can leave, has no shares
+    of_row = F.sum("n").over(Window.partitionBy("from_bin"))
+    share = F.when(of_row > 0, F.col("n") / F.greatest(of_row, F.lit(1)) * 100).otherwise(F.lit(0.0))
+    counted = counted.withColumn("pct", share if digits is None else F.round(share, digits))
+    return counted.select("from_bin", "to_bin", "n", "pct", "from_bins", "to_bins")
