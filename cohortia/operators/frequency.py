@@ -126,6 +126,20 @@ def distinct_counts_approx(df: DataFrame, columns: Sequence[str], rsd: float = 0
     )
 
 
+def distinct_sketches(df: DataFrame, by: Sequence[str], columns: Sequence[str], size: int = 12) -> DataFrame:
+    """(by..., field, sketch): a mergeable sketch of the different values of each column in each slice, NULL left out.
+
+    The table is small and can be kept: counts for any set of slices come from it by ``union_counts``, without the rows. Their relative
+    error has a standard deviation of about 1.04 / sqrt(2 ** size).
+    """
+    return melt(df, columns, by).groupBy(*by, "field").agg(F.hll_sketch_agg("value", size).alias("sketch"))
+
+
+def union_counts(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., field, n_distinct): about how many different values the slices have together. Filters choose the slices."""
+    return sketches.groupBy(*by, "field").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_distinct"))
+
+
 def _stack(row: DataFrame, fields: Sequence[str], parts: Sequence[str], name: str) -> DataFrame:
     """One wide row with columns ``{part}_{i}`` to one row per field."""
     entries = [

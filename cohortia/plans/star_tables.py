@@ -472,6 +472,28 @@ def distinct_counts_approx(spark, folder):
     return both.select("field", "n_distinct", close.alias("close"))
 
 
+@query(
+    """WITH long AS (SELECT l_returnflag, l_linestatus, unnest(['l_orderkey', 'l_partkey', 'l_suppkey']) AS field,
+      unnest([l_orderkey, l_partkey, l_suppkey]) AS v FROM lineitem)
+    SELECT field, l_returnflag, count(DISTINCT v) AS n_distinct, true AS close FROM long GROUP BY ALL
+    UNION ALL SELECT field, 'open', count(DISTINCT v), true FROM long WHERE l_linestatus = 'O' GROUP BY ALL"""
+)
+def distinct_counts_sliced(spark, folder):
+    """Exact counts per flag and of the open rows, and whether unions of kept sketches come within four standard deviations."""
+    rows, columns = table(spark, folder, "lineitem"), ["l_orderkey", "l_partkey", "l_suppkey"]
+    sketches = frequency.distinct_sketches(rows, ["l_returnflag", "l_linestatus"], columns)
+    flag, is_open = F.col("l_returnflag"), F.col("l_linestatus") == "O"
+    about = frequency.union_counts(sketches, ["l_returnflag"]).unionByName(
+        frequency.union_counts(sketches.filter(is_open)).withColumn("l_returnflag", F.lit("open"))
+    )
+    exact = [
+        frequency.distinct_counts(rows.filter(flag == f), columns).withColumn("l_returnflag", F.lit(f)) for f in ("A", "N", "R")
+    ] + [frequency.distinct_counts(rows.filter(is_open), columns).withColumn("l_returnflag", F.lit("open"))]
+    both = conform.union_by_name(exact).join(about.withColumnRenamed("n_distinct", "_about"), ["field", "l_returnflag"])
+    close = F.abs(F.col("_about") - F.col("n_distinct")) <= F.greatest(F.col("n_distinct") * 0.065, F.lit(1.0))
+    return both.select("field", "l_returnflag", "n_distinct", close.alias("close"))
+
+
 @query(
     """SELECT 'l_quantity' AS score, round(min(l_quantity), 4) AS min, round(max(l_quantity), 4) AS max, round(avg(l_quantity), 4) AS mean FROM lineitem
     UNION ALL SELECT 'l_extendedprice', round(min(l_extendedprice), 4), round(max(l_extendedprice), 4), round(avg(l_extendedprice), 4) FROM lineitem

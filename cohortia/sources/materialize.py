@@ -8,28 +8,33 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortia.sources.readers import path_has
+from cohortia.sources.readers import path_has, table_contract
 from cohortia.sources.writers import write_parquet
 
 
+def _listed(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(path, length, modificationTime) of files or folders, without reading any of them."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "[!_.]*")
+    return files.load(list(paths)).select("path", "length", "modificationTime")
+
+
+def _digest(files: DataFrame, *by: str) -> DataFrame:
+    """One md5 per group of files over path, size and modification time. The per-file digests are summed, so the files need not be
+    brought together in order."""
+    each = F.xxhash64("path", "length", F.unix_micros("modificationTime")).cast("decimal(38,0)")
+    whole = F.concat_ws("-", F.count(F.lit(1)).cast("string"), F.sum(each).cast("string"), F.sum("length").cast("string"))
+    return files.groupBy(*by).agg(F.md5(whole).alias("fingerprint"))
+
+
 def source_fingerprint(df: DataFrame) -> DataFrame:
-    """(fingerprint): md5 over path, size and modification time of the files behind a table.
+    """(fingerprint) of the files behind a table, from their listing; no row is read."""
+    return _digest(_listed(df.sparkSession, df.inputFiles()))
 
-    One row per file is kept, whatever the number of rows; the per-file digests are summed, so the
-    files need not be brought together in order.
-    """
-    files = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-    digest = F.xxhash64("file_path", "file_size", F.unix_micros("file_modification_time"))
-    return files.agg(
-        F.md5(
-            F.concat_ws(
-                "-",
-                F.count(F.lit(1)).cast("string"),
-                F.sum(digest.cast("decimal(38,0)")).cast("string"),
-                F.sum(F.col("file_size")).cast("string"),
-            )
-        ).alias("fingerprint")
-    )
+
+def partition_fingerprints(spark: SparkSession, path: str, by: str) -> DataFrame:
+    """(value, fingerprint) per partition folder ``by``=value of a dataset, from the listing of its files."""
+    value = F.url_decode(F.regexp_extract("path", f"/{by}=([^/]+)/", 1))
+    return _digest(_listed(spark, [path]).withColumn("value", value).filter("value <> ''"), "value")
 
 
 def _stored_fingerprint(spark: SparkSession, path: str) -> str | None:
@@ -67,3 +72,50 @@ def materialize(
         if mark is not None:
             write_parquet(spark.createDataFrame([(mark,)], "fingerprint string"), mark_path)
     return spark.read.parquet(path)
+
+
+def materialize_partitions(
+    spark: SparkSession, path: str, source: str, by: str, build: Callable[[DataFrame], DataFrame], required: Sequence[str] = ()
+) -> DataFrame:
+    """The table at ``path``, partitioned by ``by`` like its source, with only the partitions built anew whose files changed.
+
+    ``build`` gets the source cut to the changed partitions and returns their rows, ``by`` included. These replace the old ones
+    folder by folder; a partition that has no rows any more is replaced by an empty file, and partitions that the source has lost are
+    not returned. Marks of partitions under work are taken away first, so what dies in between is done again.
+    """
+    mark_path = path.rstrip("/") + "_fingerprint"
+    schema = "value string, fingerprint string"
+    now = {r.value: r.fingerprint for r in partition_fingerprints(spark, source, by).collect()}  # a row per partition
+    known: dict[str, str] = {}
+    if path_has(spark, path, [by, *required]) and path_has(spark, mark_path, ["value"]):
+        known = {r.value: r.fingerprint for r in spark.read.parquet(mark_path).collect()}
+    changed = sorted(v for v, mark in now.items() if known.get(v) != mark)
+    if changed or set(known) - set(now):
+        kept = [(v, m) for v, m in sorted(known.items()) if now.get(v) == m]
+        write_parquet(spark.createDataFrame(kept, schema), mark_path)
+    if changed:
+        rows = spark.read.parquet(source)
+        built = build(rows.filter(F.col(by).cast("string").isin(changed)))
+        before = dict(partition_fingerprints(spark, path, by).collect()) if known else {}
+        built.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+        after = dict(partition_fingerprints(spark, path, by).collect())
+        for value in changed:
+            if value in after and before.get(value) == after[value]:
+                write_parquet(built.drop(by).limit(0), f"{path.rstrip('/')}/{by}={value}")
+        write_parquet(spark.createDataFrame(sorted(now.items()), schema), mark_path)
+    return spark.read.parquet(path).filter(F.col(by).cast("string").isin(sorted(now)))
+
+
+def materialize_bucketed(
+    spark: SparkSession, name: str, build: Callable[[], DataFrame], key: str, buckets: int, required: Sequence[str] = (), force: bool = False
+) -> DataFrame:
+    """A catalog table bucketed and sorted by a link key, built when it is not there, lacks a required column, or with ``force``.
+
+    Tables with as many buckets on keys of one type meet in joins and group by that key without a shuffle: the funnel, the linked
+    and unlinked rows and the pairs of ``operators.link`` need no more than their small results dealt.
+    """
+    if force or table_contract(spark, [key, *required], name):
+        # rows are dealt by the key first, so that a bucket is one file, not one per task
+        rows = build().repartition(buckets, key)
+        rows.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return spark.table(name)

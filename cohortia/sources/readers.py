@@ -105,12 +105,38 @@ def pick(df: DataFrame, columns: Sequence[str] | None = None, as_string: bool =
     return df.select(*[F.col(c).cast("string").alias(c) if as_string else F.col(c) for c in wanted])
 
 
-def read_csv(spark: SparkSession, path: str | list[str], sep: str = ";", schema: StructType | str | None = None) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str | list[str], sep: str = ";", schema: StructType | str | None = None, rejects: str | None = None
+) -> DataFrame:
     """Headed UTF-8 CSV; a byte-order mark is dropped by the reader. Without a schema the types are
-    inferred, which costs a pass over the files."""
+    inferred, which costs a pass over the files.
+
+    ``rejects`` names a further text column that holds a row as it stands in the file where it does not fit the declared schema: too
+    few or too many fields, or a value that isn't of its type. The fields that could be read are there all the same.
+    """
     reader = spark.read.option("sep", sep).option("header", True).option("encoding", "UTF-8")
-    reader = reader.option("inferSchema", True) if schema is None else reader.schema(schema)
-    return reader.csv(path)
+    if rejects is None:
+        reader = reader.option("inferSchema", True) if schema is None else reader.schema(schema)
+        return reader.csv(path)
+    if schema is None:
+        raise ValueError("rejected rows can only be told by a declared schema")
+    declared = StructType.fromDDL(schema) if isinstance(schema, str) else StructType(list(schema.fields))
+    reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", rejects)
+    return reader.schema(declared.add(rejects, "string")).csv(path)
+
+
+def csv_report(df: DataFrame, rejects: str) -> DataFrame:
+    """(file, rows, rejected) per file of a table that ``read_csv`` read with a column of rejects, in one pass."""
+    fields = [c for c in df.columns if c != rejects]
+    # all fields have to be read along, or the reader does not parse them; the hash makes sure that they are
+    parsed = df.select(F.col("_metadata.file_name").alias("file"), F.xxhash64(*fields).alias("_read"), rejects)
+    bad = F.col(rejects).isNotNull() & (F.col("_read").cast("string") != "")
+    return parsed.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("rejected"))
+
+
+def accepted(df: DataFrame, rejects: str) -> DataFrame:
+    """The rows that fit, without the column of rejects."""
+    return df.filter(F.col(rejects).isNull()).drop(rejects)
 
 
 def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -119,8 +145,18 @@ def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None =
 
 
 def row_count(spark: SparkSession, path: str) -> DataFrame:
-    """(rows) of a Parquet dataset; no column is read, only row counts."""
-    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"))
+    """(rows) of a Parquet dataset, from the footers of its files.
+
+    Counts are pushed down only into the newer Parquet reader, so the table is resolved with it; what other reads use stays as it is.
+    """
+    sources = spark.conf.get("spark.sql.sources.useV1SourceList")
+    spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    spark.conf.set("spark.sql.sources.useV1SourceList", ",".join(s for s in sources.split(",") if s.strip().lower() != "parquet"))
+    try:
+        df = spark.read.parquet(path)
+    finally:
+        spark.conf.set("spark.sql.sources.useV1SourceList", sources)
+    return df.agg(F.count(F.lit(1)).alias("rows"))
 
 
 def table_contract(source: SparkSession | DataFrame, required: Sequence[str], name: str | None = None) -> list[str]:
