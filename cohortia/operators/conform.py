@@ -34,7 +34,7 @@ def conform(df: DataFrame, schema: StructType, aliases: Mapping[str, str] | None
     return df.select(*columns)
 
 
-def stamp(df: DataFrame, name: str, value: int | str) -> DataFrame:
+def stamp(df: DataFrame, name: str, value: int | str | None) -> DataFrame:
     return df.withColumn(name, F.lit(value))
 
 
@@ -45,7 +45,7 @@ def union_years(
     year: str = "anio",
 ) -> DataFrame:
     """One table from yearly tables, each conformed and stamped with its year."""
-    parts = [stamp(conform(df, schema, aliases), year, y) for y, df in sorted(tables.items())]
+    parts = [stamp(conform(df, schema, aliases), year, y) for y, df in sorted(tables.items(), key=lambda t: (t[0] is None, t[0]))]
     if not parts:
         raise ValueError("no yearly table to unite")
     united = parts[0]

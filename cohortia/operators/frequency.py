@@ -60,15 +60,16 @@ def code_totals(df: DataFrame, c: str) -> DataFrame:
 def top_pinned(df: DataFrame, c: str | Column, k: int, pin: str) -> DataFrame:
     """Top k, plus the most frequent value that contains ``pin`` when none of the top k does."""
     column = F.col(c) if isinstance(c, str) else c
-    counted = frequency(df, F.upper(column))
-    named = F.upper(F.col("value")).contains(pin.upper())
-    top = ordered(counted).limit(k)
-    in_top = top.agg(F.coalesce(F.max(named.cast("int")), F.lit(0))).scalar()
-    best = ordered(counted.filter(named)).limit(1).filter(in_top == 0)
-    return append_rows(
-        top.withColumn("pinned", F.lit(False)),
-        best.withColumn("pinned", F.lit(True)),
-    )
+    counted = frequency(df, F.upper(column)).withColumn("_named", F.upper(F.col("value")).contains(pin.upper()))
+    entry = F.struct((-F.col("n")).alias("n"), "value")
+    best = counted.groupBy().agg(F.min(F.when(F.col("_named"), entry)).alias("best"))
+    rows = F.collect_list(F.struct((-F.col("n")).alias("n"), "value"))
+    both = ordered(counted).limit(k).agg(F.sort_array(rows).alias("top")).withColumn("best", best.scalar())
+    missing = F.col("best").isNotNull() & ~F.exists("top", lambda e: F.upper(e["value"]).contains(pin.upper()))
+    listed = F.transform("top", lambda e: F.struct(e["value"].alias("value"), (-e["n"]).alias("n"), F.lit(False).alias("pinned")))
+    extra = F.struct(F.col("best.value").alias("value"), (-F.col("best.n")).alias("n"), F.lit(True).alias("pinned"))
+    whole = F.when(missing, F.concat(listed, F.array(extra))).otherwise(listed)
+    return both.select(F.inline(whole))
 
 
 def append_rows(top: DataFrame, extra: DataFrame) -> DataFrame:

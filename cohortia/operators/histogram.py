@@ -102,13 +102,16 @@ def banded_histogram(
     edges: Sequence[float],
     labels: Sequence[str],
     clip: tuple[float, float] | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
-    """(band, bin, low, n): counts on bins shared by all bands, non-empty cells only."""
-    values = df.select(nan_to_null(c).alias("_v")).filter(F.col("_v").isNotNull())
+    """(band, bin, low, n): counts on bins shared by all bands, non-empty cells only. ``weight`` is how many rows a row
+    stands for."""
+    rows = F.lit(1) if weight is None else F.col(weight)
+    values = df.select(nan_to_null(c).alias("_v"), rows.cast("long").alias("_n")).filter(F.col("_v").isNotNull())
     limits = _limits(values, ["_v"], clip)
     inside = (
         values.withColumn("_ends", limits)
-        .select("_v", F.col("_ends.low0").alias("_low"), F.col("_ends.high0").alias("_high"))
+        .select("_v", "_n", F.col("_ends.low0").alias("_low"), F.col("_ends.high0").alias("_high"))
         .filter(F.col("_v").between(F.col("_low"), F.col("_high")))
         .withColumn("band", band("_v", edges, labels))
         .filter(F.col("band").isNotNull())
@@ -117,7 +120,7 @@ def banded_histogram(
     return (
         _with_bin(inside, "bin", "_v", "_low", "_high", bins)
         .groupBy("band", "bin", "_low", "_high")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("_n").alias("n"))
         .select(
             "band", "bin", (F.col("_low") + F.col("bin") * ((F.col("_high") - F.col("_low")) / bins)).alias("low"), "n"
         )

@@ -208,6 +208,15 @@ def delta_summary(df: DataFrame, x: str, y: str) -> DataFrame:
     return delta(df, x, y).agg(F.count("delta").alias("n"), F.avg("delta").alias("mean"))
 
 
+def delta_summaries(df: DataFrame, pairs: Pairs) -> DataFrame:
+    """(label, n, mean) of the differences of every pair, also of those without complete rows, from one pass."""
+    parts = []
+    for label, (y, x) in pairs.items():
+        difference = F.nanvl(F.col(y).cast("double"), F.lit(None)) - F.nanvl(F.col(x).cast("double"), F.lit(None))
+        parts.append(F.struct(F.lit(label).alias("label"), F.count(difference).alias("n"), F.avg(difference).alias("mean")))
+    return df.agg(F.array(*parts).alias("_all")).select(F.inline("_all"))
+
+
 def delta_histogram(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
     return histogram(delta(df, x, y), "delta", bins)
 

@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+METRICS = ("mae", "mse", "rmse", "r2", "n")
+
 Modules = Mapping[str, tuple[str, str]]
 
 
@@ -241,11 +243,11 @@ def compare_metrics(
 ) -> DataFrame:
     """One row per target and per value of every other level, one column per method or form.
 
-    Levels are the text columns of ``metrics`` besides ``row`` and ``across``. A cell is one row of the
-    table, so the greatest of its values is that value; were there more, it would still not depend on
+    Levels are the columns of ``metrics`` besides ``row``, ``across`` and the metrics, whatever their type. A cell is
+    one row of the table, so the greatest of its values is that value; were there more, it would still not depend on
     their order.
     """
-    levels = [c for c, kind in metrics.dtypes if kind == "string" and c not in (row, across)]
+    levels = [c for c in metrics.columns if c not in (row, across, metric, *METRICS)]
     return metrics.groupBy(row, *levels).pivot(across, list(values)).agg(F.max(metric))
 
 

@@ -44,6 +44,8 @@ ORIGIN_TYPES = {
 # ---- fixed values: socio-economic index bands --------------------------------------------------
 INDEX_EDGES = (0.0, 41.1, 51.2, 64.1, 100.1)
 INDEX_LABELS = ("Bajo", "Medio-bajo", "Medio-alto", "Alto")
+INDEX_RANGE = (0.0, 100.0)
+INDEX_BINS = 40
 
 # ---- fixed values: age ranges ------------------------------------------------------------------
 DEGREE_AGES = (15, 60)
@@ -121,7 +123,6 @@ SCATTER_POINTS = 6000
 ALL_SPLITS = "todos"
 ALL_INSTITUTIONS = "__TODAS__"
 INSTITUTION_CHOICES = 400
-MAX_COMPARED = 4
 
 # ---- fixed values: indicators that are estimates of a model or a statistic ---------------------
 ESTIMATOR_KEYS = (

@@ -237,6 +237,29 @@ SOCIO_COLUMNS = (
 )
 
 
+def _socio_fields(df: DataFrame) -> DataFrame:
+    """Every answer of the page as a text column: the counted columns, and derived ones whose names begin with an at sign."""
+    country, flags = "estu_nacionalidad", list(fixed.PAYMENT_LABELS)
+    home = text.is_domestic(country, fixed.HOME_COUNTRY)
+    stratum = F.coalesce(F.col("fami_estratovivienda").cast("string"), F.lit(fixed.NOT_REPORTED))
+    derived = {
+        "@total": F.lit("rows"),
+        "@home": F.when(home, F.lit("domestic")).otherwise(F.lit("foreign")),
+        "@foreign": F.when(~home, F.upper(country)),
+        "@age": F.when(F.col("edad").between(*fixed.DEGREE_AGES), F.col("edad").cast("int").cast("string")),
+        "@level": text.code_text("estu_nse_individual"),
+        "@origin": classes.classify_sets("inst_origen", fixed.ORIGIN_TYPES),
+        # the index as it is, since the limits of its bins are its least and greatest value
+        "@index": numbers.nan_to_null("estu_inse_individual").cast("string"),
+        "@stratum": F.concat(F.lit("="), stratum, F.lit("=")),
+    }
+    for i, a in enumerate(flags):
+        derived[f"@stratum_{i}"] = F.when(F.col(a), F.concat(F.lit("="), stratum, F.lit("=")))
+        for j in range(i, len(flags)):
+            derived[f"@flags_{i}_{j}"] = F.when(F.col(a) & F.col(flags[j]), F.lit("true"))
+    return df.select(*SOCIO_COLUMNS, *[value.alias(name) for name, value in derived.items()])
+
+
 def socioeconomic_profile(
     df: DataFrame,
     departments: DataFrame | None = None,
@@ -247,31 +270,62 @@ def socioeconomic_profile(
 ) -> Profile:
     """All tables of the socio-economic page for an already filtered consolidated table.
 
-    ``tops`` overrides how many rows a list shows, None for all. Maps show every place that is known.
-    
-    ``departments`` is the dimension of map names; the built-in coordinates serve when left out.
+    One aggregation counts everything on the page: answers, ages, countries, levels, index bins, flags and their pairs are
+    (field, value, n) rows of one table, which each table cuts its part from. So the rows are read once and dealt once, and with a
+    ``keep`` that writes the counts nothing else is read. ``tops`` overrides how many rows a list shows, None for all. Maps show every
+    place that is known. ``departments`` is the dimension of map names; the built-in coordinates serve when left out.
     """
     spark = df.sparkSession
     if departments is None:
         departments = geo.coordinates(spark, fixed.DEPARTMENT_COORDINATES)
     towns = geo.coordinates(spark, fixed.TOWN_COORDINATES)
-    counts = keep("socio_counts", frequency.frequency_many(df, SOCIO_COLUMNS))
-    codes = frequency.code_totals(df, "estu_nse_individual")
+    fields = _socio_fields(df)
+    everything = keep("socio_counts", frequency.frequency_many(fields, fields.columns))
+    counts = everything.filter(~F.col("field").startswith("@"))
+    flags = list(fixed.PAYMENT_LABELS.values())
+
+    def part(field: str) -> DataFrame:
+        return everything.filter(F.col("field") == field).select("value", "n")
+
+    def one_row(found: DataFrame, names: Mapping[str, str], column: str = "value") -> DataFrame:
+        """One row with the counts of the named values, 0 where there is none."""
+        return found.agg(*[F.coalesce(F.sum(F.when(F.col(column) == value, F.col("n"))), F.lit(0)).alias(name) for name, value in names.items()])
+
+    def flag_pairs(diagonal: bool) -> DataFrame:
+        pairs = {(i, j): f"@flags_{min(i, j)}_{max(i, j)}" for i in range(len(flags)) for j in range(len(flags)) if not diagonal or i == j}
+        row = one_row(everything, {field: field for field in pairs.values()}, "field")
+        if diagonal:
+            cells = [F.struct(F.lit(flags[i]).alias("flag"), F.col(f"`{field}`").alias("n")) for (i, _), field in pairs.items()]
+        else:
+            cells = [
+                F.struct(F.lit(flags[i]).alias("flag_a"), F.lit(flags[j]).alias("flag_b"), F.col(f"`{field}`").alias("n"))
+                for (i, j), field in pairs.items()
+            ]
+        return row.select(F.inline(F.array(*cells)))
+
+    def stratum_payment() -> DataFrame:
+        found = everything.filter(F.col("field").startswith("@stratum"))
+        name = F.expr("substring(value, 2, length(value) - 2)").alias("fami_estratovivienda")
+        sums = [F.coalesce(F.sum(F.when(F.col("field") == f"@stratum_{i}", F.col("n"))), F.lit(0)).alias(label) for i, label in enumerate(flags)]
+        return found.groupBy(name).agg(*sums)
+
+    def index_bins() -> DataFrame:
+        found = part("@index").select(F.col("value").cast("double").alias("value"), "n")
+        return histogram.banded_histogram(found, "value", fixed.INDEX_BINS, fixed.INDEX_EDGES, fixed.INDEX_LABELS, fixed.INDEX_RANGE, "n")
+
     tables = {
         "counts": lambda: counts,
-        "total": lambda: df.agg(F.count(F.lit(1)).alias("n")),
+        "total": lambda: one_row(part("@total"), {"n": "rows"}),
         "sex": lambda: table_of(counts, "estu_genero").withColumn("label", text.relabel("value", fixed.SEX_LABELS)),
-        "nationality": lambda: frequency.domestic_split(df, "estu_nacionalidad", fixed.HOME_COUNTRY),
-        "foreign": lambda: frequency.foreign_top(df, "estu_nacionalidad", fixed.HOME_COUNTRY, top_foreign),
-        "age": lambda: _aged(df, F.col("edad"), fixed.DEGREE_AGES),
-        "index": lambda: histogram.banded_histogram(
-            df, "estu_inse_individual", 40, fixed.INDEX_EDGES, fixed.INDEX_LABELS, (0.0, 100.0)
-        ),
-        "level": lambda: codes.withColumn("label", text.relabel("value", fixed.LEVEL_LABELS)),
-        "origin_type": lambda: frequency.class_totals(df, "inst_origen", fixed.ORIGIN_TYPES),
-        "payments": lambda: crosstab.flag_totals(df, fixed.PAYMENT_LABELS),
-        "payment_pairs": lambda: crosstab.flag_cooccurrence(df, fixed.PAYMENT_LABELS),
-        "stratum_payment": lambda: crosstab.flag_by_group(df, "fami_estratovivienda", fixed.PAYMENT_LABELS, fixed.NOT_REPORTED),
+        "nationality": lambda: one_row(part("@home"), {"domestic": "domestic", "foreign": "foreign"}),
+        "foreign": lambda: frequency.ordered(part("@foreign")).limit(top_foreign),
+        "age": lambda: part("@age").select(F.col("value").cast("int").alias("edad"), "n"),
+        "index": index_bins,
+        "level": lambda: part("@level").withColumn("label", text.relabel("value", fixed.LEVEL_LABELS)),
+        "origin_type": lambda: part("@origin"),
+        "payments": lambda: flag_pairs(diagonal=True),
+        "payment_pairs": lambda: flag_pairs(diagonal=False),
+        "stratum_payment": stratum_payment,
     }
     for name, column, top in (
         ("top_department_home", "estu_depto_reside", 10),
@@ -310,10 +364,15 @@ def score_profile(df: DataFrame, bins: int = 40) -> Profile:
 
 def paired_profile(df: DataFrame, keep: Keep = as_is) -> Profile:
     """Trend, difference, density and quintile tables of the six pairs, the English transition and
-    the correlations of five, and of all six for the densities. Every table reads the paired rows: at
-    scale give a ``keep`` that writes them."""
+    the correlations of five, and of all six for the densities.
+
+    ``deltas`` and ``delta_histograms`` hold all pairs, from one and two passes; the tables of a single pair are cut out
+    of them. Every table reads the paired rows: at scale give a ``keep`` that writes them, so that they are joined once."""
     df = keep("paired_rows", df)
     pairs = {label: (y, x) for label, y, x in fixed.ALL_SCORE_PAIRS}
+    differences = df.select(*[(F.col(y) - F.col(x)).alias(label) for label, (y, x) in pairs.items()])
+    deltas = cache(lambda: paired.delta_summaries(df, pairs))
+    delta_bins = cache(lambda: histogram.histograms(differences, {label: 50 for label in pairs}))
     tables = {
         "trend": lambda: paired.paired_trends(df, "anio", pairs),
         "english": lambda: crosstab.transition(
@@ -321,12 +380,18 @@ def paired_profile(df: DataFrame, keep: Keep = as_is) -> Profile:
         ),
         "correlations": lambda: paired.correlations(df, {label: (y, x) for label, y, x in fixed.SCORE_PAIRS}, 3),
         "density_correlations": lambda: paired.correlations(df, pairs, 3),
+        "deltas": deltas,
+        "delta_histograms": delta_bins,
     }
+
+    def of(table: Callable[[], DataFrame], field: str, label: str) -> DataFrame:
+        return table().filter(F.col(field) == label).drop(field)
+
     for label, (y, x) in pairs.items():
         tables[f"density: {label}"] = partial(histogram.density2d, df, x, y, 50)
         tables[f"quintiles: {label}"] = partial(paired.quantile_transition, df, x, y, 5)
-        tables[f"delta: {label}"] = partial(paired.delta_summary, df, x, y)
-        tables[f"delta histogram: {label}"] = partial(paired.delta_histogram, df, x, y, 50)
+        tables[f"delta: {label}"] = partial(of, deltas, "label", label)
+        tables[f"delta histogram: {label}"] = partial(of, delta_bins, "field", label)
     return Profile(tables)
 
 

@@ -18,13 +18,16 @@ from cohortia.plans.registry import query, table
 from cohortia.plans.star_scores import PREDICTIONS_SQL, histogram_sql, predictions
 from cohortia.plans.star_tables import rounded
 
-YEARS = range(1995, 2002)
-
-
-def by_year(df: DataFrame, date: str) -> dict[int, DataFrame]:
-    """One table per year; ranges of dates, which reach the files, where a year taken from the date would not."""
+def by_year(df: DataFrame, date: str) -> dict[int | None, DataFrame]:
+    """One table per year that the dates span, and one under None for rows without a date where there are such. The years come from the
+    table's least and greatest date; ranges of dates reach the files, where a year taken from the date would not."""
     at = F.col(date)
-    return {y: df.filter((at >= F.lit(dt.datetime(y, 1, 1))) & (at < F.lit(dt.datetime(y + 1, 1, 1)))).drop(date) for y in YEARS}
+    low, high, without = df.agg(F.year(F.min(date)), F.year(F.max(date)), F.count_if(at.isNull())).collect()[0]
+    years = range(low, high + 1) if low is not None else ()
+    tables = {y: df.filter((at >= F.lit(dt.datetime(y, 1, 1))) & (at < F.lit(dt.datetime(y + 1, 1, 1)))).drop(date) for y in years}
+    if without or not tables:
+        tables[None] = df.filter(at.isNull()).drop(date)
+    return tables
 
 
 def school_tables(spark: SparkSession, folder: str) -> dict[int, DataFrame]:
@@ -38,7 +41,8 @@ def school_tables(spark: SparkSession, folder: str) -> dict[int, DataFrame]:
         (F.col("o_custkey") % 33).cast("string").alias("estu_depto_presentacion"),
     )
     tables = by_year(orders, "_date")
-    tables[1997] = tables[1997].drop("cole_area_ubicacion")
+    if 1997 in tables:
+        tables[1997] = tables[1997].drop("cole_area_ubicacion")
     return tables
 
 
@@ -53,7 +57,8 @@ def degree_tables(spark: SparkSession, folder: str) -> dict[int, DataFrame]:
         F.when(F.col("l_linestatus") == "F", F.lit("ECONOMÍA")).otherwise(F.lit("DERECHO")).alias("gruporeferencia"),
     )
     tables = by_year(lines, "_date")
-    tables[1996] = tables[1996].drop("gruporeferencia")
+    if 1996 in tables:
+        tables[1996] = tables[1996].drop("gruporeferencia")
     return tables
 
 
@@ -101,7 +106,7 @@ def continuation_unlinked(spark, folder):
     """WITH a AS (SELECT year(o_orderdate) AS cohort, (year(e.l_shipdate) + 10 - year(o_orderdate)) * 2
         + CASE WHEN month(e.l_shipdate) <= 6 THEN 0 ELSE 1 END AS gap FROM orders
       JOIN lineitem k ON o_orderkey = k.l_orderkey AND k.l_returnflag = 'A' JOIN lineitem e ON e.l_orderkey = k.l_orderkey
-      WHERE year(o_orderdate) = 1998 AND e.l_linestatus = 'F' AND year(e.l_shipdate) <> 1996 AND year(e.l_shipdate) <= 2001)
+      WHERE year(o_orderdate) = 1998 AND e.l_linestatus = 'F' AND year(e.l_shipdate) <> 1996)
     SELECT count(*) AS total, count(*) FILTER (gap < 9) AS early_count, round(count(*) FILTER (gap < 9) * 100.0 / count(*), 6)::DOUBLE AS early_pct,
       round(coalesce(avg(gap - 9) FILTER (gap < 9), 0), 6) + 0.0 AS early_avg_dev, count(*) FILTER (gap IN (9, 10)) AS on_time_count,
       round(count(*) FILTER (gap IN (9, 10)) * 100.0 / count(*), 6)::DOUBLE AS on_time_pct, count(*) FILTER (gap > 10) AS late_count,
@@ -214,6 +219,46 @@ def socio_levels(spark, folder):
     return profiles.socioeconomic_profile(socio(spark, folder))["level"]
 
 
+@query(
+    f"""WITH {SOCIO_SQL}, f AS (SELECT "Beca" AS b, "Padres" AS p FROM socio)
+    SELECT a AS flag_a, c AS flag_b, CASE WHEN a = 'Beca' AND c = 'Beca' THEN (SELECT count(*) FILTER (b) FROM f)
+        WHEN a = 'Padres' AND c = 'Padres' THEN (SELECT count(*) FILTER (p) FROM f)
+        WHEN a IN ('Beca', 'Padres') AND c IN ('Beca', 'Padres') THEN (SELECT count(*) FILTER (b AND p) FROM f) ELSE 0 END AS n
+    FROM (VALUES ('Beca'), ('Crédito'), ('Padres'), ('Recursos propios')) x(a), (VALUES ('Beca'), ('Crédito'), ('Padres'), ('Recursos propios')) y(c)"""
+)
+def socio_payment_pairs(spark, folder):
+    return profiles.socioeconomic_profile(socio(spark, folder))["payment_pairs"]
+
+
+@query(
+    f"""WITH {SOCIO_SQL}, m AS (SELECT greatest(min(idx), 0) AS lo, least(max(idx), 100) AS hi FROM socio),
+    v AS (SELECT idx, lo, (hi - lo) / 40 AS w, least(floor((idx - lo) / (hi - lo) * 40), 39)::INT AS g,
+        CASE WHEN idx < 41.1 THEN 'Bajo' WHEN idx < 51.2 THEN 'Medio-bajo' WHEN idx < 64.1 THEN 'Medio-alto' ELSE 'Alto' END AS band
+      FROM socio, m WHERE idx BETWEEN lo AND hi),
+    b AS (SELECT band, lo, w, (g - (idx < lo + g * w)::INT + (idx >= lo + (g + 1) * w AND g < 39)::INT)::INT AS bin FROM v)
+    SELECT band, bin, round(lo + bin * w, 6) + 0.0 AS low, count(*) AS n FROM b GROUP BY ALL"""
+)
+def socio_index(spark, folder):
+    return rounded(profiles.socioeconomic_profile(socio(spark, folder))["index"], "low")
+
+
+@query(
+    f"""WITH {SOCIO_SQL} SELECT 'total' AS item, count(*) AS n FROM socio UNION ALL SELECT 'domestic', count(*) FILTER (country = 'COLOMBIA') FROM socio
+    UNION ALL SELECT 'foreign', count(*) FILTER (country <> 'COLOMBIA') FROM socio
+    UNION ALL (SELECT 'foreign: ' || country, count(*) FROM socio WHERE country <> 'COLOMBIA' GROUP BY ALL)
+    UNION ALL SELECT 'flag: Beca', count(*) FILTER ("Beca") FROM socio UNION ALL SELECT 'flag: Padres', count(*) FILTER ("Padres") FROM socio
+    UNION ALL SELECT 'flag: Crédito', 0 FROM (SELECT 1) UNION ALL SELECT 'flag: Recursos propios', 0 FROM (SELECT 1)"""
+)
+def socio_overview(spark, folder):
+    """Totals, countries and flags of the page."""
+    tables = profiles.socioeconomic_profile(socio(spark, folder))
+    split = tables["nationality"].select(F.explode(F.create_map(F.lit("domestic"), "domestic", F.lit("foreign"), "foreign")).alias("item", "n"))
+    parts = [tables["total"].select(F.lit("total").alias("item"), "n"), split]
+    parts.append(tables["foreign"].select(F.concat(F.lit("foreign: "), "value").alias("item"), "n"))
+    parts.append(tables["payments"].select(F.concat(F.lit("flag: "), "flag").alias("item"), "n"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 @query(
     f"""WITH {SOCIO_SQL} SELECT stratum AS fami_estratovivienda, count(*) FILTER ("Beca") AS "Beca", 0::BIGINT AS "Crédito",
       count(*) FILTER ("Padres") AS "Padres", 0::BIGINT AS "Recursos propios" FROM socio WHERE sex = 'M' AND n_name = 'NATION_3' GROUP BY ALL"""
@@ -255,7 +300,8 @@ def norm_tables(spark: SparkSession, folder: str) -> dict[int, DataFrame]:
         ((F.col("l_extendedprice") + F.col("l_quantity")) / 100050).alias("punt_global_calc_norm"),
     )
     tables = by_year(shaped, "_date")
-    tables[1999] = tables[1999].drop("punt_global_norm")
+    if 1999 in tables:
+        tables[1999] = tables[1999].drop("punt_global_norm")
     return tables
 
 
@@ -291,7 +337,7 @@ def institution_table(spark, folder):
 
 
 @query(
-    """WITH v AS (SELECT l_quantity AS q, l_extendedprice AS p FROM lineitem WHERE year(l_shipdate) BETWEEN 1995 AND 2001),
+    """WITH v AS (SELECT l_quantity AS q, l_extendedprice AS p FROM lineitem),
     m AS (SELECT min(q) AS ql, max(q) AS qh, min(p) AS pl, max(p) AS ph FROM v),
     b AS (SELECT 'mod_ingles_punt' AS field, q AS x, ql AS lo, (qh - ql) / 40 AS w, least(floor((q - ql) / (qh - ql) * 40), 39)::INT AS b FROM v, m
       UNION ALL SELECT 'punt_global', p, pl, (ph - pl) / 40, least(floor((p - pl) / (ph - pl) * 40), 39)::INT FROM v, m)
@@ -325,6 +371,109 @@ def stratum_probability(spark, folder):
     return profiles.stratum_probability(shaped, father=fixed.NOT_APPLICABLE)["probability"]
 
 
+# ---- paired scores and contribution --------------------------------------------------------------
+
+
+def exam_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items as degree exams and their orders as school exams, linked one by one."""
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    lines = table(spark, folder, "lineitem")
+    degree = lines.select(
+        F.col("l_shipdate").alias("_date"),
+        key.alias("estu_consecutivo"),
+        F.element_at(F.array(*map(F.lit, fixed.ENGLISH_DEGREE)), (F.col("l_linenumber") % 5 + 1).cast("int")).alias("mod_ingles_desem"),
+        (F.col("l_quantity") / 50).cast("string").alias("mod_ingles_punt_norm"),
+        (F.col("l_extendedprice") / 100000).cast("string").alias("punt_global_norm"),
+        (F.col("l_extendedprice") / 100000 + F.col("l_quantity") / 50).cast("string").alias("punt_global_calc_norm"),
+    )
+    school = table(spark, folder, "orders").select(
+        F.col("o_orderdate").alias("_date"),
+        F.col("o_orderkey").cast("string").alias("estu_consecutivo"),
+        F.element_at(F.array(*map(F.lit, fixed.ENGLISH_SCHOOL)), (F.col("o_orderkey") % 5 + 1).cast("int")).alias("desemp_ingles"),
+        (F.dayofmonth("o_orderdate") / 31).cast("string").alias("punt_ingles_norm"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice") / 500000).cast("string").alias("punt_global_norm"),
+        (F.col("o_totalprice") / 500000).cast("string").alias("punt_global_calc_norm"),
+    )
+    links = lines.select(key.alias("estu_consecutivo_sbpro"), F.col("l_orderkey").cast("string").alias("estu_consecutivo_sb11"))
+    return profiles.paired_scores(by_year(degree, "_date"), links, by_year(school, "_date"))
+
+
+EXAM_PAIRS_SQL = """p AS (SELECT year(l_shipdate)::INT AS anio, l_linenumber % 5 + 1 AS de, o_orderkey % 5 + 1 AS se,
+      l_quantity / 50 AS yi, day(o_orderdate) / 31.0::DOUBLE AS xi, l_extendedprice / 100000 AS yg,
+      CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / 500000 END AS xg, l_extendedprice / 100000 + l_quantity / 50 AS yc, o_totalprice / 500000 AS xc
+    FROM lineitem JOIN (SELECT l_orderkey AS ko, l_linenumber AS kl FROM lineitem) k ON l_orderkey = ko AND l_linenumber = kl JOIN orders ON ko = o_orderkey),
+    l AS (SELECT anio, 'Competencia en Inglés' AS label, yi AS y, xi AS x FROM p UNION ALL SELECT anio, 'Puntaje Global', yg, xg FROM p
+      UNION ALL SELECT anio, 'Puntaje global calculado', yc, xc FROM p)"""
+EMPTY_PAIRS_SQL = """(VALUES ('Competencia lógico-cuantitativa'), ('Competencia lectora-comunicativa'), ('Competencia ciudadana-cívica')) e(label)"""
+
+
+@query(f"WITH {EXAM_PAIRS_SQL} SELECT anio, label, round(avg(x), 6) AS x_mean, round(avg(y), 6) AS y_mean FROM l GROUP BY ALL")
+def paired_profile_trend(spark, folder):
+    return rounded(profiles.paired_profile(exam_pairs(spark, folder))["trend"], "x_mean", "y_mean")
+
+
+@query(
+    f"""WITH {EXAM_PAIRS_SQL} SELECT label, count(y - x) AS n, round(avg(y - x), 6) + 0.0 AS mean FROM l GROUP BY ALL
+    UNION ALL SELECT label, 0, NULL FROM {EMPTY_PAIRS_SQL}"""
+)
+def paired_profile_deltas(spark, folder):
+    return rounded(profiles.paired_profile(exam_pairs(spark, folder))["deltas"], "mean")
+
+
+@query(
+    f"""WITH {EXAM_PAIRS_SQL}, c AS (SELECT de, se, count(*) AS n FROM p GROUP BY ALL)
+    SELECT ['A-', 'A1', 'A2', 'B1', 'B+'][i] AS from_level, ['-A1', 'A1', 'A2', 'B1', 'B2'][j] AS to_level, coalesce(n, 0) AS n,
+      round(coalesce(n * 100.0 / sum(n) OVER (PARTITION BY i), 0), 6)::DOUBLE AS pct
+    FROM range(1, 6) a(i), range(1, 6) b(j) LEFT JOIN c ON se = i AND de = j"""
+)
+def paired_profile_english(spark, folder):
+    return rounded(profiles.paired_profile(exam_pairs(spark, folder))["english"], "pct")
+
+
+@query(
+    f"""WITH {EXAM_PAIRS_SQL}, r AS (SELECT label, x, y, rank() OVER (PARTITION BY label ORDER BY x) + (count(*) OVER (PARTITION BY label, x) - 1) / 2.0::DOUBLE AS rx,
+        rank() OVER (PARTITION BY label ORDER BY y) + (count(*) OVER (PARTITION BY label, y) - 1) / 2.0::DOUBLE AS ry
+      FROM l WHERE x IS NOT NULL AND y IS NOT NULL),
+    c AS (SELECT label, count(*) AS n, round(corr(x, y), 3) + 0.0 AS pearson, round(corr(rx, ry), 3) + 0.0 AS spearman FROM r GROUP BY ALL)
+    SELECT label, n, pearson, spearman FROM c UNION ALL SELECT label, 0, NULL, NULL FROM {EMPTY_PAIRS_SQL}"""
+)
+def paired_profile_correlations(spark, folder):
+    found = profiles.paired_profile(exam_pairs(spark, folder))["density_correlations"]
+    return rounded(found.drop("strength"), "pearson", "spearman", digits=3)
+
+
+@query(
+    f"""WITH {EXAM_PAIRS_SQL}, q AS (SELECT xi AS x, yi AS y FROM p),
+    e AS (SELECT quantile_cont(x, [0.2, 0.4, 0.6, 0.8]) AS ex, quantile_cont(y, [0.2, 0.4, 0.6, 0.8]) AS ey FROM q),
+    b AS (SELECT (1 + (x > ex[1])::INT + (x > ex[2])::INT + (x > ex[3])::INT + (x > ex[4])::INT) AS from_bin,
+                 (1 + (y > ey[1])::INT + (y > ey[2])::INT + (y > ey[3])::INT + (y > ey[4])::INT) AS to_bin FROM q, e)
+    SELECT from_bin, to_bin, count(*) AS n FROM b GROUP BY ALL"""
+)
+def paired_profile_quintiles(spark, folder):
+    cells = profiles.paired_profile(exam_pairs(spark, folder))["quintiles: Competencia en Inglés"]
+    return cells.filter("n > 0").select("from_bin", "to_bin", "n")
+
+
+CONTRIBUTION_PROFILE_SQL = f"""{EXAM_PAIRS_SQL}, f AS (SELECT anio, 'Competencia en Inglés' AS label, yi AS y, xi AS x FROM p
+      UNION ALL SELECT anio, 'Puntaje Global', yg, coalesce(xg, xc) FROM p UNION ALL SELECT anio, 'Puntaje global calculado', yc, xc FROM p),
+    v AS (SELECT anio, label, (avg(y) - avg(x)) * 100 AS value FROM f GROUP BY ALL)"""
+
+
+@query(f"WITH {CONTRIBUTION_PROFILE_SQL} SELECT anio, label, round(value, 5) + 0.0 AS value FROM v")
+def contribution_profile_long(spark, folder):
+    return rounded(profiles.contribution_profile(exam_pairs(spark, folder))["long"], "value", digits=5)
+
+
+@query(
+    f"""WITH {CONTRIBUTION_PROFILE_SQL} SELECT round(avg(value) FILTER (label = 'Puntaje global calculado'), 5) AS main_mean, 'Competencia en Inglés' AS best_label,
+      round(avg(value) FILTER (label = 'Competencia en Inglés'), 5) AS best_label_mean, arg_max(anio, value) FILTER (label = 'Puntaje global calculado') AS best_year,
+      round(max(value) FILTER (label = 'Puntaje global calculado'), 5) AS best_year_value FROM v"""
+)
+def contribution_profile_kpis(spark, folder):
+    found = profiles.contribution_profile(exam_pairs(spark, folder))["kpis"]
+    return rounded(found, "main_mean", "best_label_mean", "best_year_value", digits=5)
+
+
 # ---- one exam's profile --------------------------------------------------------------------------
 
 

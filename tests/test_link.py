@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cohortia.operators import conform, link, skew
+from cohortia.operators import conform, link
 from cohortia.plans import constants as fixed
 from tests.conftest import records, rows
 
@@ -133,47 +133,6 @@ def test_attach_repeats_for_repeated_keys(spark):
     assert link.attach(left, extra, "k", ["p"]).count() == 2
 
 
-@pytest.fixture
-def skewed(spark):
-    """A third of the rows has one key, another third has none."""
-    key = F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 3 == 1, F.col("id"))
-    return spark.range(3000).select(key.alias("k"), F.col("id").alias("v"))
-
-
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_is_the_plain_join(spark, skewed, how):
-    right = spark.createDataFrame([(7, "hot"), (10, "ten"), (5, "five"), (None, "null")], "k bigint, w string")
-    right = right.unionByName(right.filter("k = 7")) if how in ("inner", "left") else right
-    hot = [(7,), (None,)]
-    salted = skew.skew_join(skewed, right, ["k"], how, salts=8, hot=hot)
-    assert rows(salted) == rows(skewed.join(right, ["k"], how))
-
-
-def test_salted_join_spreads_the_hot_key(spark, skewed):
-    right = spark.createDataFrame([(7, "hot")], "k bigint, w string")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        joined = skew.skew_join(skewed, right, ["k"], "left", salts=8, hot=[(7,), (None,)])
-        sizes = [r["n"] for r in joined.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert sum(sizes) == 3000 and max(sizes) < 1800
-
-
-def test_salted_join_on_two_keys(spark):
-    left = spark.range(100).select((F.col("id") % 2).alias("a"), (F.col("id") % 3).alias("b"), "id")
-    right = spark.createDataFrame([(0, 0, "x"), (1, 2, "y")], "a bigint, b bigint, w string")
-    salted = skew.skew_join(left, right, ["a", "b"], "left", salts=4, hot=[(0, 0), (1, 1)])
-    assert rows(salted) == rows(left.join(right, ["a", "b"], "left"))
-
-
-def test_join_kind_is_checked(spark, skewed):
-    with pytest.raises(ValueError):
-        skew.skew_join(skewed, skewed, ["k"], "full")
-
-
 def test_union_of_drifting_years(spark):
     from cohortia.plans.schemas import contract
 
@@ -199,7 +158,8 @@ def test_compact_numbers(spark):
     assert [t for _, t in frame.dtypes] == ["int", "float", "string"]
 
 
-def test_no_job_while_a_plan_is_built(spark, skewed):
+def test_no_job_while_a_plan_is_built(spark):
+    skewed = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 3 == 1, F.col("id")).alias("k"), F.col("id").alias("v"))
     """Links, attached columns, ranks, quantile tables and correlations run when they are used."""
     from cohortia.operators import ordering, paired
 
