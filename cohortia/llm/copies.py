@@ -14,11 +14,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortia.llm.graph import components
+from cohortia.llm.graph import components, least_ids
 from cohortia.llm.shared import blocks, keep, mix, small_batches, words
 from cohortia.llm.vectors import forest
 
@@ -59,6 +60,16 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
     return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), np.array(pointers)
 
 
+def set_sums(hashes: np.ndarray, pointers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums over each set, which tell sets apart; 0 for empty ones."""
+    full = np.flatnonzero(np.diff(pointers))
+    found = np.zeros((2, len(pointers) - 1), np.uint64)
+    if len(full):
+        found[0, full] = np.add.reduceat(hashes, pointers[:-1][full])
+        found[1, full] = np.add.reduceat(mix(hashes ^ np.uint64(0x51ED270B)), pointers[:-1][full])
+    return found[0], found[1]
+
+
 def signatures(hashes: np.ndarray, pointers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(keys, sketches) of sets that aren't empty: 16-bit values of all trees, and the sketch's bytes."""
     low, high = hashes.astype(np.uint32), (hashes >> np.uint64(32)).astype(np.uint32)
@@ -80,15 +91,13 @@ def _describe(size: int):
             hashes, pointers = shingle_sets(data, offsets, size)
             n = np.diff(pointers)
             full = np.flatnonzero(n)
-            sums, other = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+            sums, other = set_sums(hashes, pointers)
             keys, sketches = np.zeros((len(n), TREES * DEPTH), ">u2"), np.zeros((len(n), SKETCH), np.uint8)
             if len(full):
                 at = np.append(pointers[:-1][full], pointers[-1])
-                sums[full] = np.add.reduceat(hashes, at[:-1])
-                other[full] = np.add.reduceat(mix(hashes ^ np.uint64(0x51ED270B)), at[:-1])
                 keys[full], sketches[full] = signatures(hashes, at)
-            columns = [batch.column("id"), pa.array(n), pa.array(sums.view(np.int64)), pa.array(other.view(np.int64)), _binary(keys), _binary(sketches)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "f", "g", "keys", "sketch"])
+            columns = [batch.column("id"), batch.column("t"), pa.array(n), pa.array(sums.view(np.int64)), pa.array(other.view(np.int64)), _binary(keys), _binary(sketches)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "t", "n", "f", "g", "keys", "sketch"])
 
     return describe
 
@@ -311,12 +320,12 @@ def _crowd_links(percent: int):
 
 
 def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept): one row per row of ``docs``.
+    """(id, n_shingles, component_id, text_hash, kept): one row per row of ``docs``; text_hash is the xxhash64 of the text.
 
     Documents are linked where 100 * shared shingles >= ``percent`` * all shingles of both, with ``percent`` at least 80;
     component_id is the least id reachable over links and kept is true for that document. Texts without words, and NULL
     texts, have no shingles and are linked with nothing. Repeated rows and rows with equal sets are one node, so copies
-    cost nothing after the first. A NULL id is linked with nothing either: its component is NULL and it is kept. An empty
+    cost nothing after the first. An id that repeats with another text is a node for each of its sets, linked by that set only. A NULL id is linked with nothing either: its component is NULL and it is kept. An empty
     table gives an empty table. Ids are whole numbers; columns besides id and text are not read.
 
     Signatures are made in one pass. Orders are cut into ranges, ties too, so no task gets a whole group of copies, and
@@ -328,23 +337,29 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_column: st
     """
     if percent < 80:
         raise ValueError("the sketch and the sizes are made for similarities of 80 percent and more")
-    rows = small_batches(docs).select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
-    described = keep(rows.mapInArrow(_describe(size), "id long, n long, f long, g long, keys binary, sketch binary"), "signatures")
+    rows = small_batches(docs).select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
+    described = keep(rows.mapInArrow(_describe(size), "id long, t long, n long, f long, g long, keys binary, sketch binary"), "signatures")
     linked = described.filter("n > 0 AND id IS NOT NULL")
-    classes = keep(linked.groupBy("f", "g").agg(F.min("id").alias("least")), "classes")
+    # a set has a number of its own, as an id may repeat with other texts; it is written with the table, so it stays
+    classes = linked.groupBy("f", "g").agg(F.min("id").alias("least"))
+    classes = keep(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     same_set = [F.col("s.f") == F.col("c.f"), F.col("s.g") == F.col("c.g"), F.col("s.id") == F.col("c.least")]
-    sets = linked.alias("s").join(classes.alias("c"), same_set, "left_semi").dropDuplicates(["id"])
-    pairs, crowds = _candidates(sets)
+    sets = linked.alias("s").join(classes.alias("c"), same_set).select(F.col("c.node").alias("id"), "s.n", "s.f", "s.g", "s.keys", "s.sketch")
+    pairs, crowds = _candidates(sets.dropDuplicates(["f", "g"]))
 
-    def spelt(ids: DataFrame) -> DataFrame:
-        # these ids grow with the documents: dealt by id at every size, never sent to all executors
-        chosen = rows.join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
+    def spelt(nodes: DataFrame) -> DataFrame:
+        # these nodes grow with the documents: dealt by id at every size, never sent to all executors
+        wanted = classes.join(nodes.withColumnRenamed("id", "node"), "node").select(F.col("least").alias("id"), "node", "f", "g")
+        chosen = rows.join(wanted.hint("merge"), "id").dropDuplicates(["id", "t", "node"]).select("node", "f", "g", "text")
 
         def spell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch, data, offsets in blocks(batches, "text"):
                 hashes, pointers = shingle_sets(data, offsets, size)
                 found = pa.ListArray.from_arrays(pa.array(pointers.astype(np.int32)), pa.array(hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), found], ["id", "shingles"])
+                # of the texts with the id of a set, those that have this set
+                sums = [pa.array(x.view(np.int64)) for x in set_sums(hashes, pointers)]
+                own = pc.and_(pc.equal(batch.column("f"), sums[0]), pc.equal(batch.column("g"), sums[1]))
+                yield pa.RecordBatch.from_arrays([batch.column("node").filter(own), found.filter(own)], ["id", "shingles"])
 
         return keep(chosen.mapInArrow(spell, "id long, shingles array<long>"), "shingles")
 
@@ -374,7 +389,8 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_column: st
         dealt = _pieces(likely).join(spelt(likely.select("id").distinct()), "id").repartition(*_PIECE).sortWithinPartitions(*_PIECE)
         found = components(links.union(dealt.mapInArrow(_crowd_links(percent), "a long, b long")))
 
-    member = described.select("id", "n", "f", "g").join(classes, ["f", "g"], "left").join(found.withColumnRenamed("node", "least"), "least", "left")
+    found = least_ids(found, classes.select("node", "least"))
+    member = described.select("id", "t", "n", "f", "g").join(classes, ["f", "g"], "left").join(found, "node", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "least")).otherwise(F.col("id"))
-    member = member.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"))
+    member = member.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"), F.col("t").alias("text_hash"))
     return member.withColumn("kept", F.coalesce(F.col(id_column) == F.col("component_id"), F.lit(True)))

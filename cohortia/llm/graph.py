@@ -34,3 +34,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == before:
             break
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def least_ids(found: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, component) with each component named by the least id of its nodes; ``ids`` is (node, least), a row per node."""
+    least = found.join(ids, "node").groupBy("component").agg(F.min("least").alias("least"))
+    return found.join(least, "component").select("node", F.col("least").alias("component"))

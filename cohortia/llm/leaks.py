@@ -9,7 +9,7 @@ in the item). So shared q-grams are counted in overlapping diagonal bands, and o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,9 @@ EDITS = 0.1
 #: Bytes of benchmark text a pass over the documents looks for; more are looked for in more passes.
 PASS_BYTES = 2 << 20
 
+#: Shared grams that are looked at together, which bounds a task's memory.
+SLICE = 1 << 20
+
 _FOLD = np.full(256, 32, np.uint8)
 for _k in range(256):
     if _k >= 128 or chr(_k).isalnum():
@@ -104,6 +107,19 @@ def nearest(pattern: bytes, text: np.ndarray) -> tuple[int, int]:
     return int(row.min()), int(row.argmin())
 
 
+def summed(parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, counts) of several tables of counts together."""
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for some, n in parts:
+        if not len(keys):
+            keys, counts = some, n
+            continue
+        both = np.concatenate([keys, some])
+        keys, at = np.unique(both, return_inverse=True)
+        counts = np.bincount(at, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+    return keys, counts
+
+
 def find_leaks(data: np.ndarray, offsets: np.ndarray, known: Benchmark) -> list[list[dict]]:
     """For each text of a block, the items that it holds windows of."""
     leaks: list[list[dict]] = [[] for _ in range(len(offsets) - 1)]
@@ -119,13 +135,24 @@ def find_leaks(data: np.ndarray, offsets: np.ndarray, known: Benchmark) -> list[
     hit = at + Q <= ends[doc + 1]
     at, k, doc = at[hit], k[hit], doc[hit]
     n = known.first[k + 1] - known.first[k]
-    which = np.repeat(np.arange(len(at)), n)
-    posting = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(known.first[k], n)
-    item = known.owners[posting]
-    diagonal = at[which] - ends[doc[which]] - known.places[posting] + known.longest
     bands = (int(np.diff(ends).max()) + 2 * known.longest) // known.step + 3
-    cell = (doc[which] * len(known.ids) + item) * bands + diagonal // known.step
-    cells, counts = np.unique(cell, return_counts=True)
+
+    def postings() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(cell, place in the item) of every shared gram, some at a time: in periodic texts there are as many as the product of
+        both lengths."""
+        upto = np.cumsum(n)
+        for base in range(0, int(upto[-1]) if len(upto) else 0, SLICE):
+            first, last = np.searchsorted(upto, [base, min(base + SLICE, int(upto[-1])) - 1], "right")
+            own = slice(first, last + 1)
+            many, end = n[own], min(base + SLICE, int(upto[-1]))
+            number = np.arange(base, end)
+            which = first + np.repeat(np.arange(len(many)), np.minimum(upto[own], end) - np.maximum(upto[own] - many, base))
+            posting = known.first[k[which]] + number - (upto[which] - n[which])
+            item, place = known.owners[posting], known.places[posting]
+            diagonal = at[which] - ends[doc[which]] - place + known.longest
+            yield (doc[which] * len(known.ids) + item) * bands + diagonal // known.step, place
+
+    cells, counts = summed(np.unique(cell, return_counts=True) for cell, _ in postings())
     # a band is two neighbouring cells; cell b belongs to the bands that start at b - 1 and b
     both = counts.copy()
     follows = np.flatnonzero(cells[1:] == cells[:-1] + 1)
@@ -133,19 +160,27 @@ def find_leaks(data: np.ndarray, offsets: np.ndarray, known: Benchmark) -> list[
     enough = np.flatnonzero(both >= known.least[cells // bands % len(known.ids)])
     cells = cells[enough]
     runs = np.split(cells, np.flatnonzero(np.diff(cells) != 1) + 1) if len(cells) else []
-    near = np.flatnonzero(np.isin(cell, np.concatenate([cells, cells + 1]))) if runs else np.zeros(0, np.int64)
-    near = near[np.argsort(cell[near], kind="stable")]
-    near_cells, near_places = cell[near], known.places[posting[near]]
-    for run in runs:
+    if not runs:
+        return leaks
+    starts, stops = np.array([r[0] for r in runs]), np.array([r[-1] + 1 for r in runs])
+
+    def near() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for cell, place in postings():
+            run = np.searchsorted(starts, cell, "right") - 1
+            inside = (run >= 0) & (cell <= stops[run])
+            yield np.unique(run[inside] * known.longest + place[inside], return_counts=True)
+
+    near_keys, near_counts = summed(near())
+    near_sums = np.append(0, np.cumsum(near_counts))
+    for number, run in enumerate(runs):
         d, i = divmod(int(run[0]) // bands, len(known.ids))
         low = int(run[0]) % bands * known.step - known.longest
         high = (int(run[-1]) % bands + 2) * known.step - known.longest
         own = text[ends[d] : ends[d + 1]]
         found = []
-        shared = np.sort(near_places[np.searchsorted(near_cells, run[0]) : np.searchsorted(near_cells, run[-1] + 1, "right")])
         for start, pattern, edits in known.windows[i]:
-            inside = np.searchsorted(shared, [start, start + len(pattern) - Q + 1])
-            if inside[1] - inside[0] < known.least[i]:
+            inside = np.searchsorted(near_keys, number * known.longest + np.array([start, start + len(pattern) - Q + 1]))
+            if near_sums[inside[1]] - near_sums[inside[0]] < known.least[i]:
                 continue
             a, b = max(0, low + start - edits), min(len(own), high + start + len(pattern) + edits)
             region = own[a:b]
@@ -188,7 +223,7 @@ def mark_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: s
 
     NULL and empty texts have no leaks; repeated rows have the same. Items that are NULL, or have fewer than Q letters,
     digits and spaces, can't be told from chance and are left out; equal items are all named. Item ids are whole numbers. Without
-    documents or items nothing is found. A column of the same name is replaced; other columns are left alone.
+    documents or items nothing is found. Very long and periodic texts and items are compared whole, in slices of bounded memory. A column of the same name is replaced; other columns are left alone.
 
     One pass without a shuffle for every PASS_BYTES of benchmark text, each with an index of that size sent to the executors.
     """

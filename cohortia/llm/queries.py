@@ -55,7 +55,7 @@ FROM documents LEFT JOIN sizes USING (doc_id) JOIN least ON a = doc_id
 
 @query(NEAR_COPIES_SQL)
 def op2_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return copies.near_copies(table(spark, sf_dir, "documents"), size=2)
+    return copies.near_copies(table(spark, sf_dir, "documents"), size=2).drop("text_hash")
 
 
 @query()

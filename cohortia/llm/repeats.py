@@ -12,7 +12,7 @@ and before l bytes (the test of left-extension diversity). All its members repea
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortia.llm.shared import blocks, keep, mix, prefix_sums, release, small_batches
+from cohortia.llm.shared import blocks, keep, mix, prefix_sums, small_batches
 
 GRAM = 32
 #: Anchor places found at a time, which bounds the memory a long text needs.
@@ -198,6 +198,33 @@ def _keyed(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     return small_batches(docs).select(*_keys(whole), number.alias("id"), whole.alias("text"))
 
 
+#: Bits of a filter over keys: as many as FILTER_SHARE times the keys, within these bounds, so at most 128 MB.
+FILTER_SHARE, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 30
+_CHUNK = 32_768
+
+
+def among(keys: DataFrame) -> Callable[[Column], Column]:
+    """A test whether a k1 may be one of ``keys``: never wrong about those that are, now and then about others. It keeps texts that have
+    nothing to be joined with from being shuffled; should it err, or be full, they are shuffled and no result changes."""
+    bits = LEAST_BITS
+    most = FILTER_SHARE * keys.count()
+    while bits < min(most, MOST_BITS):
+        bits *= 2
+    place = F.pmod(F.col("k1"), F.lit(bits))
+    chunks = keys.select(F.floor(place / _CHUNK).cast("int").alias("chunk"), (place % _CHUNK).alias("bit")).groupBy("chunk")
+    found = np.zeros((bits // _CHUNK, _CHUNK // 8), np.uint8)
+    for row in chunks.agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
+        found[row["chunk"]] = np.frombuffer(row["bits"], np.uint8)
+    sent = keys.sparkSession.sparkContext.broadcast(found.ravel())
+
+    @F.arrow_udf("boolean")
+    def maybe(values: pa.Array) -> pa.Array:
+        at = values.to_numpy(zero_copy_only=False).astype(np.int64) % bits
+        return pa.array((sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return maybe
+
+
 def repeated_passages(docs: DataFrame, length: int = 200, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(k1, k2, start, end, occurrences): for every anchor that lies in a repeat, the bytes of the text with the hashes k1
     and k2 that repeats of at least ``length`` bytes around it cover, and in how many surroundings one of them is."""
@@ -208,7 +235,6 @@ def repeated_passages(docs: DataFrame, length: int = 200, id_column: str = "doc_
     seen = keep(seen, "seen")
     full = "k1 long, k2 int, a long, c long, pos int, left int, right int"
     placed = keep(rows.mapInArrow(_scan(length, True), full).join(seen, "a", "left_semi"), "anchors")
-    release(docs.sparkSession)
 
     # anchors with equal surroundings need no comparison; one of them stands for all against other surroundings
     kinds = placed.groupBy("a", "c").agg(
@@ -220,12 +246,12 @@ def repeated_passages(docs: DataFrame, length: int = 200, id_column: str = "doc_
         F.min("right").alias("right"),
     )
     kinds = keep(kinds, "surroundings")
-    release(docs.sparkSession)
     several = keep(kinds.groupBy("a").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "several")
     first = rows.groupBy("k1", "k2").agg(F.min("id").alias("id"))
     wanted = kinds.join(several, "a").groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "c", "n", "m", "pos", "left", "right")).alias("wanted"))
     wanted = wanted.join(first, ["k1", "k2"])
-    cut = rows.join(wanted, ["k1", "k2", "id"]).select("text", "wanted").mapInArrow(_cut_out, "a long, c long, n long, m long, left long, bytes binary")
+    some = among(kinds.join(several, "a", "left_semi").select("k1").distinct())
+    cut = rows.filter(some(F.col("k1"))).join(wanted, ["k1", "k2", "id"]).select("text", "wanted").mapInArrow(_cut_out, "a long, c long, n long, m long, left long, bytes binary")
     blocks = F.ceil(F.col("m") / GROUP).cast("int")
     cut = cut.withColumn("block", F.pmod(F.col("c"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     tiles = cut.select("a", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "c", "n", "left", "bytes")
@@ -236,9 +262,7 @@ def repeated_passages(docs: DataFrame, length: int = 200, id_column: str = "doc_
     covered = covered.select("a", "c", F.col("left").alias("l"), F.col("right").alias("r"), "others")
     found = placed.select("k1", "k2", "a", "c", "pos").join(covered, ["a", "c"])
     spans = found.select("k1", "k2", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + GRAM + F.col("r")).alias("end"), F.col("others").alias("occurrences"))
-    # written here, so that what the comparison shuffled is gone before the texts are joined with their spans
     spans = keep(spans.distinct(), "spans")
-    release(docs.sparkSession)
     return spans
 
 
@@ -275,13 +299,20 @@ def cut_repeats(docs: DataFrame, length: int = 200, id_column: str = "doc_id", t
     NULL ids, repeat each other and lose all bytes if they have ``length`` of them. An empty table gives an empty table.
 
     Anchors are counted before they are shuffled, and anchors with equal surroundings become one row, so a passage in a
-    third of all texts is compared only where its surroundings differ; more than GROUP different ones are dealt over tasks.
+    third of all texts is compared only where its surroundings differ; more than GROUP different ones are dealt over tasks. Texts
+    without a repeat are not shuffled: a filter over the keys of the others, of bounded size, is sent to the scan.
     """
     spans = repeated_passages(docs, length, id_column, text).select("k1", "k2", "start", "end").distinct()
-    spans = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = keep(spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "cuts")
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = small_batches(docs).select(*_keys(whole), F.col(id_column).alias("id"), whole.alias("text"))
-    joined = rows.join(spans, ["k1", "k2"], "left").select("id", "text", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
+    marked = rows.withColumn("maybe", among(spans)(F.col("k1")))
+    joined = marked.filter("maybe").join(spans, ["k1", "k2"], "left").select("id", "text", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
     kind = docs.schema[id_column].dataType.simpleString()
     found = joined.mapInArrow(_remove, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary")
-    return found.withColumnRenamed("id", id_column)
+    none = F.lit(0).cast("long")
+    bytes_ = F.col("text").cast("binary")
+    whole = marked.filter("NOT maybe").select(
+        "id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(bytes_, 256).alias("kept_sha256"), bytes_.alias("kept_text")
+    )
+    return found.unionByName(whole).withColumnRenamed("id", id_column)

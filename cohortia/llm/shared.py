@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -37,13 +36,6 @@ def keep(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files behind tables that have been kept. It does so when the driver's JVM finds that
-    nothing refers to them any more, which may be long after."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def small_batches(df: DataFrame) -> DataFrame:
     """Sets the batch size for the Python steps below, so that long texts don't add up in memory, and lets the workers of
     a local session find this package wherever the driver found it."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
@@ -77,15 +78,29 @@ def _features(df: DataFrame, host: str, path: str) -> DataFrame:
     return HashingTF(numFeatures=BUCKETS, binary=True, inputCol="_grams", outputCol="_vector").transform(df.withColumn("_grams", terms)).drop("_grams")
 
 
-def fit_url_model(labelled: DataFrame, url: str = "url", label: str = "label", strength: float = 0.01) -> LogisticRegressionModel:
-    """Logistic regression on the labelled URLs (label 1: unwanted). The table is small: hundreds to thousands of rows."""
+@dataclass
+class ConstantScore:
+    """What takes the model's place where the labels tell nothing apart: one score for every URL."""
+
+    score: float
+
+
+def fit_url_model(labelled: DataFrame, url: str = "url", label: str = "label", strength: float = 0.01) -> LogisticRegressionModel | ConstantScore:
+    """Logistic regression on the labelled URLs (label 1: unwanted). The table is small: hundreds to thousands of rows.
+
+    Rows without a label are left out; a NULL URL is an empty one. Without labelled rows every URL scores 0, with one class only that
+    class's label.
+    """
     host, path = split_url(F.col(url))
     rows = labelled.select(host.alias("_host"), path.alias("_path"), F.col(label).cast("double").alias("_label")).filter("_label IS NOT NULL")
+    low, high = rows.agg(F.min("_label"), F.max("_label")).first()
+    if low is None or low == high:
+        return ConstantScore(low or 0.0)
     learner = LogisticRegression(featuresCol="_vector", labelCol="_label", regParam=strength, maxIter=60)
     return learner.fit(_features(rows, "_host", "_path"))
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[Rule], model: LogisticRegressionModel, url: str = "url", threshold: float = 0.5) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Sequence[Rule], model: LogisticRegressionModel | ConstantScore, url: str = "url", threshold: float = 0.5) -> DataFrame:
     """The columns of ``pages`` with host, path, rule, verdict and url_score.
 
     verdict is the longest rule's, else ``block`` where url_score, the model's probability that the URL is unwanted, is
@@ -98,9 +113,12 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], model: LogisticRegressio
     kept = [c for c in pages.columns if c not in made]
     # one struct carries the caller's columns, so that no name of theirs can clash with the model's
     rows = pages.select(F.struct(*kept).alias("_row"), host.alias("_host"), path.alias("_path"))
-    scored = model.transform(_features(rows, "_host", "_path"))
     found = longest_rule(F.col("_host"), F.col("_path"), rules)
-    score = vector_to_array(F.col(model.getProbabilityCol()))[1]
+    if isinstance(model, ConstantScore):
+        scored, score = rows, F.lit(model.score)
+    else:
+        scored = model.transform(_features(rows, "_host", "_path"))
+        score = vector_to_array(F.col(model.getProbabilityCol()))[1]
     judged = scored.select("_row", "_host", "_path", found.alias("_found"), score.alias("_score"))
     return judged.select(
         *[F.col("_row")[c].alias(c) for c in kept],

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortia.llm.graph import components
+from cohortia.llm.graph import components, least_ids
 from cohortia.llm.shared import keep, mix, small_batches
 
 #: Tables, and buckets a vector visits in each: its own and two others. For a cosine of 0.98, one pair in some thousands
@@ -181,7 +181,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, id_column: str = "vec_
     least ``least``; n_links counts the others a vector is linked with, component_id is the least id reachable, kept is
     true for that vector. NULL, empty and zero vectors, those with a NULL or non-finite component, and rows with a NULL
     label are linked with nothing. Equal vectors of a label are one class: compared once, counted each. Repeated rows
-    are such classes too. A NULL id is linked with nothing; its component is NULL and it is kept. Empty tables give empty tables.
+    are such classes too. An id that repeats with another vector is another class, linked by its own vector only. A NULL id is linked with nothing; its component is NULL and it is kept. Empty tables give empty tables.
 
     No pairs leave a task: a bucket gives link counts and a spanning forest of what is linked in it. A bucket of more
     than BLOCK vectors is cut into blocks, and every two blocks are compared in a task of their own.
@@ -191,7 +191,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, id_column: str = "vec_
     sound = x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
     usable = F.coalesce(sound & F.col(label).isNotNull() & F.col(id_column).isNotNull(), F.lit(False))
     rows = small_batches(vectors).select(F.col(id_column).cast("long").alias("id"), F.when(usable, number).alias("label"), F.when(usable, x).alias("vector"))
-    classes = keep(rows.filter("label IS NOT NULL").groupBy("label", "vector").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "vectors")
+    classes = rows.filter("label IS NOT NULL").groupBy("label", "vector").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    # a class has a number of its own, as an id may repeat with other vectors; it is written with the table, so it stays
+    classes = keep(classes.withColumn("id", F.monotonically_increasing_id()), "vectors")
     hashed = keep(classes.mapInArrow(_hash, "id long, label long, copies long, unit binary, codes binary, buckets array<long>"), "buckets")
 
     visits = hashed.select("id", F.explode("buckets").alias("bucket"))
@@ -208,10 +210,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, id_column: str = "vec_
     found = keep(dealt.mapInArrow(_links(least), "id long, links long, peer long"), "links")
 
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
-    joined = components(found, "id", "peer").withColumnRenamed("node", "id")
+    joined = least_ids(components(found, "id", "peer"), classes.select(F.col("id").alias("node"), "least")).withColumnRenamed("node", "id")
     of_class = classes.join(counts, "id", "left").join(joined, "id", "left")
     links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
-    of_class = of_class.select("label", "vector", links.alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    of_class = of_class.select("label", "vector", links.alias("n_links"), F.coalesce("component", "least").alias("component_id"))
     result = rows.join(of_class, ["label", "vector"], "left")
     result = result.select(F.col("id").alias(id_column), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return result.withColumn("kept", F.coalesce(F.col(id_column) == F.col("component_id"), F.lit(True)))
