@@ -6,7 +6,7 @@ columns; the last returns what its files hold. ``run`` writes every stage's docu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortia.llm import copies, languages, leaks, mixing, tokens
@@ -16,36 +16,57 @@ from cohortia.llm.shared import keep
 NARROW = 0.005
 
 
+def packed(docs: DataFrame, *columns: Column) -> DataFrame:
+    """(row, columns...): the row in one struct, so that no column of it can clash with what a stage adds."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *columns)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those whose language isn't clear. Dictionaries are learned from ``lang``."""
-    found = languages.identify(docs, languages.learn_languages(docs), narrow=NARROW, prefix="_")
-    return found.filter(~F.col("_rejected")).select(*docs.columns)
+    """Drops documents without letters and those whose language isn't clear. Dictionaries are learned from ``lang``.
+
+    NULL and empty texts have no letters and go; texts of any length are judged as ``languages.identify`` does; repeated rows are judged
+    alike. Where no row has a language, nothing can be told and all go. Columns of any names are kept as they are; an empty table gives
+    an empty table."""
+    found = languages.identify(packed(docs, F.col("text")), languages.learn_languages(docs), narrow=NARROW, prefix="_")
+    return found.filter(~F.col("_rejected")).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of every group of near copies (five words, 80 percent), and documents with a
-    NULL id. Of equal rows one stays."""
+    NULL id. Of rows with equal id and text one stays.
+
+    An id that repeats with another text is judged by each of its texts. NULL, empty and wordless texts are no copies. Columns of any
+    names are kept as they are; an empty table gives an empty table."""
     groups = copies.near_copies(docs.select("doc_id", "text"))
-    gone = groups.filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    gone = groups.filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    rows = packed(docs, F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    left = rows.join(gone, (F.col("id") == F.col("gone_id")) & (F.col("hash") == F.col("gone_hash")), "left_anti")
+    return left.select("row.*").dropDuplicates(["doc_id", "text"])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark passage."""
+    """Drops documents that hold a benchmark passage.
+
+    NULL and empty texts hold none and stay; long texts are searched whole; repeated rows are judged alike. Columns of any names are kept
+    as they are; an empty table gives an empty table, an empty benchmark drops nothing."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return leaks.mark_leaks(docs, items, column="_leaks").filter(F.size("_leaks") == 0).select(*docs.columns)
+    return leaks.mark_leaks(packed(docs, F.col("text")), items).filter(F.size("leaks") == 0).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, also where that is in part."""
-    taken = mixing.mix_sources(docs).groupBy("doc_id").agg(F.max("rounds").alias("_rounds")).filter("_rounds > 0")
-    taken = taken.withColumnRenamed("doc_id", "_id")
-    mixed = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return mixed.withColumn("_round", F.explode(F.sequence(F.lit(1), F.col("_rounds")))).select(*docs.columns)
+    """Each document as often as the mix takes it, also where that is in part.
+
+    NULL sources are one source; documents without words are taken no time. Rows of one id, or without an id, are all taken as often as
+    the one of them that is taken most. Columns of any names are kept as they are; an empty table gives an empty table."""
+    taken = mixing.mix_sources(docs.select("doc_id", "text", "source")).groupBy("doc_id").agg(F.max("rounds").alias("rounds"))
+    taken = taken.filter("rounds > 0").withColumnRenamed("doc_id", "taken_id")
+    mixed = packed(docs, F.col("doc_id").alias("id")).join(taken, F.col("id").eqNullSafe(F.col("taken_id")))
+    return mixed.withColumn("round", F.explode(F.sequence(F.lit(1), F.col("rounds")))).select("row.*")
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files; a row per document in the order of the files."""
+    """Token files; a row per document in the order of the files. NULL and empty texts are the end id alone; repeated rows are encoded
+    each; an empty table gives an empty table."""
     return tokens.encode_documents(docs, tokens.default_tokenizer())
 
 
