@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortia.llm.shared import small_batches
+from cohortia.llm.shared import first_of_each, small_batches
 
 #: The bounded sample a language is learned from: documents, bytes of each, bytes in all.
 SAMPLE_DOCUMENTS, SAMPLE_BYTES, DICTIONARY_BYTES = 150, 2500, 64 << 10
@@ -41,22 +41,24 @@ def letters(text: Column) -> Column:
 
 
 def learn_languages(docs: DataFrame, text: str = "text", lang: str = "lang") -> Languages:
-    """Dictionaries for all non-NULL languages of ``docs``, from about SAMPLE_DOCUMENTS texts of each with the lowest
-    hashes. Texts without letters teach nothing. The sample, some hundred kilobytes a language, comes to the driver."""
+    """Dictionaries for all non-NULL languages of ``docs``, from the 2 * SAMPLE_DOCUMENTS different texts of each with the lowest
+    hashes, equal texts counted once. NULL texts and texts without letters teach nothing. The sample, at most SAMPLE_BYTES of each
+    text, comes to the driver."""
     rows = docs.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()}
+    rows = rows.withColumn("place", F.pmod(F.xxhash64("text"), F.lit(1 << 40)))
+    different = rows.select("lang", "place").distinct().groupBy("lang").count()
+    counts = {r["lang"]: r["count"] for r in different.orderBy("lang").limit(MOST_LANGUAGES + 1).collect()}
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
         return Languages((), (), ())
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
     share = None
     for name, n in counts.items():
         most = F.lit(int(min(1.0, 2 * SAMPLE_DOCUMENTS / n) * (1 << 40)))
         share = F.when(F.col("lang") == name, most) if share is None else share.when(F.col("lang") == name, most)
-    sample = rows.filter(place < share).select("lang", place.alias("place"), F.substring(letters(F.col("text")), 1, SAMPLE_BYTES).alias("text"))
+    sample = rows.filter(F.col("place") < share).select("lang", "place", F.substring(letters(F.col("text")), 1, SAMPLE_BYTES).alias("text"))
     texts: dict[str, list[bytes]] = {}
-    for row in sorted(sample.collect(), key=lambda r: (r["lang"], r["place"], r["text"])):
+    for row in sorted(first_of_each(sample, "lang", "place").collect(), key=lambda r: (r["lang"], r["place"], r["text"])):
         texts.setdefault(row["lang"], []).append(row["text"].encode()[:SAMPLE_BYTES])
     names = tuple(name for name in sorted(texts, key=lambda x: (-counts[x], x)) if any(texts[name]))
     whole = [b" ".join(dict.fromkeys(texts[name]))[: DICTIONARY_BYTES + LEAD_BYTES] for name in names]

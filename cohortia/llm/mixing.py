@@ -1,6 +1,6 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Every source shuffles its documents (by a hash of their ids) into a queue that may be gone through several times. A
+Every source shuffles its documents (by a hash of their ids and texts) into a queue that may be gone through several times. A
 document's virtual finish time is the number of its source's tokens up to its end, divided by the source's target.
 Documents are taken in the order of these times until the total budget is spent.
 """
@@ -22,8 +22,9 @@ STEPS = 4096
 
 
 def sized_documents(docs: DataFrame, id_column: str, text: str, source: str) -> DataFrame:
-    """(doc_id, source, size, key): sizes are words, 0 for NULL and empty texts; the key shuffles the documents."""
-    name = F.coalesce(F.col(id_column).cast("string"), F.lit(""))
+    """(doc_id, source, size, key): sizes are words, 0 for NULL and empty texts; the key shuffles the documents. It is of id and
+    text, so that documents without an id, or with one that repeats, don't come together."""
+    name = F.concat_ws(":", F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit(""))))
     return docs.select(
         F.col(id_column).alias("doc_id"),
         F.col(source).alias("source"),
@@ -77,8 +78,8 @@ def mix_sources(
     how often it is taken, also in part.
 
     NULL sources are a source of their own, the last. NULL and empty texts have size 0 and take part with nothing, also
-    where a source has no other. Repeated rows and equal or NULL ids are documents of their own: they have equal places
-    up to running sums, which tell them apart. The hash of the ids fixes the order, so reruns agree. An empty table
+    where a source has no other. Repeated rows and equal or NULL ids are documents of their own; rows that are equal have equal
+    places up to running sums, which tell them apart. The hash of ids and texts fixes the order, so reruns agree. An empty table
     gives an empty table. Other columns are left alone.
 
     Only ids, sources, sizes and hashes are shuffled, never texts. A source with a third of all documents is summed in

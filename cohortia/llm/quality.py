@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortia.llm.shared import blocks, prefix_sums, small_batches, words
+from cohortia.llm.shared import blocks, first_of_each, prefix_sums, small_batches, words
 
 #: Buckets of hashed words.
 BUCKETS = 1 << 15
@@ -165,13 +165,31 @@ def _rows(docs: DataFrame, text: str, metadata: Sequence[str], *others) -> tuple
     return small_batches(docs).select(*others, F.col(text).alias("text"), *[F.col(c).cast("double").alias(n) for c, n in zip(metadata, names, strict=True)]), names
 
 
-def learn_quality(labelled: DataFrame, label: str, text: str = "text", metadata: Sequence[str] = ()) -> Machine:
-    """Fits the machine to rows with text and a 0/1 label, NULL labels left out. Of more than SAMPLE_ROWS rows it takes a
-    sample, by a hash of the texts; its features come to the driver."""
-    known = labelled.filter(F.col(label).isNotNull())
-    share = min(1.0, SAMPLE_ROWS / max(1, known.count()))
-    sample = known.filter(F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(1 << 40)) < int(share * (1 << 40)))
-    rows, names = _rows(sample, text, metadata, F.col(label).cast("int").alias("label"))
+def learn_quality(
+    docs: DataFrame, label: str, text: str = "text", metadata: Sequence[str] = (), labels: DataFrame | None = None, id_column: str = "doc_id"
+) -> Machine:
+    """Fits the machine to rows with text and a 0/1 label, which ``labels`` gives by id where it isn't a column of ``docs``; rows without
+    a label are left out.
+
+    Of equal texts with equal labels one counts, the one with the least metadata (NULL first), so copies don't fill the sample. Of more
+    than SAMPLE_ROWS different ones it takes those with the lowest hashes; their features come to the driver. NULL and empty texts are
+    one text. Only hashes, ids and metadata are shuffled, and the texts of the sample."""
+    rows, names = _rows(docs, text, metadata, F.col(label).cast("int").alias("label") if labels is None else F.col(id_column).alias("id"))
+    rows = rows.withColumn("hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    known, same = rows.drop("text"), list(names)
+    if labels is not None:
+        known = known.join(labels.select(F.col(id_column).alias("id"), F.col(label).cast("int").alias("label")), "id")
+        same.append("id")
+    least = F.min(F.struct(F.lit(0).alias("none"), *same)).alias("least")
+    chosen = known.filter("label IS NOT NULL").groupBy("hash", "label").agg(least).orderBy("hash", "label").limit(SAMPLE_ROWS)
+    chosen = chosen.select(F.col("hash").alias("h"), F.col("label").alias("y"), *[F.col("least")[n].alias(f"least_{n}") for n in same])
+    own = F.col("hash") == F.col("h")
+    if labels is None:
+        own &= F.col("label") == F.col("y")
+    for name in same:
+        own &= F.col(name).eqNullSafe(F.col(f"least_{name}"))
+    sample = rows.join(F.broadcast(chosen), own)  # SAMPLE_ROWS rows at most
+    rows = first_of_each(sample.select(F.col("y").alias("label"), "hash", "text", *names), "hash", "label")
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in blocks(batches, "text"):

@@ -27,7 +27,7 @@ def remainder(column: str, n: int) -> Column:
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     known = labels.filter(remainder("doc_id", 4) != 2).select("doc_id", "quality")
-    machine = quality.learn_quality(docs.select("doc_id", "text", "n_chars").join(known, "doc_id"), "quality", metadata=["n_chars"])
+    machine = quality.learn_quality(docs, "quality", metadata=["n_chars"], labels=known)
     scored = quality.score_quality(docs, machine, metadata=["n_chars"])
     return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
@@ -113,7 +113,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str, labelled: DataFrame | None
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS k
   FROM documents),
 by_source AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS number

@@ -17,10 +17,18 @@ BLOCK_BYTES = 2 << 20
 BATCH_ROWS = 500
 
 
+def one_process(master: str) -> bool:
+    """Whether executors run in the driver's process; local-cluster starts processes of its own."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a session in one process (tests) gets a
+    local folder, and a cluster an error, as its executors wouldn't see such a folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not one_process(spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = getattr(spark, "_llm_folder", None)
         if not folder:
             folder = "file://" + tempfile.mkdtemp(prefix="llm-")
@@ -44,6 +52,24 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def first_of_each(df: DataFrame, *keys: str) -> DataFrame:
+    """One row per key, for samples with a bounded number of keys: a task passes on the first row of each, so a key that a third of all
+    rows have is one row a task before it is shuffled. Which row of a key stays is open."""
+
+    def once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
+        for batch in batches:
+            fresh = []
+            for k, key in enumerate(zip(*[batch.column(c).to_pylist() for c in keys], strict=True)):
+                if key not in seen:
+                    seen.add(key)
+                    fresh.append(k)
+            if fresh:
+                yield batch.take(pa.array(fresh, pa.int64()))
+
+    return small_batches(df).mapInArrow(once, df.schema).dropDuplicates(list(keys))
+
+
 def blocks(batches: Iterable[pa.RecordBatch], column: str, most: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes of their texts, offsets): runs of rows whose texts have about ``most`` bytes. NULL is an empty text."""
     for batch in batches:

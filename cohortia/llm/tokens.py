@@ -177,8 +177,8 @@ def write_sequences(
     """Writes the ids of all texts below ``folder`` and returns the manifest, one row per file: part, path, n_docs, n_tokens.
 
     Every text is encoded whole, without special tokens, and ``end_id`` follows each. NULL and empty texts consist of
-    end_id alone. Documents stand in ascending order of their ids, NULL first; equal ids in the order of their texts;
-    repeated rows are written as often as they come. An empty table writes nothing. Other columns are left alone.
+    end_id alone. Documents stand in ascending order of their ids, NULL first; equal ids in the order of a hash of
+    their texts, which lets ranges cut an id that many documents share; repeated rows are written as often as they come. An empty table writes nothing. Other columns are left alone.
 
     Texts are shuffled once, by ranges of ids. A task writes files under names no other attempt uses and only the names
     that a finished attempt returns are in the manifest, so lost executors and repeated tasks leave no wrong file in use.
@@ -209,7 +209,8 @@ def write_sequences(
     files, at = pyarrow.fs.FileSystem.from_uri(folder)
     files.create_dir(at, recursive=True)
     rows = small_batches(docs).select(F.col(id_column).cast(id_type).alias("doc_id"), F.col(text).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     return keep(ordered.mapInArrow(write, "part long, path string, n_docs long, n_tokens long"), "manifest")
 
 
