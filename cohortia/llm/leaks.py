@@ -28,6 +28,8 @@ PASS_BYTES = 2 << 20
 
 #: Shared grams that are looked at together, which bounds a task's memory.
 SLICE = 1 << 20
+#: Places of text that are aligned together, likewise.
+CELLS = 1 << 17
 
 _FOLD = np.full(256, 32, np.uint8)
 for _k in range(256):
@@ -62,7 +64,9 @@ class Benchmark:
     """The items' windows and the places of all their q-grams."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.ids, self.texts, self.windows = [], [], []
+        self.ids, self.texts = [], []
+        #: Per item, where its windows start, their bytes, and the edits that each may have.
+        self.starts, self.windows, self.edits = [], [], []
         codes, owners, places = [], [], []
         least = []
         for item, text in items:
@@ -74,7 +78,9 @@ class Benchmark:
             starts = sorted({*range(0, len(data) - size + 1, STRIDE), len(data) - size})
             # the bound must stay above 0 for the lemma to say something, which limits the edits of short windows
             edits = min(int(size * EDITS), (size - Q) // Q)
-            self.windows.append([(s, data[s : s + size], edits) for s in starts])
+            self.starts.append(np.array(starts))
+            self.windows.append([data[s : s + size] for s in starts])
+            self.edits.append(edits)
             least.append(size + 1 - Q * (edits + 1))
             found = grams(np.frombuffer(data, np.uint8))
             codes.append(found)
@@ -95,16 +101,37 @@ class Benchmark:
         self.filter[(self.codes * _SPREAD) >> np.uint64(64 - _BITS)] = True
 
 
-def nearest(pattern: bytes, text: np.ndarray) -> tuple[int, int]:
-    """(edits, end): the least edit distance of the pattern to any part of the text, and where the first such part ends."""
-    places = np.arange(len(text) + 1)
-    row = np.zeros(len(text) + 1, np.int64)
-    for i, c in enumerate(pattern, 1):
-        best = np.empty_like(row)
-        best[0] = i
-        best[1:] = np.minimum(row[:-1] + (text != c), row[1:] + 1)
-        row = np.minimum.accumulate(best - places) + places
-    return int(row.min()), int(row.argmin())
+def nearest(pairs: list[tuple[bytes, np.ndarray]]) -> list[tuple[int, int]]:
+    """For pairs of a pattern and a text (edits, end): the least edit distance of the pattern to any part of the text, and where the
+    first such part ends. Pairs with equally long patterns are aligned together, as many as CELLS places of text allow."""
+    found = [(0, 0)] * len(pairs)
+    order = sorted(range(len(pairs)), key=lambda k: (len(pairs[k][0]), len(pairs[k][1])))
+    while order:
+        size, many, width = len(pairs[order[0]][0]), 0, 0
+        for k in order:
+            wider = max(width, len(pairs[k][1]))
+            if len(pairs[k][0]) != size or (many and (many + 1) * wider > CELLS):
+                break
+            many, width = many + 1, wider
+        own, order = order[:many], order[many:]
+        patterns = np.frombuffer(b"".join(pairs[k][0] for k in own), np.uint8).reshape(many, size)
+        ends = np.array([len(pairs[k][1]) for k in own])
+        texts = np.zeros((width, many), np.uint8)
+        for column, k in enumerate(own):
+            texts[: ends[column], column] = pairs[k][1]
+        places = np.arange(width + 1, dtype=np.int32)[:, None]
+        row, best = np.zeros((2, width + 1, many), np.int32)
+        for i in range(size):
+            best[0] = i + 1
+            np.minimum(row[:-1] + (texts != patterns[:, i]), row[1:] + 1, out=best[1:])
+            best -= places
+            np.minimum.accumulate(best, axis=0, out=row)
+            row += places
+        row[places > ends] = size + 1  # a shorter text has ended there
+        at = row.argmin(0)
+        for column, k in enumerate(own):
+            found[k] = (int(row[at[column], column]), int(at[column]))
+    return found
 
 
 def summed(parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -172,32 +199,39 @@ def find_leaks(data: np.ndarray, offsets: np.ndarray, known: Benchmark) -> list[
 
     near_keys, near_counts = summed(near())
     near_sums = np.append(0, np.cumsum(near_counts))
+    # per run of bands, the windows found in it: those found as they are at once, the others by alignment
+    hits: list[list[tuple[int, int, int, int]]] = [[] for _ in runs]
+    open_: list[tuple[int, int, int, bytes, int, np.ndarray]] = []
     for number, run in enumerate(runs):
         d, i = divmod(int(run[0]) // bands, len(known.ids))
         low = int(run[0]) % bands * known.step - known.longest
         high = (int(run[-1]) % bands + 2) * known.step - known.longest
         own = text[ends[d] : ends[d + 1]]
-        found = []
-        for start, pattern, edits in known.windows[i]:
-            inside = np.searchsorted(near_keys, number * known.longest + np.array([start, start + len(pattern) - Q + 1]))
-            if near_sums[inside[1]] - near_sums[inside[0]] < known.least[i]:
-                continue
-            a, b = max(0, low + start - edits), min(len(own), high + start + len(pattern) + edits)
+        starts = known.starts[i] + number * known.longest
+        size, edits = len(known.windows[i][0]), known.edits[i]
+        inside = np.searchsorted(near_keys, np.stack([starts, starts + size - Q + 1]))
+        for k in np.flatnonzero(near_sums[inside[1]] - near_sums[inside[0]] >= known.least[i]).tolist():
+            start, pattern = int(known.starts[i][k]), known.windows[i][k]
+            a, b = max(0, low + start - edits), min(len(own), high + start + size + edits)
             region = own[a:b]
             exact = region.tobytes().find(pattern)
             if exact >= 0:
-                found.append((a + exact, a + exact + len(pattern), 0))
-                continue
-            distance, end = nearest(pattern, region)
-            if distance <= edits:
-                back = nearest(pattern[::-1], region[:end][::-1])[1]
-                found.append((a + end - back, a + end, distance))
+                hits[number].append((k, a + exact, a + exact + size, 0))
+            else:
+                open_.append((number, k, a, pattern, edits, region))
+    aligned = [(*x, *y) for x, y in zip(open_, nearest([(x[3], x[5]) for x in open_]), strict=True)]
+    aligned = [x for x in aligned if x[6] <= x[4]]
+    backwards = nearest([(pattern[::-1], region[:end][::-1]) for _, _, _, pattern, _, region, _, end in aligned])
+    for (number, k, a, _, _, _, distance, end), (_, back) in zip(aligned, backwards, strict=True):
+        hits[number].append((k, a + end - back, a + end, distance))
+    for run, found in zip(runs, hits, strict=True):
         if found:
-            first, last = (int(places[ends[d] + p]) for p in (min(x[0] for x in found), max(x[1] for x in found) - 1))
+            d, i = divmod(int(run[0]) // bands, len(known.ids))
+            first, last = (int(places[ends[d] + p]) for p in (min(x[1] for x in found), max(x[2] for x in found) - 1))
             whole = data[offsets[d] : offsets[d + 1]]
             starts = (whole & 0xC0) != 0x80
             a, b = int(np.count_nonzero(starts[: first - offsets[d]])), int(np.count_nonzero(starts[: last - offsets[d] + 1]))
-            leaks[d].append({"item": known.ids[i], "windows": len(known.windows[i]), "found": len(found), "start": a, "end": b, "edits": sum(x[2] for x in found)})
+            leaks[d].append({"item": known.ids[i], "windows": len(known.windows[i]), "found": len(found), "start": a, "end": b, "edits": sum(x[3] for x in found)})
     for own in leaks:
         own.sort(key=lambda x: (x["item"], x["start"]))
     return leaks

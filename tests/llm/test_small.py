@@ -370,7 +370,26 @@ def test_leaks_in_passes(spark, monkeypatch):
 
 
 def test_nearest():
-    assert leaks.nearest(b"kitten", np.frombuffer(b"xx sitting xx", np.uint8)) == (2, 9)
+    assert leaks.nearest([(b"kitten", np.frombuffer(b"xx sitting xx", np.uint8))]) == [(2, 9)]
+    assert leaks.nearest([]) == []
+
+
+@pytest.mark.parametrize("cells", [1 << 17, 30])
+def test_nearest_by_hand(monkeypatch, cells):
+    monkeypatch.setattr(leaks, "CELLS", cells)
+    dice = np.random.default_rng(4)
+    pairs = [(bytes(dice.integers(97, 100, dice.integers(1, 9)).tolist()), dice.integers(97, 100, dice.integers(0, 20)).astype(np.uint8)) for _ in range(200)]
+
+    def plain(pattern, text):
+        row = [0] * (len(text) + 1)
+        for i, c in enumerate(pattern, 1):
+            new = [i]
+            for j, t in enumerate(text, 1):
+                new.append(min(row[j - 1] + (t != c), row[j] + 1, new[-1] + 1))
+            row = new
+        return min(row), row.index(min(row))
+
+    assert leaks.nearest(pairs) == [plain(p, t.tolist()) for p, t in pairs]
 
 
 # tokens
