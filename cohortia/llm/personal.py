@@ -80,7 +80,8 @@ def base_spans(text: str) -> list[Span]:
 _CLUSTER = re.compile(r"[0-9]++(?:[ ().\-/:+]{1,3}[0-9]++)*+")
 _GROUP = re.compile(r"[0-9]+")
 _AT = re.compile(r"@| at |\(at\)|\[at\]")
-_WORD = re.compile(r"[A-Za-z0-9-]{1,63}")
+# a longer label is none, and is not cut
+_WORD = re.compile(r"[A-Za-z0-9-]{1,63}(?![A-Za-z0-9-])")
 _DOT = re.compile(r" ?(?:\.|\(dot\)|\[dot\])|(?<=\S) dot ")
 #: What every cluster and every span of the rules holds.
 _TRIGGER = re.compile(r"[0-9@]| at |\(at\)|\[at\]")
@@ -99,6 +100,8 @@ def clusters(text: str) -> list[Cluster]:
         start = m.start()
         while start > max(0, m.start() - MOST_NAME) and text[start - 1] in _NAME:
             start -= 1
+        if start and text[start - 1] in _NAME:
+            continue  # a longer name is none, and is not cut
         at = m.end()
         units = [(start, m.start())]
         while word := _WORD.match(text, at):

@@ -155,27 +155,71 @@ def extents(contexts: list[tuple[bytes, bytes]], span: int) -> list[tuple[int, i
     return best
 
 
-def _compare(length: int):
+def maximal_groups(contexts: list[tuple[bytes, bytes]], span: int) -> Iterator[tuple[int, int, list[int]]]:
+    """(l, r, members) of every set of two occurrences or more that share l bytes before and r bytes after their anchor, l + r at
+    least ``span``, which are all that share these, and of which some differ, or end, beyond them on either side."""
+    order, after = intervals([c[1] for c in contexts])
+    for r, first, last in after:
+        alike: dict[bytes, list[int]] = {}
+        for k in order[first : last + 1]:
+            if len(contexts[k][0]) >= span - r:
+                alike.setdefault(contexts[k][0][: span - r], []).append(k)
+        for own in alike.values():
+            backwards, before = intervals([contexts[k][0] for k in own])
+            for l, low, high in before:
+                # in the order of what follows the anchor, so the outer two share what all share
+                members = sorted(backwards[low : high + 1])
+                if common(contexts[own[members[0]]][1], contexts[own[members[-1]]][1]) == r:
+                    yield l, r, [own[k] for k in members]
+
+
+def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows (a, low, high, c, n, left, bytes) of each piece, from rows in the order of their pieces."""
+    own, key = [], None
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("a", "low", "high", "c", "n", "left", "bytes")]
+        for row in zip(*columns, strict=True):
+            if row[:3] != key:
+                if own:
+                    yield own
+                own, key = [], row[:3]
+            own.append(row)
+    if own:
+        yield own
+
+
+def _contexts(own: list[tuple]) -> list[tuple[bytes, bytes]]:
+    return [(x[6][: x[5]][::-1], x[6][x[5] + GRAM :]) for x in own]
+
+
+def _group(length: int):
+    """Rows (a, g, l, r, c): the surroundings c that hold a maximal repeat g of l bytes, the anchor and r bytes."""
     span = length - GRAM
 
-    def groups(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple]]:
-        own, key = [], None
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("a", "low", "high", "c", "n", "left", "bytes")]
-            for row in zip(*columns, strict=True):
-                if row[:3] != key:
-                    if own:
-                        yield own
-                    own, key = [], row[:3]
-                own.append(row)
-        if own:
-            yield own
+    def group(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _pieces(batches):
+            rows = []
+            for l, r, members in maximal_groups(_contexts(own), span):
+                x = own[members[0]]
+                passage = x[6][x[5] - l : x[5] + GRAM + r]
+                # only where a window inside the passage has its anchor here, all occurrences of the passage have it
+                if l in anchors(np.frombuffer(passage, np.uint8), np.array([0, len(passage)]), length)[0]:
+                    g = int(np.uint64(xxhash.xxh3_64_intdigest(passage, l * (span + 1) + r)).view(np.int64))
+                    rows += [(x[0], g, l, r, own[k][3]) for k in members]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["a", "g", "l", "r", "c"])
+
+    return group
+
+
+def _compare(length: int):
+    span = length - GRAM
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["a", "c", "left", "right", "others"]
         rows: list[tuple] = []
-        for own in groups(batches):
-            found = extents([(x[6][: x[5]][::-1], x[6][x[5] + GRAM :]) for x in own], span)
+        for own in _pieces(batches):
+            found = extents(_contexts(own), span)
             rows += [(x[0], x[3], l, r, n) for x, (l, r, n) in zip(own, found, strict=True) if n and x[4] == 1]
             if len(rows) >= 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
@@ -225,10 +269,9 @@ def among(keys: DataFrame) -> Callable[[Column], Column]:
     return maybe
 
 
-def repeated_passages(docs: DataFrame, length: int = 200, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(k1, k2, start, end, occurrences): for every anchor that lies in a repeat, the bytes of the text with the hashes k1
-    and k2 that repeats of at least ``length`` bytes around it cover, and in how many surroundings one of them is."""
-    span = length - GRAM
+def _surroundings(docs: DataFrame, length: int, id_column: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(k1, k2, a, c, pos, left, right) of all anchors that occur again; (a, c, n, ...) of their different surroundings; and (a, low,
+    high, c, n, left, bytes), in order, of those to be compared, in pieces."""
     rows = _keyed(docs, id_column, text)
     seen = rows.select("text").mapInArrow(_scan(length, False), "a long").groupBy("a").count().filter("count > 1").select("a")
     # both tables of counts are written, so that the joins with them have a shuffle on either side that can be split
@@ -255,7 +298,15 @@ def repeated_passages(docs: DataFrame, length: int = 200, id_column: str = "doc_
     blocks = F.ceil(F.col("m") / GROUP).cast("int")
     cut = cut.withColumn("block", F.pmod(F.col("c"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     tiles = cut.select("a", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "c", "n", "left", "bytes")
-    compared = tiles.repartition("a", "low", "high").sortWithinPartitions("a", "low", "high").mapInArrow(_compare(length), "a long, c long, left long, right long, others long")
+    return placed, kinds, tiles.repartition("a", "low", "high").sortWithinPartitions("a", "low", "high")
+
+
+def repeated_passages(docs: DataFrame, length: int = 200, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """(k1, k2, start, end, occurrences): for every anchor that lies in a repeat, the bytes of the text with the hashes k1
+    and k2 that repeats of at least ``length`` bytes around it cover, and in how many surroundings one of them is."""
+    span = length - GRAM
+    placed, kinds, tiles = _surroundings(docs, length, id_column, text)
+    compared = tiles.mapInArrow(_compare(length), "a long, c long, left long, right long, others long")
     compared = compared.groupBy("a", "c").agg(F.max("left").alias("left"), F.max("right").alias("right"), F.max("others").alias("others"))
     equal = kinds.filter((F.col("n") > 1) & (F.col("left") + F.col("right") >= span)).select("a", "c", "left", "right", F.col("n").alias("others"))
     covered = compared.union(equal)
@@ -266,6 +317,35 @@ def repeated_passages(docs: DataFrame, length: int = 200, id_column: str = "doc_
     return spans
 
 
+def repeat_groups(docs: DataFrame, length: int = 200, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """(anchor, passage, n_bytes, occurrences, k1, k2, start, end, copies): the maximal repeats of at least ``length`` bytes, each with
+    all its occurrences, one per row.
+
+    A group is (anchor, passage), hashes both. Its ``occurrences`` are counted over all texts, overlapping ones and those in copies
+    too; a row is the place, in bytes, in the text with the hashes k1 and k2 (xxhash64, and hash after the number 1), and ``copies``
+    the number of rows with that text. A passage is followed for ``length - GRAM`` bytes to either side of an anchor, so a longer repeat is several
+    groups, one per anchor, that overlap. Where an anchor has more than GROUP different surroundings, these are compared in pairs of
+    blocks: a repeat whose occurrences differ on the left within one pair and on the right within another only is not named then,
+    but the longer ones that each of these pairs shares are. NULL and empty texts, and those shorter than ``length``, have none; repeated rows, and equal
+    or NULL ids, repeat each other; an empty table gives an empty table. Columns besides id and text are not read.
+    """
+    span = length - GRAM
+    placed, kinds, tiles = _surroundings(docs, length, id_column, text)
+    found = tiles.mapInArrow(_group(length), "a long, g long, l long, r long, c long")
+    equal = kinds.filter((F.col("n") > 1) & (F.col("left") + F.col("right") >= span))
+    equal = equal.select("a", F.col("c").alias("g"), F.col("left").cast("long").alias("l"), F.col("right").cast("long").alias("r"), "c")
+    # pieces of one anchor name a group alike
+    members = keep(found.union(equal).distinct(), "groups")
+    # the counts per group and the places per surroundings are written or summed first, so no group is ever in one task
+    counts = members.join(kinds.select("a", "c", "n"), ["a", "c"]).groupBy("a", "g").agg(F.sum("n").alias("occurrences"))
+    counts = keep(counts, "counts")
+    places = placed.groupBy("a", "c", "k1", "k2", "pos").agg(F.count(F.lit(1)).alias("copies"))
+    rows = members.join(keep(places, "places"), ["a", "c"]).join(counts, ["a", "g"])
+    start = (F.col("pos") - F.col("l")).alias("start")
+    n_bytes = F.col("l") + F.col("r") + GRAM
+    return rows.select(F.col("a").alias("anchor"), F.col("g").alias("passage"), n_bytes.alias("n_bytes"), "occurrences", "k1", "k2", start, (start + n_bytes).alias("end"), "copies")
+
+
 def _remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
     kinds = [None, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
