@@ -4,19 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-
-def contract(text: str = "", number: str = "") -> StructType:
-    """A contract from blank-separated names: text columns first, then numbers."""
-    fields = [StructField(n, StringType()) for n in text.split()]
-    fields += [StructField(n, DoubleType()) for n in number.split()]
-    return StructType(fields)
-
-
 # ---- fixed values: column names ----------------------------------------------------------------
-_PAYMENTS = "estu_pagomatriculabeca estu_pagomatriculacredito estu_pagomatriculapadres estu_pagomatriculapropio"
-
-SCHOOL_EXAM = contract(
-    "estu_consecutivo fami_estratovivienda cole_naturaleza cole_area_ubicacion estu_depto_presentacion"
+SCHOOL_EXAM = StructType(
+    [
+        StructField("estu_consecutivo", StringType()),
+        StructField("fami_estratovivienda", StringType()),
+        StructField("cole_naturaleza", StringType()),
+        StructField("cole_area_ubicacion", StringType()),
+        StructField("estu_depto_presentacion", StringType()),
+    ]
 )
 UNLINKED_ATTRIBUTES = [
     "fami_estratovivienda",
@@ -25,11 +21,22 @@ UNLINKED_ATTRIBUTES = [
     "estu_depto_presentacion",
 ]
 
-SCHOOL_SCORES = contract(
-    "estu_consecutivo desemp_ingles",
-    "punt_matematicas punt_matematicas_norm punt_lectura_critica punt_lectura_critica_norm "
-    "punt_sociales_ciudadanas punt_sociales_ciudadanas_norm punt_ingles punt_ingles_norm "
-    "punt_global punt_global_norm punt_global_calc_norm",
+SCHOOL_SCORES = StructType(
+    [
+        StructField("estu_consecutivo", StringType()),
+        StructField("desemp_ingles", StringType()),
+        StructField("punt_matematicas", DoubleType()),
+        StructField("punt_matematicas_norm", DoubleType()),
+        StructField("punt_lectura_critica", DoubleType()),
+        StructField("punt_lectura_critica_norm", DoubleType()),
+        StructField("punt_sociales_ciudadanas", DoubleType()),
+        StructField("punt_sociales_ciudadanas_norm", DoubleType()),
+        StructField("punt_ingles", DoubleType()),
+        StructField("punt_ingles_norm", DoubleType()),
+        StructField("punt_global", DoubleType()),
+        StructField("punt_global_norm", DoubleType()),
+        StructField("punt_global_calc_norm", DoubleType()),
+    ]
 )
 # old column name -> current one
 SCHOOL_SCORE_ALIASES = {
@@ -37,17 +44,47 @@ SCHOOL_SCORE_ALIASES = {
     "punt_ciencias_sociales_norm": "punt_sociales_ciudadanas_norm",
 }
 
-LINK = contract("estu_consecutivo_sbpro estu_consecutivo_sb11")
+LINK = StructType(
+    [
+        StructField("estu_consecutivo_sbpro", StringType()),
+        StructField("estu_consecutivo_sb11", StringType()),
+    ]
+)
 
-DEGREE_EXAM = contract("estu_consecutivo periodo gruporeferencia")
+DEGREE_EXAM = StructType(
+    [
+        StructField("estu_consecutivo", StringType()),
+        StructField("periodo", StringType()),
+        StructField("gruporeferencia", StringType()),
+    ]
+)
 
-DEGREE_SCORES = contract(
-    "periodo estu_genero estu_depto_reside estu_mcpio_reside fami_estratovivienda "
-    f"inst_nombre_institucion inst_origen gruporeferencia {_PAYMENTS} "
-    "mod_razona_cuantitat_desem mod_lectura_critica_desem mod_competen_ciudada_desem "
-    "mod_ingles_desem mod_comuni_escrita_desem",
-    "mod_razona_cuantitat_punt mod_lectura_critica_punt mod_competen_ciudada_punt "
-    "mod_ingles_punt mod_comuni_escrita_punt punt_global",
+DEGREE_SCORES = StructType(
+    [
+        StructField("periodo", StringType()),
+        StructField("estu_genero", StringType()),
+        StructField("estu_depto_reside", StringType()),
+        StructField("estu_mcpio_reside", StringType()),
+        StructField("fami_estratovivienda", StringType()),
+        StructField("inst_nombre_institucion", StringType()),
+        StructField("inst_origen", StringType()),
+        StructField("gruporeferencia", StringType()),
+        StructField("estu_pagomatriculabeca", StringType()),
+        StructField("estu_pagomatriculacredito", StringType()),
+        StructField("estu_pagomatriculapadres", StringType()),
+        StructField("estu_pagomatriculapropio", StringType()),
+        StructField("mod_razona_cuantitat_desem", StringType()),
+        StructField("mod_lectura_critica_desem", StringType()),
+        StructField("mod_competen_ciudada_desem", StringType()),
+        StructField("mod_ingles_desem", StringType()),
+        StructField("mod_comuni_escrita_desem", StringType()),
+        StructField("mod_razona_cuantitat_punt", DoubleType()),
+        StructField("mod_lectura_critica_punt", DoubleType()),
+        StructField("mod_competen_ciudada_punt", DoubleType()),
+        StructField("mod_ingles_punt", DoubleType()),
+        StructField("mod_comuni_escrita_punt", DoubleType()),
+        StructField("punt_global", DoubleType()),
+    ]
 )
 MODULE_SCORES = [
     "mod_razona_cuantitat_punt",
@@ -65,29 +102,93 @@ MODULE_LEVELS = [
     "mod_comuni_escrita_desem",
 ]
 
-DEGREE_PAIRED = contract(
-    "estu_consecutivo periodo estu_genero fami_estratovivienda estu_depto_reside estu_mcpio_reside "
-    f"inst_nombre_institucion inst_origen gruporeferencia {_PAYMENTS} mod_ingles_desem",
-    "mod_razona_cuantitat_punt mod_razona_cuantitat_punt_norm mod_lectura_critica_punt "
-    "mod_lectura_critica_punt_norm mod_competen_ciudada_punt mod_competen_ciudada_punt_norm "
-    "mod_ingles_punt mod_ingles_punt_norm punt_global punt_global_norm punt_global_calc_norm",
+DEGREE_PAIRED = StructType(
+    [
+        StructField("estu_consecutivo", StringType()),
+        StructField("periodo", StringType()),
+        StructField("estu_genero", StringType()),
+        StructField("fami_estratovivienda", StringType()),
+        StructField("estu_depto_reside", StringType()),
+        StructField("estu_mcpio_reside", StringType()),
+        StructField("inst_nombre_institucion", StringType()),
+        StructField("inst_origen", StringType()),
+        StructField("gruporeferencia", StringType()),
+        StructField("estu_pagomatriculabeca", StringType()),
+        StructField("estu_pagomatriculacredito", StringType()),
+        StructField("estu_pagomatriculapadres", StringType()),
+        StructField("estu_pagomatriculapropio", StringType()),
+        StructField("mod_ingles_desem", StringType()),
+        StructField("mod_razona_cuantitat_punt", DoubleType()),
+        StructField("mod_razona_cuantitat_punt_norm", DoubleType()),
+        StructField("mod_lectura_critica_punt", DoubleType()),
+        StructField("mod_lectura_critica_punt_norm", DoubleType()),
+        StructField("mod_competen_ciudada_punt", DoubleType()),
+        StructField("mod_competen_ciudada_punt_norm", DoubleType()),
+        StructField("mod_ingles_punt", DoubleType()),
+        StructField("mod_ingles_punt_norm", DoubleType()),
+        StructField("punt_global", DoubleType()),
+        StructField("punt_global_norm", DoubleType()),
+        StructField("punt_global_calc_norm", DoubleType()),
+    ]
 )
 
-DEGREE_SOCIO = contract(
-    "periodo estu_genero estu_fechanacimiento estu_nacionalidad estu_depto_reside estu_mcpio_reside "
-    "estu_areareside estu_depto_presentacion estu_mcpio_presentacion estu_semestrecursa "
-    "fami_educacionpadre fami_educacionmadre fami_ocupacionpadre fami_ocupacionmadre "
-    "fami_estratovivienda fami_tieneinternet fami_tienecomputador estu_nse_individual "
-    "inst_nombre_institucion inst_caracter_academico inst_origen estu_prgm_academico "
-    "estu_nucleo_pregrado estu_nivel_prgm_academico estu_metodo_prgm estu_prgm_departamento "
-    f"gruporeferencia {_PAYMENTS}",
-    "estu_horassemanatrabaja estu_inse_individual",
+DEGREE_SOCIO = StructType(
+    [
+        StructField("periodo", StringType()),
+        StructField("estu_genero", StringType()),
+        StructField("estu_fechanacimiento", StringType()),
+        StructField("estu_nacionalidad", StringType()),
+        StructField("estu_depto_reside", StringType()),
+        StructField("estu_mcpio_reside", StringType()),
+        StructField("estu_areareside", StringType()),
+        StructField("estu_depto_presentacion", StringType()),
+        StructField("estu_mcpio_presentacion", StringType()),
+        StructField("estu_semestrecursa", StringType()),
+        StructField("fami_educacionpadre", StringType()),
+        StructField("fami_educacionmadre", StringType()),
+        StructField("fami_ocupacionpadre", StringType()),
+        StructField("fami_ocupacionmadre", StringType()),
+        StructField("fami_estratovivienda", StringType()),
+        StructField("fami_tieneinternet", StringType()),
+        StructField("fami_tienecomputador", StringType()),
+        StructField("estu_nse_individual", StringType()),
+        StructField("inst_nombre_institucion", StringType()),
+        StructField("inst_caracter_academico", StringType()),
+        StructField("inst_origen", StringType()),
+        StructField("estu_prgm_academico", StringType()),
+        StructField("estu_nucleo_pregrado", StringType()),
+        StructField("estu_nivel_prgm_academico", StringType()),
+        StructField("estu_metodo_prgm", StringType()),
+        StructField("estu_prgm_departamento", StringType()),
+        StructField("gruporeferencia", StringType()),
+        StructField("estu_pagomatriculabeca", StringType()),
+        StructField("estu_pagomatriculacredito", StringType()),
+        StructField("estu_pagomatriculapadres", StringType()),
+        StructField("estu_pagomatriculapropio", StringType()),
+        StructField("estu_horassemanatrabaja", DoubleType()),
+        StructField("estu_inse_individual", DoubleType()),
+    ]
 )
 
-DEGREE_NORM = contract(
-    "inst_nombre_institucion estu_prgm_academico gruporeferencia estu_prgm_departamento",
-    "mod_razona_cuantitat_punt_norm mod_lectura_critica_punt_norm mod_competen_ciudada_punt_norm "
-    "mod_ingles_punt_norm punt_global_norm punt_global_calc_norm",
+DEGREE_NORM = StructType(
+    [
+        StructField("inst_nombre_institucion", StringType()),
+        StructField("estu_prgm_academico", StringType()),
+        StructField("gruporeferencia", StringType()),
+        StructField("estu_prgm_departamento", StringType()),
+        StructField("mod_razona_cuantitat_punt_norm", DoubleType()),
+        StructField("mod_lectura_critica_punt_norm", DoubleType()),
+        StructField("mod_competen_ciudada_punt_norm", DoubleType()),
+        StructField("mod_ingles_punt_norm", DoubleType()),
+        StructField("punt_global_norm", DoubleType()),
+        StructField("punt_global_calc_norm", DoubleType()),
+    ]
 )
 
-EDUCATION_STRATUM = contract("fami_educacionpadre fami_educacionmadre fami_estratovivienda")
+EDUCATION_STRATUM = StructType(
+    [
+        StructField("fami_educacionpadre", StringType()),
+        StructField("fami_educacionmadre", StringType()),
+        StructField("fami_estratovivienda", StringType()),
+    ]
+)
