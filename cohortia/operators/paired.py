@@ -99,76 +99,72 @@ def contribution_kpis(long: DataFrame, year: str, aggregates: Iterable[str], mai
     )
 
 
-#: Ranges that the values of a side are cut into, at most; the table of range pairs has four times its square of rows a label.
-MOST_RANGES = 512
+#: Ranges that the values of a side are cut into: at least, so that no task holds much of a side where there are few partitions, and
+#: at most, as the table of range pairs has four times their square of rows a label.
+LEAST_RANGES, MOST_RANGES = 128, 512
 
 
-def _range_facts(df: DataFrame, pairs: Pairs, ranges: int, size: int) -> Column:
-    """One row: per label the means of both sides and ``size`` edges that cut their values into ranges of about equal size, the last
-    ones infinite. A value with more rows than a range holds is an edge."""
+def _range_facts(counted: DataFrame, labels: int, ranges: int, size: int) -> Column:
+    """A list by label number: the means of both sides and ``size`` edges that cut the counted pairs into ranges of about equal size by
+    their values, the last ones infinite. A value with more pairs than a range holds is an edge."""
     probes = ", ".join(f"{k / ranges!r}D" for k in range(1, ranges))
-    facts = []
-    for k in range(len(pairs)):
-        sides = []
-        for s in ("x", "y"):
-            edges = f"array_distinct(percentile_approx(_{s}{k}, array({probes}), {SKETCH_ACCURACY * ranges}))"
-            sides.append(f"'m{s}', avg(_{s}{k}), 'e{s}', slice({edges} || array_repeat(DOUBLE('infinity'), {size}), 1, {size})")
-        facts.append(f"'p{k}', named_struct({', '.join(sides)})")
-    return df.agg(F.expr(f"named_struct({', '.join(facts)}) AS facts")).scalar()
+    sides = []
+    for s in ("x", "y"):
+        edges = f"array_distinct(percentile_approx({s}, array({probes}), {SKETCH_ACCURACY * ranges}))"
+        sides.append(f"'m{s}', sum(w * {s}) / sum(w), 'e{s}', slice({edges} || array_repeat(DOUBLE('infinity'), {size}), 1, {size})")
+    found = counted.groupBy("k").agg(F.expr(f"named_struct({', '.join(sides)}) AS facts"))
+    listed = found.agg(F.expr("collect_list(named_struct('k', k, 'facts', facts)) AS listed"))
+    return listed.selectExpr(f"transform(sequence(0, {labels - 1}), i -> get(filter(listed, e -> e.k = i), 0).facts) AS facts").scalar()
 
 
 def correlations(df: DataFrame, pairs: Pairs, digits: int | None = None) -> DataFrame:
     """(label, n, pearson, spearman, strength) of every label; the two are NULL with fewer than two pairs or where a side does
     not vary, and pairs without complete rows have n = 0. Spearman is Pearson of average ranks.
 
-    Two passes over ``df``. The first finds means and range edges. The second melts the pairs, deals them by ranges of x and then of
-    y, ranks inside the ranges, and sums by pairs of ranges; the rows before a range are sums of that small table, so ranks are never
-    joined to rows. A value that is an edge is a range of its own, where all ranks are equal: its rows need no order and are salted.
+    One pass over ``df``, which melts the pairs and counts equal ones in each task before they are shuffled. All else works on counted
+    pairs: means and range edges are found, the pairs are dealt by ranges of x and then of y, ranked inside the ranges, and summed by
+    pairs of ranges; the rows before a range are sums of that small table, so ranks are never joined to rows. A value that is an edge is
+    a range of its own, where all ranks are equal: its pairs need no order and are salted.
     """
-    ranges = max(2, min(MOST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    sides = []
+    ranges = max(LEAST_RANGES, min(MOST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    entries = []
     for k, (y, x) in enumerate(pairs.values()):
         whole = f"CAST(`{x}` AS DOUBLE) IS NOT NULL AND CAST(`{y}` AS DOUBLE) IS NOT NULL AND NOT isnan(CAST(`{x}` AS DOUBLE)) AND NOT isnan(CAST(`{y}` AS DOUBLE))"
-        sides += [f"IF({whole}, CAST(`{c}` AS DOUBLE), NULL) + 0.0D AS _{s}{k}" for s, c in (("x", x), ("y", y))]
-    wide = df.selectExpr(*sides)
+        sides = [f"'{s}', IF({whole}, CAST(`{c}` AS DOUBLE), NULL) + 0.0D" for s, c in (("x", x), ("y", y))]
+        entries.append(f"named_struct('k', {k}, {', '.join(sides)})")
+    melted = df.selectExpr(f"inline(array({', '.join(entries)}))").filter("x IS NOT NULL")
+    counted = melted.groupBy("k", "x", "y").agg(F.expr("count(1) AS w"))
     bits = ranges.bit_length()
-    placed = wide.select("*", _range_facts(wide, pairs, ranges, 1 << bits).alias("_facts"))
-    names = [(f"_{s}{k}", f"_facts.p{k}.e{s}", f"_r{s}{k}") for k in range(len(pairs)) for s in ("x", "y")]
+    placed = counted.select("*", _range_facts(counted, len(pairs), ranges, 1 << bits).alias("_facts"))
     # edges below a value, by binary search: a column per side, a projection per step
-    placed = placed.selectExpr("*", *[f"0 AS {at}" for _, _, at in names])
+    placed = placed.selectExpr("*", "0 AS _rx", "0 AS _ry")
     for step in (1 << bit for bit in reversed(range(bits))):
-        moved = [f"{at} + IF({edges}[{at} + {step - 1}] < {own}, {step}, 0) AS {at}" for own, edges, at in names]
-        placed = placed.selectExpr(*wide.columns, "_facts", *moved)
-    entries = []
-    for k, label in enumerate(pairs):
-        of_sides = [
-            f"'{s}', _{s}{k}, 'c{s}', _{s}{k} - _facts.p{k}.m{s}, 'r{s}', 2 * _r{s}{k} + IF(_facts.p{k}.e{s}[_r{s}{k}] = _{s}{k}, 1, 0)" for s in ("x", "y")
-        ]
-        entries.append(F.struct(F.lit(label).alias("label"), F.expr(f"named_struct({', '.join(of_sides)})").alias("v")))
-    long = placed.select(F.inline(F.array(*entries))).filter("v.x IS NOT NULL").select("label", "v.*")
+        moved = [f"_r{s} + IF(_facts[k].e{s}[_r{s} + {step - 1}] < {s}, {step}, 0) AS _r{s}" for s in ("x", "y")]
+        placed = placed.selectExpr(*counted.columns, "_facts", *moved)
+    of_sides = [f"{s} - _facts[k].m{s} AS c{s}" for s in ("x", "y")] + [f"2 * _r{s} + IF(_facts[k].e{s}[_r{s}] = {s}, 1, 0) AS r{s}" for s in ("x", "y")]
+    long = placed.selectExpr(*counted.columns, *of_sides)
     for s, other in (("x", "y"), ("y", "x")):
         at_edge = F.col(f"r{s}") % 2 == 1
         long = long.withColumn("_salt", F.when(at_edge, F.pmod(F.xxhash64(other), F.lit(ranges))).otherwise(F.lit(0)))
-        inside = Window.partitionBy("label", f"r{s}", "_salt").orderBy(s)
-        equal = Window.partitionBy("label", f"r{s}", "_salt", s)
-        rank = F.rank().over(inside) + (F.count(F.lit(1)).over(equal) - 1) / 2
-        long = long.withColumn(f"i{s}", F.when(at_edge, F.lit(0.0)).otherwise(rank)).drop("_salt")
+        upto = F.sum("w").over(Window.partitionBy("k", f"r{s}", "_salt").orderBy(s))
+        equal = F.sum("w").over(Window.partitionBy("k", f"r{s}", "_salt", s))
+        long = long.withColumn(f"i{s}", F.when(at_edge, F.lit(0.0)).otherwise(upto - (equal - 1) / 2)).drop("_salt")
     sums = [
-        "count(1) AS n", "sum(ix) AS ix", "sum(iy) AS iy", "sum(ix * iy) AS ixy", "sum(ix * ix) AS ixx", "sum(iy * iy) AS iyy",
-        "sum(cx * cy) AS ab", "sum(cx * cx) AS aa", "sum(cy * cy) AS bb", "min(x) AS lx", "max(x) AS hx", "min(y) AS ly", "max(y) AS hy",
+        "sum(w) AS n", "sum(w * ix) AS ix", "sum(w * iy) AS iy", "sum(w * ix * iy) AS ixy", "sum(w * ix * ix) AS ixx", "sum(w * iy * iy) AS iyy",
+        "sum(w * cx * cy) AS ab", "sum(w * cx * cx) AS aa", "sum(w * cy * cy) AS bb", "min(x) AS lx", "max(x) AS hx", "min(y) AS ly", "max(y) AS hy",
     ]
-    cells = long.groupBy("label", "rx", "ry").agg(*map(F.expr, sums))
+    cells = long.groupBy("k", "rx", "ry").agg(*map(F.expr, sums))
     none = [f"CAST({0 if f.name == 'n' else 'NULL'} AS {f.dataType.simpleString()}) AS {f.name}" for f in cells.schema.fields[3:]]
-    blank = df.sparkSession.range(1, numPartitions=1).select(F.explode(F.array(*[F.lit(k) for k in pairs])).alias("label"))
-    cells = cells.unionByName(blank.selectExpr("label", "-1 AS rx", "-1 AS ry", *none))
-    of_label = Window.partitionBy("label")
+    blank = df.sparkSession.range(1, numPartitions=1).selectExpr(f"explode(sequence(0, {len(pairs) - 1})) AS k")
+    cells = cells.unionByName(blank.selectExpr("k", "-1 AS rx", "-1 AS ry", *none))
+    of_label = Window.partitionBy("k")
     total = F.sum("n").over(of_label)
     for s in ("x", "y"):
         before = F.coalesce(F.sum("n").over(of_label.orderBy(f"r{s}").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        same = F.sum("n").over(Window.partitionBy("label", f"r{s}"))
+        same = F.sum("n").over(Window.partitionBy("k", f"r{s}"))
         # an edge's rows share the mean of their ranks
         cells = cells.withColumn(f"o{s}", before + F.when(F.col(f"r{s}") % 2 == 1, (same + 1) / 2).otherwise(F.lit(0.0)) - (total + 1) / 2)
-    ranked = cells.groupBy("label").agg(
+    ranked = cells.groupBy("k").agg(
         F.sum("n").alias("n"),
         *[F.sum(c).alias(c) for c in ("ab", "aa", "bb")],
         F.expr("min(lx) < max(hx) AND min(ly) < max(hy) AS varies"),
@@ -184,7 +180,8 @@ def correlations(df: DataFrame, pairs: Pairs, digits: int | None = None) -> Data
     r, rho = ratio("ab", "aa", "bb"), ratio("rab", "raa", "rbb")
     if digits is not None:
         r, rho = F.round(r, digits), F.round(rho, digits)
-    both = ranked.select("label", "n", r.alias("pearson"), rho.alias("spearman"))
+    label = F.get(F.array(*map(F.lit, pairs)), F.col("k")).alias("label")
+    both = ranked.select(label, "n", r.alias("pearson"), rho.alias("spearman"))
     return both.withColumn("strength", strength_class("pearson"))
 
 

@@ -82,6 +82,20 @@ def test_correlations_equal_plain_ranks(spark, kind):
     assert found["gaps"]["spearman"] == pytest.approx(np.corrcoef(average_ranks(some), average_ranks(y[some]))[0, 1], abs=0.01)
 
 
+def test_correlations_count_equal_pairs_before_they_are_dealt(spark):
+    df = spark.range(0, 6000, 1, 3).selectExpr("CAST(id % 7 AS DOUBLE) AS x", "CAST(id % 11 AS DOUBLE) AS y", "CAST(id AS DOUBLE) AS wide")
+    text = plan(paired.correlations(df, {"few": ("y", "x"), "wide": ("wide", "x")}))
+    lowest = text[text.rindex("Exchange hashpartitioning") :]
+    assert "partial_count" in lowest and "Window" not in lowest and "Exchange" not in lowest[8:]
+    # few partitions make no large ranges
+    assert paired.LEAST_RANGES >= 100 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = {r["label"]: r for r in records(paired.correlations(df, {"few": ("y", "x"), "wide": ("wide", "x")}))}
+    numbers = np.arange(6000)
+    assert found["few"]["n"] == found["wide"]["n"] == 6000
+    for label, y in (("few", numbers % 11), ("wide", numbers)):
+        assert found[label]["spearman"] == pytest.approx(np.corrcoef(average_ranks(numbers % 7), average_ranks(y))[0, 1], abs=1e-9)
+
+
 def test_delta_summaries(spark):
     df = spark.createDataFrame([(1.0, 3.0), (2.0, None), (float("nan"), 1.0), (4.0, 5.0)], "x double, y double")
     assert rows(paired.delta_summaries(df, {"a": ("y", "x"), "b": ("x", "x")}), "label") == [("a", 2, 1.5), ("b", 3, 0.0)]
