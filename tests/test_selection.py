@@ -96,6 +96,19 @@ def test_correlations_count_equal_pairs_before_they_are_dealt(spark):
         assert found[label]["spearman"] == pytest.approx(np.corrcoef(average_ranks(numbers % 7), average_ranks(y))[0, 1], abs=1e-9)
 
 
+def test_correlations_pass_over_their_rows_once(spark):
+    passed = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            passed.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(0, 900, 1, 3).selectExpr("CAST(id % 30 AS DOUBLE) AS x", "CAST(id * id AS DOUBLE) AS y").mapInArrow(count, "x double, y double")
+    (row,) = records(paired.correlations(df, {"p": ("y", "x")}))
+    assert row["n"] == 900 and passed.value == 900
+
+
 def test_delta_summaries(spark):
     df = spark.createDataFrame([(1.0, 3.0), (2.0, None), (float("nan"), 1.0), (4.0, 5.0)], "x double, y double")
     assert rows(paired.delta_summaries(df, {"a": ("y", "x"), "b": ("x", "x")}), "label") == [("a", 2, 1.5), ("b", 3, 0.0)]
