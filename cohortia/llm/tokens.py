@@ -27,8 +27,8 @@ from cohortia.llm.shared import BLOCK_BYTES, keep, shared_folder, small_batches
 SEQUENCES = 128
 #: Pieces whose ids a Python worker remembers.
 REMEMBERED = 700_000
-#: Pieces that go through the tokenizer as one text.
-TOGETHER = 256
+#: Pieces that go through the tokenizer as one text; a piece takes longer in longer texts.
+TOGETHER = 32
 
 _coders: dict[tuple, Coder] = {}
 

@@ -428,6 +428,21 @@ def test_coder_splits_at_spaces(monkeypatch):
             assert np.frombuffer(ids, coder.kind).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_coder_joins_few_pieces(monkeypatch):
+    coder, texts = tokens.Coder(tokens.default_tokenizer()), []
+    ids = coder._ids
+
+    def noted(own):
+        texts.extend(own)
+        return ids(own)
+
+    monkeypatch.setattr(coder, "_ids", noted)
+    text = " ".join(f"word{k}" for k in range(1000))
+    (found,) = coder.encode([text])
+    assert 20 < len(texts) < 100 and max(t.count(" ") for t in texts) <= 64
+    assert np.frombuffer(found, coder.kind).tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 # URLs
 
 
