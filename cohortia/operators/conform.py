@@ -11,11 +11,13 @@ from pyspark.sql.types import DoubleType, FloatType, NumericType, StructType
 from cohortia.functions.numbers import nan_to_null, to_number
 
 
-def conform(df: DataFrame, schema: StructType, aliases: Mapping[str, str] | None = None) -> DataFrame:
+def conform(
+    df: DataFrame, schema: StructType, aliases: Mapping[str, str] | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
     """Exactly the columns of the contract: present ones cast, absent ones NULL.
 
     ``aliases`` maps an old column name to the contract's name; where both are present the contract's
-    own column wins and the old one fills its gaps.
+    own column wins and the old one fills its gaps. Columns of ``keep`` follow as they are.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     columns = []
@@ -31,21 +33,32 @@ def conform(df: DataFrame, schema: StructType, aliases: Mapping[str, str] | None
             cast = [F.col(n).cast(field.dataType) for n in found]
         value = F.coalesce(*cast) if cast else F.lit(None).cast(field.dataType)
         columns.append(value.alias(field.name))
-    return df.select(*columns)
+    return df.select(*columns, *keep)
 
 
 def stamp(df: DataFrame, name: str, value: int | str | None) -> DataFrame:
     return df.withColumn(name, F.lit(value))
 
 
+#: Tables by their year, or tables of any years that have the year as a column.
+Yearly = Mapping[int, DataFrame] | Sequence[DataFrame]
+
+
 def union_years(
-    tables: Mapping[int, DataFrame],
+    tables: Yearly,
     schema: StructType,
     aliases: Mapping[str, str] | None = None,
     year: str = "anio",
 ) -> DataFrame:
-    """One table from yearly tables, each conformed and stamped with its year."""
-    parts = [stamp(conform(df, schema, aliases), year, y) for y, df in sorted(tables.items(), key=lambda t: (t[0] is None, t[0]))]
+    """One table from yearly tables, each conformed and stamped with its year.
+
+    Tables that come in a list have their years in the column ``year``: years of one source and one shape are best given as one such
+    table, which is read once, where a table per year reads the source once a year.
+    """
+    if isinstance(tables, Mapping):
+        parts = [stamp(conform(df, schema, aliases), year, y) for y, df in sorted(tables.items(), key=lambda t: (t[0] is None, t[0]))]
+    else:
+        parts = [conform(df, schema, aliases, keep=[year]) for df in tables]
     if not parts:
         raise ValueError("no yearly table to unite")
     united = parts[0]

@@ -73,17 +73,17 @@ def _map_of(
 # ---- preparation of the yearly tables -----------------------------------------------------------
 
 
-def consolidated_scores(tables: Mapping[int, DataFrame]) -> DataFrame:
+def consolidated_scores(tables: conform.Yearly) -> DataFrame:
     return conform.union_years(tables, schemas.DEGREE_SCORES)
 
 
-def consolidated_norms(tables: Mapping[int, DataFrame]) -> DataFrame:
+def consolidated_norms(tables: conform.Yearly) -> DataFrame:
     """Normalized scores of all years with clean institution names."""
     united = conform.union_years(tables, schemas.DEGREE_NORM)
     return united.withColumn("inst_nombre_institucion", text.clean_name("inst_nombre_institucion"))
 
 
-def consolidated_socio(tables: Mapping[int, DataFrame]) -> DataFrame:
+def consolidated_socio(tables: conform.Yearly) -> DataFrame:
     """Socio-economic table of all years: flags as booleans, age on 30 June of the exam year, clean
     institution names."""
     united = conform.union_years(tables, schemas.DEGREE_SOCIO)
@@ -97,7 +97,7 @@ def consolidated_socio(tables: Mapping[int, DataFrame]) -> DataFrame:
     )
 
 
-def paired_scores(degree: Mapping[int, DataFrame], links: DataFrame, school: Mapping[int, DataFrame]) -> DataFrame:
+def paired_scores(degree: conform.Yearly, links: DataFrame, school: conform.Yearly) -> DataFrame:
     """One row per linked pair of a degree exam and a school exam, with the degree exam's year."""
     later = conform.union_years(degree, schemas.DEGREE_PAIRED)
     earlier = conform.union_years(school, schemas.SCHOOL_SCORES, schemas.SCHOOL_SCORE_ALIASES).drop("anio")
@@ -435,9 +435,9 @@ def institution_comparison(df: DataFrame, selected: Sequence[str]) -> Profile:
 
 
 def cohort_continuation(
-    school: Mapping[int, DataFrame],
+    school: conform.Yearly,
     links: DataFrame,
-    degree: Mapping[int, DataFrame],
+    degree: conform.Yearly,
     cohort: int | None = None,
     group: str | None = None,
     distinct: bool = True,

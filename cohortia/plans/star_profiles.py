@@ -30,7 +30,17 @@ def by_year(df: DataFrame, date: str) -> dict[int | None, DataFrame]:
     return tables
 
 
-def school_tables(spark: SparkSession, folder: str) -> dict[int, DataFrame]:
+def with_years(df: DataFrame, date: str, lacking: tuple[int, str] | None = None, year: str = "anio") -> list[DataFrame]:
+    """The yearly tables as one table with a column for the year, which is read once, not once a year. ``lacking`` is a year and a
+    column that its table does not have; that year is a table of its own."""
+    dated = df.withColumn(year, F.year(date)).drop(date)
+    if lacking is None:
+        return [dated]
+    of_year = F.col(year).eqNullSafe(lacking[0])
+    return [dated.filter(~of_year), dated.filter(of_year).drop(lacking[1])]
+
+
+def school_tables(spark: SparkSession, folder: str) -> list[DataFrame]:
     """Orders as yearly school exams; 1997 lacks the area column, numbers are left untyped."""
     orders = table(spark, folder, "orders").select(
         F.col("o_orderdate").alias("_date"),
@@ -40,13 +50,10 @@ def school_tables(spark: SparkSession, folder: str) -> dict[int, DataFrame]:
         F.when(F.col("o_custkey") % 2 == 0, F.lit("URBANO")).otherwise(F.lit("RURAL")).alias("cole_area_ubicacion"),
         (F.col("o_custkey") % 33).cast("string").alias("estu_depto_presentacion"),
     )
-    tables = by_year(orders, "_date")
-    if 1997 in tables:
-        tables[1997] = tables[1997].drop("cole_area_ubicacion")
-    return tables
+    return with_years(orders, "_date", (1997, "cole_area_ubicacion"), "anio_cohorte")
 
 
-def degree_tables(spark: SparkSession, folder: str) -> dict[int, DataFrame]:
+def degree_tables(spark: SparkSession, folder: str) -> list[DataFrame]:
     """Line items as yearly degree exams; 1996 has no reference group."""
     half = F.when(F.month("l_shipdate") <= 6, F.lit(1)).otherwise(F.lit(2))
     lines = table(spark, folder, "lineitem").select(
@@ -56,10 +63,7 @@ def degree_tables(spark: SparkSession, folder: str) -> dict[int, DataFrame]:
         ((F.year("l_shipdate") + 10) * 10 + half).cast("string").alias("periodo"),
         F.when(F.col("l_linestatus") == "F", F.lit("ECONOMÍA")).otherwise(F.lit("DERECHO")).alias("gruporeferencia"),
     )
-    tables = by_year(lines, "_date")
-    if 1996 in tables:
-        tables[1996] = tables[1996].drop("gruporeferencia")
-    return tables
+    return with_years(lines, "_date", (1996, "gruporeferencia"))
 
 
 def exam_links(spark: SparkSession, folder: str) -> DataFrame:
@@ -149,7 +153,7 @@ def continuation_csv_unlinked(spark, folder):
 # ---- socio-economic profile ----------------------------------------------------------------------
 
 
-def socio_tables(spark: SparkSession, folder: str) -> dict[int, DataFrame]:
+def socio_tables(spark: SparkSession, folder: str) -> list[DataFrame]:
     """Orders with their customer and nation as yearly socio-economic tables, all text."""
     rows = (
         table(spark, folder, "orders")
@@ -175,7 +179,7 @@ def socio_tables(spark: SparkSession, folder: str) -> dict[int, DataFrame]:
         F.when(F.col("o_orderstatus") == "P", F.lit("true")).otherwise(F.lit("no")).alias("estu_pagomatriculabeca"),
         F.when(key % 5 == 0, F.lit("Si")).otherwise(F.lit("0")).alias("estu_pagomatriculapadres"),
     )
-    return by_year(shaped, "_date")
+    return with_years(shaped, "_date")
 
 
 def socio(spark: SparkSession, folder: str) -> DataFrame:
@@ -284,7 +288,7 @@ def socio_map(spark, folder):
 # ---- score profiles ------------------------------------------------------------------------------
 
 
-def norm_tables(spark: SparkSession, folder: str) -> dict[int, DataFrame]:
+def norm_tables(spark: SparkSession, folder: str) -> list[DataFrame]:
     """Line items as yearly normalized scores by supplier nation; 1999 lacks the official global."""
     lines = table(spark, folder, "lineitem").join(
         table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")
@@ -299,10 +303,7 @@ def norm_tables(spark: SparkSession, folder: str) -> dict[int, DataFrame]:
         (F.col("l_extendedprice") / 100000).cast("string").alias("punt_global_norm"),
         ((F.col("l_extendedprice") + F.col("l_quantity")) / 100050).alias("punt_global_calc_norm"),
     )
-    tables = by_year(shaped, "_date")
-    if 1999 in tables:
-        tables[1999] = tables[1999].drop("punt_global_norm")
-    return tables
+    return with_years(shaped, "_date", (1999, "punt_global_norm"))
 
 
 NORMS_SQL = """norms AS (SELECT year(l_shipdate) AS anio, 'U' || s_nationkey || '-X' AS inst, l_returnflag AS grp, l_quantity / 50 AS ingles,
@@ -350,7 +351,7 @@ def score_histograms(spark, folder):
         F.col("l_quantity").cast("string").alias("mod_ingles_punt"),
         F.col("l_extendedprice").alias("punt_global"),
     )
-    scores = profiles.consolidated_scores(by_year(lines, "_date"))
+    scores = profiles.consolidated_scores(with_years(lines, "_date"))
     return profiles.score_profile(scores)["histograms"].filter("n > 0").select("field", "bin", "n")
 
 
@@ -382,20 +383,20 @@ def exam_pairs(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_shipdate").alias("_date"),
         key.alias("estu_consecutivo"),
         F.element_at(F.array(*map(F.lit, fixed.ENGLISH_DEGREE)), (F.col("l_linenumber") % 5 + 1).cast("int")).alias("mod_ingles_desem"),
-        (F.col("l_quantity") / 50).cast("string").alias("mod_ingles_punt_norm"),
-        (F.col("l_extendedprice") / 100000).cast("string").alias("punt_global_norm"),
-        (F.col("l_extendedprice") / 100000 + F.col("l_quantity") / 50).cast("string").alias("punt_global_calc_norm"),
+        (F.col("l_quantity") / 50).alias("mod_ingles_punt_norm"),
+        (F.col("l_extendedprice") / 100000).alias("punt_global_norm"),
+        (F.col("l_extendedprice") / 100000 + F.col("l_quantity") / 50).alias("punt_global_calc_norm"),
     )
     school = table(spark, folder, "orders").select(
         F.col("o_orderdate").alias("_date"),
         F.col("o_orderkey").cast("string").alias("estu_consecutivo"),
         F.element_at(F.array(*map(F.lit, fixed.ENGLISH_SCHOOL)), (F.col("o_orderkey") % 5 + 1).cast("int")).alias("desemp_ingles"),
-        (F.dayofmonth("o_orderdate") / 31).cast("string").alias("punt_ingles_norm"),
-        F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice") / 500000).cast("string").alias("punt_global_norm"),
-        (F.col("o_totalprice") / 500000).cast("string").alias("punt_global_calc_norm"),
+        (F.dayofmonth("o_orderdate") / 31).alias("punt_ingles_norm"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice") / 500000).alias("punt_global_norm"),
+        (F.col("o_totalprice") / 500000).alias("punt_global_calc_norm"),
     )
     links = lines.select(key.alias("estu_consecutivo_sbpro"), F.col("l_orderkey").cast("string").alias("estu_consecutivo_sb11"))
-    return profiles.paired_scores(by_year(degree, "_date"), links, by_year(school, "_date"))
+    return profiles.paired_scores(with_years(degree, "_date"), links, with_years(school, "_date"))
 
 
 EXAM_PAIRS_SQL = """p AS (SELECT year(l_shipdate)::INT AS anio, l_linenumber % 5 + 1 AS de, o_orderkey % 5 + 1 AS se,

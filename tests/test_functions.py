@@ -18,6 +18,13 @@ def test_bad_number_text_becomes_null(spark):
     assert apply(spark, values, numbers.to_number) == [None, 2.0, None, None, None, 3.5, None, None, 1000.0]
 
 
+def test_only_texts_with_suffix_letters_meet_the_pattern(spark):
+    values = [" 2.5D ", "3f", "1d\n", "Infinity", "inf", "0.1", "-7e-3", "d", "f1"]
+    assert apply(spark, values, numbers.to_number) == [None, None, None, float("inf"), None, 0.1, -0.007, None, None]
+    shown = str(numbers.to_number("c")._jc)
+    assert "contains" in shown and shown.index("contains") < shown.index("regexp_replace")
+
+
 def test_nan_becomes_null(spark):
     assert apply(spark, [float("nan"), 1.0, None], numbers.to_number, "double") == [None, 1.0, None]
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortia.operators import paired, selection
+from cohortia.operators import conform, paired, selection
 from cohortia.plans import profiles, schemas, star_profiles
 from tests.conftest import records, rows
 
@@ -142,3 +142,32 @@ def test_years_come_from_the_dates(spark):
     assert {y: t.collect()[0][0] if t.count() else None for y, t in tables.items()} == {1988: 1, 1989: None, 1990: 2, None: 3}
     assert list(star_profiles.by_year(df.filter("v < 3"), "d")) == [1988, 1989, 1990]
     assert schemas.LINK.names == ["estu_consecutivo_sbpro", "estu_consecutivo_sb11"]
+
+
+def exams(spark, folder):
+    """Orders and their lines over three years, some without a date."""
+    lines = "id AS l_orderkey, CAST(1 AS INT) AS l_linenumber, CAST(id % 50 AS DOUBLE) AS l_quantity, CAST(id * 10 AS DOUBLE) AS l_extendedprice"
+    date = "IF(id % 10 = 9, NULL, make_timestamp(1996 + CAST(id % 3 AS INT), 12, 31, 23, 59, 59))"
+    spark.range(60).selectExpr(*lines.split(", ", 3), f"{date} AS l_shipdate", "IF(id % 2 = 0, 'F', 'O') AS l_linestatus", "'A' AS l_returnflag").write.parquet(f"{folder}/lineitem.parquet")
+    orders = ["id AS o_orderkey", "id AS o_custkey", f"{date} AS o_orderdate", "'F' AS o_orderstatus", "CAST(id * id AS DOUBLE) AS o_totalprice", "'5-LOW' AS o_orderpriority"]
+    spark.range(60).selectExpr(*orders).write.parquet(f"{folder}/orders.parquet")
+    return str(folder)
+
+
+def test_paired_rows_read_each_table_once_whatever_the_years(spark, tmp_path):
+    folder = exams(spark, tmp_path)
+    paired_rows = star_profiles.exam_pairs(spark, folder)
+    assert plan(paired_rows).count("FileScan") == 3 and "Union" not in plan(paired_rows)  # lines, links and orders
+    assert rows(paired_rows.groupBy("anio").count(), "anio") == [(1996, 18), (1997, 18), (1998, 18), (None, 6)]
+    found = {r["label"]: r for r in records(star_profiles.paired_profile_correlations(spark, folder))}
+    assert found["Puntaje Global"]["n"] == 60 and found["Puntaje Global"]["spearman"] == 1.0
+
+
+def test_a_year_that_lacks_a_column_is_one_more_table(spark, tmp_path):
+    folder = exams(spark, tmp_path)
+    members = conform.union_years(star_profiles.school_tables(spark, folder), schemas.SCHOOL_EXAM, year="anio_cohorte")
+    assert plan(members).count("FileScan") == 2
+    areas = members.groupBy("anio_cohorte").agg(F.count(F.lit(1)), F.count("cole_area_ubicacion"))
+    assert rows(areas, "anio_cohorte") == [(1996, 18, 18), (1997, 18, 0), (1998, 18, 18), (None, 6, 6)]
+    years = conform.union_years({1996: members.drop("anio_cohorte")}, schemas.SCHOOL_EXAM, year="anio_cohorte")
+    assert years.columns == members.columns
